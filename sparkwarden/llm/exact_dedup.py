@@ -11,37 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkwarden.llm._filters import key_filter, maybe_in
 from sparkwarden.llm._shared import new_path
 
-#: Bitmaps of 32,768 bits that make up the filter of hits. Its size, 4 KB each, is fixed; when it fills up it only sorts out less.
-FILTER_PAGES = 1024
-_PAGE_BITS = 32768
-
-
 def normalised(text: Column) -> Column:
     """The text without the characters space and U+0009 to U+000D; null is empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", "")
 
 
-def _slot(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_PAGES * _PAGE_BITS))
-
-
-def hit_filter(keys: DataFrame, key: str) -> DataFrame:
-    """A Bloom filter with one hash of the values of `key`: at most FILTER_PAGES rows (page, bits) of 4 KB."""
-    slot = _slot(F.col(key))
-    return keys.select((slot / _PAGE_BITS).cast("int").alias("_sw_page"), F.pmod(slot, F.lit(_PAGE_BITS)).alias("_sw_bit")).groupBy("_sw_page").agg(F.expr("bitmap_construct_agg(_sw_bit)").alias("_sw_bits"))
-
-
-def maybe_in(df: DataFrame, key: str, pages: DataFrame) -> DataFrame:
-    """df with a column _sw_maybe: false only where the value of `key` surely isn't in the filter. The filter is broadcast; its size is bounded."""
-    slot = _slot(F.col(key))
-    bit = F.pmod(slot, F.lit(_PAGE_BITS)).cast("int")
-    byte = F.conv(F.hex(F.expr("substring(_sw_bits, _sw_at div 8 + 1, 1)")), 16, 10).cast("int")
-    joined = df.withColumns({"_sw_page": (slot / _PAGE_BITS).cast("int"), "_sw_at": bit}).join(F.broadcast(pages), "_sw_page", "left")
-    return joined.withColumn("_sw_maybe", F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, _sw_at % 8)")) != 0, F.lit(False))).drop("_sw_page", "_sw_at", "_sw_bits")
-
-
 def flush_runs(df: DataFrame, id_col: str, text_col: str) -> str:
     """Write a sorted run with a Bloom filter for each scan task; the index's path. Columns: digest, n_points, id, row_id."""
     path = new_path(df.sparkSession, "digest-runs")
@@ -71,7 +48,7 @@ def _collided(df: DataFrame, id_col: str, text_col: str, entries: DataFrame, gro
     """Digests under which different bytes meet. Only hits are read again in full; min and max are merged before the shuffle."""
     hit_digests = groups.where("group_size > 1").select("digest")
     hits = entries.join(hit_digests, "digest", "left_semi")
-    pages = hit_filter(hits, "id")
+    pages = key_filter(hits, "id")
     some = maybe_in(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", pages).where("_sw_maybe or id is null")
     texts = some.select(normalised(F.col("text")).alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
     merged = texts.join(hit_digests, "digest", "left_semi").groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b"))
@@ -102,7 +79,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that exact_dedup keeps, with all their columns. Only rows that may share an id with a dropped one are shuffled."""
     decided = exact_dedup(df, id_col, text_col)
-    pages = hit_filter(decided.where("not kept").select(F.col(id_col).alias("id")), "id")
+    pages = key_filter(decided.where("not kept").select(F.col(id_col).alias("id")), "id")
     marked = maybe_in(df.withColumn("_sw_id", F.col(id_col)), "_sw_id", pages).withColumn("_sw_maybe", F.col("_sw_maybe") | F.col("_sw_id").isNull())
     sure = marked.where("not _sw_maybe").select(*[F.col(f"`{c}`") for c in df.columns])
     kept = decided.where("kept").select(F.col(id_col).alias("_sw_id"), F.col("text_sha256").alias("_sw_sha")).distinct()

@@ -18,6 +18,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkwarden.llm import _pretok
 from sparkwarden.llm._arrays import BYTE_BASE, U, array_of, binary, chunks, span_hashes, text_bytes
@@ -26,8 +27,6 @@ from sparkwarden.llm.packing import encoder
 
 #: Bytes of text in a block: the more, the fewer words travel twice; it bounds a task's memory.
 BLOCK = 16 << 20
-#: Rough bytes of distinct words in a bucket.
-BUCKET = 8 << 20
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -39,7 +38,7 @@ def _unpack(b: bytes, kind: type) -> np.ndarray:
 
 
 def _blocks(n_buckets: int, key_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of two kinds: bucket null, the block with keys, positions and row starts; else the block's distinct words in that bucket."""
+    """Rows of two kinds: a block with its keys, positions and row starts (key: the block), and its distinct words in a bucket (key: the bucket)."""
 
     def block(at: int, hashes: list, words: list, firsts: list, keys: list) -> pa.RecordBatch:
         lists = np.concatenate(hashes)
@@ -53,15 +52,15 @@ def _blocks(n_buckets: int, key_type: pa.DataType) -> Callable[[Iterator[pa.Reco
         bucket = (distinct >> U(32)).astype(np.int64) * n_buckets >> 32
         cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
         rows = np.cumsum(np.concatenate([[0], *firsts[1]]))
-        out = {"block": [at], "bucket": [None], "keys": [keys], "words": [None], "lengths": [None], "positions": [_pack(np.concatenate(position).astype(np.uint32))], "rows": [rows.astype(np.int64).tobytes()]}
+        out = {"key": [at], "block": [at], "keys": [keys], "words": [None], "lengths": [None], "positions": [_pack(np.concatenate(position).astype(np.uint32))], "rows": [rows.astype(np.int64).tobytes()]}
         for b in range(n_buckets):
             some = raw[cuts[b] : cuts[b + 1]]
-            for k, v in (("block", at), ("bucket", b), ("keys", None), ("words", zstandard.ZstdCompressor(level=3).compress(b"".join(some))), ("lengths", _pack(np.fromiter(map(len, some), np.uint32, len(some)))), ("positions", None), ("rows", None)):
+            for k, v in (("key", b), ("block", at), ("keys", None), ("words", zstandard.ZstdCompressor(level=3).compress(b"".join(some))), ("lengths", _pack(np.fromiter(map(len, some), np.uint32, len(some)))), ("positions", None), ("rows", None)):
                 out[k].append(v)
-        return pa.RecordBatch.from_pydict({"block": pa.array(out["block"], pa.int64()), "bucket": pa.array(out["bucket"], pa.int32()), "keys": pa.array(out["keys"], pa.list_(key_type)), **{k: pa.array(out[k], pa.binary()) for k in ("words", "lengths", "positions", "rows")}})
+        return pa.RecordBatch.from_pydict({"key": pa.array(out["key"], pa.int64()), "block": pa.array(out["block"], pa.int64()), "keys": pa.array(out["keys"], pa.list_(key_type)), **{k: pa.array(out[k], pa.binary()) for k in ("words", "lengths", "positions", "rows")}})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = TaskContext.get().partitionId() << 32, 0
+        at, held = (TaskContext.get().partitionId() + 1) << 32, 0  # above all buckets
         state: tuple[list, list, list, list] = ([], [], [[], []], [])
         for batch in batches:
             data, offsets = text_bytes(batch.column("_sw_text"))
@@ -85,30 +84,31 @@ def _blocks(n_buckets: int, key_type: pa.DataType) -> Callable[[Iterator[pa.Reco
     return run
 
 
-def _encode_bucket(ranks: str) -> Callable[[pa.Table], pa.Table]:
-    """All blocks' words of a bucket: each distinct word is encoded once, and each block gets the ids of its words in its order."""
-
-    def run(table: pa.Table) -> pa.Table:
-        enc = encoder(public_tokenizers.path(ranks))
-        parts = []
-        for words, lengths in zip(table.column("words").to_pylist(), table.column("lengths").to_pylist()):
-            raw = zstandard.ZstdDecompressor().decompress(words)
-            ends = np.cumsum(_unpack(lengths, np.uint32).astype(np.int64))
-            starts = ends - _unpack(lengths, np.uint32)
-            parts.append((raw, starts, ends, span_hashes(np.frombuffer(raw, np.uint8) + U(1), starts, ends, BYTE_BASE) if len(ends) else np.zeros(0, U)))
-        every = np.concatenate([p[3] for p in parts])
-        _, where, which = np.unique(every, return_index=True, return_inverse=True)
-        owner = np.searchsorted(np.cumsum([len(p[3]) for p in parts]), where, "right")
+def _encode_words(ranks: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """All words of a partition: each distinct word is encoded once, and each block gets the ids of its words in its order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, parts, owner_of = encoder(public_tokenizers.path(ranks)), [], []
+        for batch in batches:
+            for key, block, words, lengths in zip(*(batch.column(c).to_pylist() for c in ("key", "block", "words", "lengths"))):
+                if words is None:
+                    continue
+                raw = zstandard.ZstdDecompressor().decompress(words)
+                n = _unpack(lengths, np.uint32).astype(np.int64)
+                ends = np.cumsum(n)
+                parts.append((raw, ends - n, ends, span_hashes(np.frombuffer(raw, np.uint8) + U(1), ends - n, ends, BYTE_BASE) if len(ends) else np.zeros(0, U)))
+                owner_of.append((block, key))
+        if not parts:
+            return
+        _, where, which = np.unique(np.concatenate([p[3] for p in parts]), return_index=True, return_inverse=True)
         base = np.cumsum([0] + [len(p[3]) for p in parts])
+        owner = np.searchsorted(base, where, "right") - 1
         words = [parts[o][0][parts[o][1][k] : parts[o][2][k]] for o, k in zip(owner.tolist(), (where - base[owner]).tolist())]
         flat, n = enc.encode(words)
-        ids, counts = [], []
-        for k in range(len(parts)):
+        for k, (block, bucket) in enumerate(owner_of):
             own = which[base[k] : base[k + 1]]
             got, _ = _pretok.gather(flat, n, own)
-            ids.append(_pack(got.astype(np.uint32)))
-            counts.append(_pack(n[own].astype(np.uint32)))
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "ids": binary(ids), "counts": binary(counts)})
+            yield pa.RecordBatch.from_pydict({"block": [block], "bucket": [bucket], "ids": binary([_pack(got.astype(np.uint32))]), "counts": binary([_pack(n[own].astype(np.uint32))])})
 
     return run
 
@@ -124,6 +124,8 @@ def _token_table(ranks: str) -> list[bytes]:
 
 def _assembled(block: pa.Table, answers: pa.Table) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """keys, positions, row starts, and the distinct words' ids and counts of one block."""
+    if block.column("words").null_count == 0:  # a bucket's words, not a block
+        return
     order = np.argsort(answers.column("bucket").to_numpy())
     ids, counts = (answers.column(c).to_pylist() for c in ("ids", "counts"))
     none = [np.zeros(0, np.uint32)]
@@ -140,9 +142,10 @@ def _spans(lengths: np.ndarray) -> list[tuple[int, int]]:
 
 def _digests(ranks: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        tokens, out = _token_table(ranks), []
+        tokens, out, owners = _token_table(ranks), [], []
         decimal = np.array([b"%d" % k for k in range(len(tokens))], object)
         for keys, position, rows, flat, n in _assembled(block, answers):
+            owners.append(array_of(keys))
             spans = _spans(n)
             names, pieces = decimal[flat].tolist(), np.array(tokens, object)[flat].tolist()
             text = [b",".join(names[a:b]) for a, b in spans]
@@ -153,7 +156,7 @@ def _digests(ranks: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 joined, bytes_ = b",".join([text[p] for p in at]), b"".join([back[p] for p in at])
                 out.append((int(totals[k + 1] - totals[k]), hashlib.sha256(joined).hexdigest(), hashlib.sha256(bytes_).hexdigest()))
         n_tokens, ids_sha, back_sha = zip(*out) if out else ((), (), ())
-        return pa.table({"doc_id": pa.concat_arrays([array_of(b.values) for b in block.column("keys")]), "n_tokens": pa.array(n_tokens, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(back_sha, pa.string())})
+        return pa.table({"doc_id": pa.concat_arrays(owners) if owners else pa.array([], block.schema.field("keys").type.value_type), "n_tokens": pa.array(n_tokens, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(back_sha, pa.string())})
 
     return run
 
@@ -165,6 +168,8 @@ def _ids(block: pa.Table, answers: pa.Table) -> pa.Table:
         keys_out.append(array_of(keys))
         ids_out.append(ids)
         offsets.append(ends[rows[1:]] + offsets[-1][-1])
+    if not keys_out:
+        return pa.table({"doc_id": pa.array([], block.schema.field("keys").type.value_type), "ids": pa.array([], pa.list_(pa.int32()))})
     return pa.table({"doc_id": pa.concat_arrays(keys_out), "ids": pa.ListArray.from_arrays(pa.array(np.concatenate(offsets), pa.int32()), pa.array(np.concatenate(ids_out).astype(np.int32)))})
 
 
@@ -173,13 +178,12 @@ def _encoded(df: DataFrame, id_col: str, text_col: str, ranks: str, n_buckets: i
     n_buckets = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     field = df.schema[id_col]
     kind = field.dataType.simpleString()
-    key_type = pa.schema([("k", pa.int64())]).field("k").type if kind == "bigint" else df.select(id_col).limit(0).toArrow().schema.field(0).type
+    key_type = to_arrow_type(field.dataType)
     rows = df.select(F.col(f"`{id_col}`").alias("_sw_id"), F.col(f"`{text_col}`").alias("_sw_text"))
-    every = stored(rows.mapInArrow(_blocks(n_buckets, key_type), f"block long, bucket int, keys array<{kind}>, words binary, lengths binary, positions binary, rows binary"), "bpe-blocks", "none")
-    words = every.where("bucket is not null").select("block", "bucket", "words", "lengths")
-    answers = words.groupBy("bucket").applyInArrow(_encode_bucket(ranks), "block long, bucket int, ids binary, counts binary")
-    blocks = every.where("bucket is null").select("block", "keys", "positions", "rows")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, columns.format(kind=kind))
+    # one exchange, read twice: words lie with their bucket, blocks with their number
+    every = rows.mapInArrow(_blocks(n_buckets, key_type), f"key long, block long, keys array<{kind}>, words binary, lengths binary, positions binary, rows binary").repartition(n_buckets, "key")
+    answers = every.mapInArrow(_encode_words(ranks), "block long, bucket long, ids binary, counts binary")
+    return every.groupBy("key").cogroup(answers.groupBy("block")).applyInArrow(assemble, columns.format(kind=kind))
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = "byte_bpe_multi_50k.tiktoken", n_buckets: int | None = None) -> DataFrame:

@@ -25,8 +25,8 @@ from sparkwarden.llm._shared import stored
 
 WINDOW = 50
 GRAM = 16
-#: Documents with an anchor beyond which its windows are dealt singly.
-HOT = 1000
+#: Documents with an anchor beyond which its windows are dealt singly; the runs of so many fit an index.
+HOT = 20_000
 #: Words in an FM-index; a shard partition is cut into indexes of about this size, by anchor.
 INDEX_WORDS = 1_000_000
 NO_ID = np.iinfo(np.int64).max
@@ -129,13 +129,14 @@ def matched_windows(index: FMIndex, text: np.ndarray, begins: np.ndarray, length
     q, t = live, np.zeros(len(live), np.int64)
     cur, resume, mode = np.full(len(q), -1), np.zeros(len(q), np.int64), np.zeros(len(q), np.int8)
     done, lo, hi = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64), np.full(len(q), index.n)
-    tests = {3, 6, 12, 25, window}
+    tested = np.zeros(window + 1, bool)  # lengths at which it is asked whether a smaller owner is among the matches
+    tested[3::4] = tested[window] = True
     while len(q):
         symbol = text[begins[q] + t + (window - 1 - done)]
         lo, hi = index.step(symbol, lo, hi)
         done = done + 1
         fail = hi <= lo
-        ask = np.flatnonzero(~fail & np.isin(done, list(tests)))
+        ask = np.flatnonzero(~fail & tested[done])
         if len(ask):
             fail[ask] = index.least_owner(lo[ask], hi[ask]) >= owner[q[ask]]
         match = ~fail & (done == window)
@@ -207,7 +208,14 @@ def _shard(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         later = ids[order] > owner[group]
         k = order[later]
         yield pa.RecordBatch.from_pydict({"id": ids[k], "h": h[k], "begin": at[k].astype(np.int64), "end": (at[k] + n[k]).astype(np.int64)})
-        # every row of the least document gets what its piece shares with other pieces
+        # every row of the least document gets what its piece shares with other pieces; an anchor with one piece, or with single
+        # windows only, is settled by then
+        several = np.repeat((m := np.diff(np.append(k := np.flatnonzero(np.concatenate([[True], a[head][1:] != a[head][:-1]])), len(head)))) > 1, m)
+        long = np.repeat(np.maximum.reduceat(n[order][head], k) > window, m)
+        size = np.diff(np.append(head, len(order)))
+        head, owner, size = (x[several & long] for x in (head, owner, size))
+        if not len(head):
+            return
         total = np.cumsum(n[order][head])
         cuts = np.searchsorted(total, np.arange(0, total[-1], INDEX_WORDS), "right")
         heads_anchor = a[head]
@@ -219,7 +227,6 @@ def _shard(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             if len(piece):
                 piece = piece + begin
                 # rows of these pieces that belong to the least document
-                size = np.diff(np.append(head, len(order)))
                 rows = np.repeat(head[piece], size[piece]) + np.arange(size[piece].sum()) - np.repeat(np.cumsum(size[piece]) - size[piece], size[piece])
                 x, y = np.repeat(x, size[piece]), np.repeat(y, size[piece])
                 mine = ~later[rows]

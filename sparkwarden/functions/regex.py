@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 WORD = "A-Za-z0-9_"
 #: White space and line ends of the web's dialect, for use inside a character class.
 SPACES = "\\t-\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
@@ -47,3 +49,37 @@ def java(pattern: str, flags: str = "") -> str:
             out.append(c)
         k += 1
     return ("(?iu)" if "i" in flags else "") + "".join(out)
+
+
+def literals(pattern: str, least: int = 3) -> frozenset[str] | None:
+    """Strings of which every match holds at least one; None if there are none of `least` characters.
+
+    They let a cheap search for substrings spare most texts the pattern itself.
+    """
+
+    def of(tokens) -> frozenset[str] | None:
+        best, run = None, ""
+
+        def better(found: frozenset[str] | None) -> None:
+            nonlocal best
+            if found and all(len(x) >= least for x in found) and (best is None or (min(map(len, found)), -len(found)) > (min(map(len, best)), -len(best))):
+                best = found
+
+        for op, arg in tokens:
+            name = str(op)
+            if name == "LITERAL":
+                run += chr(arg)
+                continue
+            better(frozenset([run]))
+            run = ""
+            if name == "SUBPATTERN":
+                better(of(arg[3]))
+            elif name == "BRANCH":
+                parts = [of(b) for b in arg[1]]
+                better(frozenset().union(*parts) if all(parts) else None)
+            elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
+                better(of(arg[2]))
+        better(frozenset([run]))
+        return best
+
+    return of(re._parser.parse(pattern))

@@ -113,7 +113,11 @@ def _folds() -> tuple[str, str, dict[str, str]]:
 
 
 def _fold(c: Column) -> Column:
+    """ASCII texts stay; texts of Latin letters up to U+017F (but for those that become several) need a small table only."""
     old, new, many = _folds()
+    latin = [(a, b) for a, b in zip(old, new) if a <= "\u017f"]
+    small = F.translate(c, "".join(a for a, _ in latin), "".join(b for _, b in latin))
+    beyond = "[^\\x00-\\x{17F}]|[" + "".join(ch for ch in many if ch <= "\u017f") + "]"
     codes = sorted(map(ord, many))
     spans: list[list[int]] = []
     for k in codes:
@@ -123,16 +127,25 @@ def _fold(c: Column) -> Column:
             spans.append([k, k])
     several = "[" + "".join(f"\\x{{{x:X}}}-\\x{{{y:X}}}" for x, y in spans) + "]"
     table = F.map_from_arrays(F.split(F.lit("\u0001".join(many)), "\u0001"), F.split(F.lit("\u0001".join(many.values())), "\u0001"))
-    spread = lambda x: replace_each(x, several, lambda m, _: F.coalesce(F.element_at(table, m), m))
-    return let(c, lambda x: F.when(F.octet_length(x) == F.char_length(x), x).otherwise(F.translate(spread(x), old, new)))
+    # without let(): these expressions are cheap, and deep nesting is dear to analyse
+    spread = F.when(c.rlike(several), F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(F.element_at(table, ch), ch)), "")).otherwise(c)
+    return F.when(F.octet_length(c) == F.char_length(c), c).when(~c.rlike(beyond), small).otherwise(F.translate(spread, old, new))
+
+
+def lowered(c: Column) -> Column:
+    """The first half of normalize: lower case, without invisible characters, ß as ss."""
+    return F.replace(F.lower(F.regexp_replace(text_of(c), INVISIBLE, "")), F.lit("ß"), F.lit("ss"))
+
+
+def folded(low: Column) -> Column:
+    """The second half of normalize; `low` is best a column of its own, as it is named several times."""
+    s = F.regexp_replace(F.regexp_replace(_fold(low), "[’'`´]", ""), "[“”„«»]", '"')
+    return F.regexp_replace(s, "[ \\t\\u00A0]+", " ")
 
 
 def normalize(c: Column) -> Column:
     """Lower case, without accents, look-alikes and invisible characters; quotes unified, blanks single, newlines kept."""
-    s = F.regexp_replace(text_of(c), INVISIBLE, "")
-    s = _fold(F.replace(F.lower(s), F.lit("ß"), F.lit("ss")))
-    s = F.regexp_replace(F.regexp_replace(s, "[’'`´]", ""), "[“”„«»]", '"')
-    return F.regexp_replace(s, "[ \\t\\u00A0]+", " ")
+    return folded(lowered(c))
 
 
 def squash_normalized(norm: Column) -> Column:
@@ -144,11 +157,19 @@ def squash(c: Column) -> Column:
     return squash_normalized(normalize(c))
 
 
-def any_unnegated(norm: Column, pattern: str) -> Column:
-    """Whether a match isn't preceded, within 40 characters, by a negation and at most one word."""
-    p = java(pattern)
+def plain(norm: Column) -> Column:
+    """Normalised text in which what isn't ASCII is a sign (or, if white space, a white space) of one character.
+
+    Patterns of ASCII letters match it as they match the text, and Java's word borders are ASCII's there.
+    """
+    bare = F.regexp_replace(F.regexp_replace(norm, "[\\u1680\\u2028\\u2029]", "\u000b"), "[^\\x00-\\x7F]", "\u00a7")
+    return F.when(F.octet_length(norm) == F.char_length(norm), norm).otherwise(bare)
+
+
+def any_unnegated(norm: Column, p: str) -> Column:
+    """Whether a match of p in a plain text isn't preceded, within 40 characters, by a negation and at most one word."""
     before = lambda parts, k: F.right(F.replace(F.array_join(F.slice(parts, 1, k), ""), F.lit(CLOSE), F.lit("")), F.lit(40))
-    free = lambda parts: F.exists(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: ~before(parts, k).rlike(java(NEGATION_BEFORE)))
+    free = lambda parts: F.exists(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: ~before(parts, k).rlike(NEGATION_BEFORE.replace("$", "\\z")))
     return F.when(norm.rlike(p), let(marked(norm, p), free)).otherwise(F.lit(False))
 
 
@@ -257,6 +278,11 @@ def host_matches(host: Column, domains: Column) -> Column:
 
 def extract_urls(c: Column) -> Column:
     """Links in order, each once (by its lower case): array of (url, host)."""
+    none = F.array().cast("array<struct<url:string,host:string>>")
+    return F.when(text_of(c).rlike(f"(?i)https?://|www\\.|\\.(?:{'|'.join(TLDS)})(?![a-z0-9])"), _urls(c)).otherwise(none)
+
+
+def _urls(c: Column) -> Column:
     found = matches(text_of(c), URL, is_url_start)
     urls = F.transform(found, lambda u: F.regexp_replace(u, "[.,;:!?'\"]+(?![\\s\\S])", ""))
     both = F.filter(F.transform(urls, lambda u: F.struct(u.alias("url"), host_of(u).alias("host"))), lambda x: x["host"] != "")
@@ -287,7 +313,8 @@ def extract_ibans(c: Column) -> Column:
 
 def extract_phones(c: Column) -> Column:
     s = replace_each(text_of(c), IBAN, lambda m, _: F.when(is_iban(m), F.lit(" ")).otherwise(m))
-    return F.transform(F.filter(matches(s, PHONE), is_phone), trim)
+    some = text_of(c).rlike("[+0][1-9](?:[ \\t/().-]{0,2}[0-9]){6}")
+    return F.when(some, F.transform(F.filter(matches(s, PHONE), is_phone), trim)).otherwise(F.array().cast("array<string>"))
 
 
 def deobfuscate_emails(c: Column) -> Column:
@@ -298,7 +325,9 @@ def deobfuscate_emails(c: Column) -> Column:
 
 def extract_emails(c: Column) -> Column:
     """Addresses in lower case and order, each once."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(deobfuscate_emails(c), F.lit(f"({EMAIL})"), 1), F.lower))
+    found = F.array_distinct(F.transform(F.regexp_extract_all(deobfuscate_emails(c), F.lit(f"({EMAIL})"), 1), F.lower))
+    some = F.contains(text_of(c), F.lit("@")) | text_of(c).rlike("(?iu)[(\\[{][^a-z]*(?:at|ät)[^a-z]*[)\\]}]|[^a-z](?:dot|punkt)[^a-z]")
+    return F.when(some, found).otherwise(F.array().cast("array<string>"))
 
 
 # ------------------------------------------------------------------------------------------------- redaction

@@ -106,7 +106,7 @@ def extract_message(df: DataFrame, body: str = "body", platform: str = "platform
     four = three.withColumn("_tail", tail)
     five = four.withColumn("_end", F.array_position(F.transform("_tail", lambda x: F.regexp_like(x, F.col("_ends"))), True))
     cut = F.when(F.col("_end") > 0, F.slice("_tail", 1, F.greatest(F.col("_end").cast("int") - 1, F.lit(0)))).otherwise(F.col("_tail"))
-    six = five.withColumn("_cut", _cleaned(cut, F.col("_allowed")))
+    six = five.withColumn("_cut", F.when(F.rand(1) >= 0, _cleaned(cut, F.col("_allowed"))))  # a barrier, as in risk.evaluate
     good = T.utf16_length(F.col("_cut")) >= 2
     how = F.when(good & (F.col("_at") > 0), "MARKER").when(good & (F.col("_end") > 0), "HEURISTIK").otherwise("VOLLTEXT")
     done = six.withColumns({out: F.when(good, F.col("_cut")).otherwise(_cleaned(F.col("_lines"), F.col("_allowed"))), "extraction": how})

@@ -96,7 +96,8 @@ def evaluate(df: DataFrame, text: str = "text", allowed: str = "allowed_domains"
         for group in c.requires:
             whole = whole & _any([F.col(f"_hit_{i}").isNotNull() for i in group if i in known])
         joint.append(F.when(whole, finding(len(rules) + k, c, F.lit(""))))
-    found = hits.withColumn("_found", F.array_sort(F.array_compact(F.array(*single, *joint))))
+    # rand() keeps the optimizer from pushing filters on the result below, where they would multiply the expressions
+    found = hits.withColumn("_found", F.when(F.rand(1) >= 0, F.array_sort(F.array_compact(F.array(*single, *joint)))))
     score = F.least(F.lit(100), F.aggregate("_found", F.lit(0), lambda a, f: a + f["weight"]))
     scored = found.withColumns({"score": score, "critical": F.exists("_found", lambda f: f["critical"])})
     level = F.when(F.col("critical") | (F.col("score") >= HIGH_THRESHOLD), "HIGH").when(F.col("score") >= MEDIUM_THRESHOLD, "MEDIUM").otherwise("LOW")

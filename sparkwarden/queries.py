@@ -1,0 +1,224 @@
+"""The registered queries of the message engine over the driver's tables, and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkwarden.functions import text as T
+from sparkwarden.operators import heuristics, notify, pipeline, risk
+from sparkwarden.plans.catalog import COMBOS, RULES, Rule
+from sparkwarden.plans.config import Settings
+from sparkwarden.sources import messages
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents and conversations as messages of no platform."""
+    docs = _table(spark, sf_dir, "documents").select(F.lit("document").alias("origin"), F.col("doc_id").alias("key"), F.lit(0).cast("long").alias("part"), "text")
+    turns = _table(spark, sf_dir, "conversations").select(F.lit("conversation").alias("origin"), F.col("conv_id").alias("key"), F.col("turn").alias("part"), "text")
+    return docs.unionByName(turns).withColumn("allowed_domains", F.array().cast("array<string>"))
+
+
+# --------------------------------------------------------------------------------------------- SQL building blocks
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+SQL_NORM = "regexp_replace(regexp_replace(regexp_replace(strip_accents(replace(lower(coalesce(text, '')), 'ß', 'ss')), '[’''`´]', '', 'g'), '[“”„«»]', '\"', 'g'), '[ \\t\u00a0]+', ' ', 'g')"
+SQL_SQUASH = "regexp_replace(translate(norm, '013457@$', 'oieastas'), '[^a-z]', '', 'g')"
+_EMAIL = r"(?i)[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,24}"
+_PHONE = r"(?:\+|\b00|\b0)[1-9](?:[ \t/().-]{0,2}\d){6,14}(?:\D|$)"
+SQL_EMAILS = f"list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), {_q(_EMAIL)}), lambda x: lower(x)))"
+SQL_PHONES = f"list_filter(regexp_extract_all(coalesce(text, ''), {_q(_PHONE)}), lambda x: length(regexp_replace(x, '\\D', '', 'g')) BETWEEN 9 AND 15 AND NOT regexp_matches(x, '^\\d{{1,2}}\\.\\d{{1,2}}\\.\\d{{2,4}}'))"
+SQL_MESSAGES = "(SELECT 'document' AS origin, doc_id AS key, 0 AS part, text FROM documents UNION ALL SELECT 'conversation', conv_id, turn, text FROM conversations)"
+_NEGATED = r"\b(kein|keine|keinen|keinem|keiner|nicht|ohne|nie|niemals)\s+(?:[a-z]+\s+)?"
+
+
+def _sql_hit(r: Rule) -> str:
+    """Whether a rule is hit. Links don't occur in the driver's texts; negated matches are deleted first."""
+    if r.id == "PHONE_NUMBER":
+        return "len(phones) > 0"
+    if r.id == "EMAIL_ADDRESS":
+        return "len(emails) > 0"
+    if r.detect:
+        return "false"
+    seen = " OR ".join(f"regexp_matches(norm, {_q(p)})" for p in r.patterns)
+    free = " OR ".join(f"regexp_matches(regexp_replace(norm, {_q(_NEGATED + '(?:' + p + ')')}, ' ', 'g'), {_q(p)})" for p in r.patterns) if r.negatable else seen
+    spelled = " OR ".join(f"contains(squashed, {_q(k)})" for k in r.squashed)
+    return f"(({free}) OR (NOT ({seen}) AND ({spelled})))" if spelled else f"({free})"
+
+
+def _sql_rated() -> str:
+    """Messages with each rule's hit, score, critical and level."""
+    hits = ", ".join(f"{_sql_hit(r)} AS h_{r.id}" for r in RULES)
+    combos = ", ".join("(" + " AND ".join("(" + " OR ".join(f"h_{i}" for i in g) + ")" for g in c.requires) + f") AS h_{c.id}" for c in COMBOS)
+    every = [(r.id, r.weight, r.critical) for r in RULES] + [(c.id, c.bonus, c.critical) for c in COMBOS]
+    score = " + ".join(f"CASE WHEN h_{i} THEN {w} ELSE 0 END" for i, w, _ in every)
+    critical = " OR ".join(f"h_{i}" for i, _, c in every if c)
+    return f"""(SELECT *, CASE WHEN critical OR score >= 60 THEN 'HIGH' WHEN score >= 20 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM
+      (SELECT *, CAST(least(100, {score}) AS INTEGER) AS score, ({critical}) AS critical FROM
+       (SELECT *, {combos} FROM
+        (SELECT *, {hits} FROM (SELECT *, {SQL_SQUASH} AS squashed FROM (SELECT *, {SQL_NORM} AS norm, {SQL_EMAILS} AS emails, {SQL_PHONES} AS phones FROM {SQL_MESSAGES}))))))"""
+
+
+# --------------------------------------------------------------------------------------------- rules
+
+
+@query("q_risk_levels", f"SELECT origin, level, count(*) AS n, CAST(sum(score) AS BIGINT) AS total_score FROM {_sql_rated()} GROUP BY origin, level")
+def risk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = risk.evaluate(_messages(spark, sf_dir))
+    return rated.groupBy("origin", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total_score"))
+
+
+@query("q_risk_scores", f"SELECT origin, key, part, level, score, critical FROM {_sql_rated()}")
+def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.evaluate(_messages(spark, sf_dir)).select("origin", "key", "part", "level", "score", "critical")
+
+
+@query("q_rule_hits", " UNION ALL ".join(f"SELECT {_q(r.id)} AS rule_id, CAST(count(*) FILTER (h_{r.id}) AS BIGINT) AS n FROM rated" for r in RULES).join([f"WITH rated AS (SELECT * FROM {_sql_rated()}) SELECT * FROM (", ") WHERE n > 0"]))
+def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = risk.evaluate(_messages(spark, sf_dir), combos=()).select(F.explode("findings").alias("f"))
+    return found.groupBy(F.col("f.id").alias("rule_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _rule_query(r: Rule) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ctx = risk.with_context(_messages(spark, sf_dir))
+        hit = risk.hit(r, {k: F.col(k) for k in ("norm", "plain", "squashed", "urls", "phones", "emails")})
+        return ctx.select("origin", hit.isNotNull().alias("hit")).groupBy("origin").agg(F.count_if("hit").alias("n_hits"), F.count(F.lit(1)).alias("n"))
+
+    return run
+
+
+for _r in RULES:
+    query(f"q_rule_{_r.id.lower()}", f"SELECT origin, CAST(count(*) FILTER (h_{_r.id}) AS BIGINT) AS n_hits, count(*) AS n FROM {_sql_rated()} GROUP BY origin")(_rule_query(_r))
+
+
+@query("q_combine_levels", f"""
+SELECT r.key AS doc_id, r.level AS rule_level, l.llm_level, CASE WHEN l.k > r.k THEN l.llm_level ELSE r.level END AS level, l.k > r.k AS escalated_by_llm
+FROM (SELECT *, CASE level WHEN 'LOW' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END AS k FROM {_sql_rated()} WHERE origin = 'document') r
+JOIN (SELECT doc_id, CASE WHEN toxic = 1 THEN 'HIGH' WHEN quality = 0 THEN 'MEDIUM' ELSE 'LOW' END AS llm_level, CASE WHEN toxic = 1 THEN 2 WHEN quality = 0 THEN 1 ELSE 0 END AS k FROM labels) l ON l.doc_id = r.key""")
+def combine_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdict = F.when(F.col("toxic") == 1, "HIGH").when(F.col("quality") == 0, "MEDIUM").otherwise("LOW")
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), verdict.alias("llm_level"), F.array().cast("array<string>").alias("llm_indicators"))
+    rated = risk.evaluate(_messages(spark, sf_dir).where("origin = 'document'"))
+    return risk.combine(rated.join(labels, "key")).select(F.col("key").alias("doc_id"), "rule_level", "llm_level", "level", "escalated_by_llm")
+
+
+# --------------------------------------------------------------------------------------------- text functions
+
+
+def _per_document(name: str, sql: str | None, table: str = "documents", key: str = "doc_id", **columns: Callable[[], Column]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _table(spark, sf_dir, table).select(key, *[make().alias(n) for n, make in columns.items()])
+
+    query(name, sql)(run)
+
+
+
+
+@query("q_extract_emails", f"SELECT doc_id, CAST(len({SQL_EMAILS}) AS INTEGER) AS n_emails, list_aggregate(list_sort({SQL_EMAILS}), 'string_agg', ',') AS emails FROM documents WHERE len({SQL_EMAILS}) > 0")
+def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _table(spark, sf_dir, "documents").select("doc_id", T.extract_emails(F.col("text")).alias("e"))
+    return found.where(F.size("e") > 0).select("doc_id", F.size("e").alias("n_emails"), F.array_join(F.array_sort("e"), ",").alias("emails"))
+
+
+_per_document("q_extract_phones", f"SELECT doc_id, CAST(len({SQL_PHONES}) AS INTEGER) AS n_phones FROM documents", n_phones=lambda: F.size(T.extract_phones(F.col("text"))))
+_per_document("q_normalize_squash", f"SELECT doc_id, md5(norm) AS norm_md5, md5({SQL_SQUASH}) AS squash_md5 FROM (SELECT doc_id, {SQL_NORM} AS norm FROM documents)", norm_md5=lambda: F.md5(T.normalize(F.col("text"))), squash_md5=lambda: F.md5(T.squash(F.col("text"))))
+_per_document("q_escape_html", "SELECT page_id, md5(replace(replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS escaped_md5 FROM pages", "pages", "page_id", escaped_md5=lambda: F.md5(T.escape_html(F.col("html"))))
+_per_document("q_host_of_pages", "SELECT page_id, regexp_replace(lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?([^/?#\\s]+)', 1)), '^www\\.', '') AS host FROM pages", "pages", "page_id", host=lambda: T.host_of(F.col("url")))
+_per_document("q_host_suffix_match", "SELECT page_id, (h = 'example.com' OR h LIKE '%.example.com') AS matches FROM (SELECT page_id, lower(regexp_extract(url, '^(?:[a-z]+://)?([^/?#]+)', 1)) AS h FROM pages)", "pages", "page_id", matches=lambda: T.host_matches(T.host_of(F.col("url")), F.array(F.lit(".example.com"), F.lit(""))))
+_per_document("q_truncate", "SELECT doc_id, CASE WHEN length(s) <= 80 THEN s ELSE rtrim(CASE WHEN p > 64 THEN left(c, p) ELSE c END, chr(32) || chr(10) || chr(9) || chr(13)) || '…' END AS short FROM (SELECT doc_id, coalesce(text, '') AS s, left(coalesce(text, ''), 79) AS c, CASE WHEN contains(left(coalesce(text, ''), 79), ' ') THEN 79 - instr(reverse(left(coalesce(text, ''), 79)), ' ') ELSE -1 END AS p FROM documents)", short=lambda: T.truncate(F.col("text"), 80))
+_per_document("q_one_line", None, short=lambda: T.one_line(F.col("text"), 120))
+_per_document("q_parse_number", "SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS value FROM orders", "orders", "o_orderkey", value=lambda: T.parse_number(F.translate(F.format_number(F.col("o_totalprice").cast("double"), 2), ",.", ".,")))
+_per_document("q_format_euro", "SELECT o_orderkey, regexp_replace(replace(replace(replace(format('{:,.2f}', CAST(o_totalprice AS DOUBLE)), ',', 'x'), '.', ','), 'x', '.'), ',00$', '') || ' €' AS euro FROM orders", "orders", "o_orderkey", euro=lambda: T.format_euro(F.col("o_totalprice").cast("double")))
+_per_document("q_html_to_text", None, "pages", "page_id", text=lambda: T.html_to_text(F.col("html")))
+_per_document("q_strip_tags", None, "pages", "page_id", text=lambda: T.strip_tags(F.col("html")))
+_per_document("q_redact_secrets", None, redacted=lambda: T.redact_secrets(F.col("text")))
+_per_document("q_redact_pii", None, redacted=lambda: T.redact_pii(F.col("text")))
+_per_document("q_defang", None, text=lambda: T.defang_urls(F.col("text"), F.array().cast("array<string>")))
+
+
+# --------------------------------------------------------------------------------------------- heuristics, replies
+
+
+def _sql_payment() -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(norm, {_q(p)}) THEN {_q(n)}" for p, n in heuristics.PAYMENTS) + " END"
+
+
+@query("q_heuristic_payment", f"SELECT conv_id, turn, {_sql_payment()} AS guess_payment FROM (SELECT *, {SQL_NORM} AS norm FROM conversations WHERE role = 'user')")
+def heuristic_payment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("norm", T.normalize(F.col("text")))
+    return turns.withColumn("plain", T.plain(F.col("norm"))).select("conv_id", "turn", heuristics.payment(F.col("plain")).alias("guess_payment"))
+
+
+@query("q_heuristic_fields")
+def heuristic_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("allowed_domains", F.array().cast("array<string>"))
+    return heuristics.with_heuristics(risk.with_context(turns)).select("conv_id", "turn", "guess_intent", "guess_price", "guess_logistics", "guess_payment")
+
+
+@query("q_notifications")
+def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as mails through the whole pipeline, with the language model out of reach."""
+    t = _table(spark, sf_dir, "conversations").where("role = 'user'")
+    mails = t.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("conv_id").cast("string").alias("thread_id"), F.lit("Nachricht zu deiner Anzeige").alias("subject"), F.lit("A <a@mail.kleinanzeigen.de>").alias("sender"), F.lit("").alias("reply_to"), F.lit(None).cast("timestamp").alias("received_at"), F.col("text").alias("plain_body"), F.lit("").alias("html_body"), F.lit("").alias("permalink"))
+    return pipeline.process(mails, Settings()).select("id", "level", "score", "intent", "logistics", "reply_source", T.utf16_length(F.col("notification")).alias("length"), (T.utf16_length(F.col("notification")) <= notify.LIMIT).alias("fits"))
+
+
+# --------------------------------------------------------------------------------------------- sources and state
+
+_DONE = "SELECT event_id FROM events WHERE event_type = 'purchase'"
+
+
+@query("q_candidates_anti_done", f"SELECT event_id, ts FROM (SELECT * FROM events WHERE event_id NOT IN ({_DONE}) ORDER BY ts DESC, event_id DESC LIMIT 30)")
+def candidates_anti_done(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events")
+    return messages.candidates(events, events.where("event_type = 'purchase'"), 30, "event_id", "ts").select("event_id", "ts")
+
+
+@query("q_done_fifo400", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id ORDER BY max(event_id) DESC LIMIT 400")
+def done_fifo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages.keep_last(_table(spark, sf_dir, "events"), "user_id", "event_id", 400)
+
+
+@query("q_alert_throttle", "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, floor(epoch(ts) / 3600) ORDER BY ts, event_id) AS r FROM events WHERE event_type = 'error') WHERE r = 1")
+def alert_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages.throttled(_table(spark, sf_dir, "events").where("event_type = 'error'"), "user_id", "ts", 3600).select("event_id", "user_id")
+
+
+@query("q_attempts_giveup", "SELECT user_id, count(*) AS attempts, count(*) >= 5 AS given_up FROM events WHERE event_type = 'error' GROUP BY user_id")
+def attempts_giveup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").where("event_type = 'error'").groupBy("user_id").agg(F.count(F.lit(1)).alias("attempts"), (F.count(F.lit(1)) >= 5).alias("given_up"))
+
+
+@query("q_run_stats", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q_newer_than_7d", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 7 DAY")
+def newer_than_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages.newer_than(_table(spark, sf_dir, "events"), "ts", 7, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")).select("event_id")

@@ -1 +1 @@
-""""""
+"""Row-wise operators on messages."""

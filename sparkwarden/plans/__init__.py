@@ -1 +1 @@
-""""""
+"""Catalogs and settings."""

@@ -1 +1 @@
-""""""
+"""Where messages come from."""

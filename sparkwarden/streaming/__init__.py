@@ -1 +1 @@
-""""""
+"""The delivery loop."""

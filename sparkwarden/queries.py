@@ -99,8 +99,10 @@ def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_rule_hits", " UNION ALL ".join(f"SELECT {_q(r.id)} AS rule_id, CAST(count(*) FILTER (h_{r.id}) AS BIGINT) AS n FROM rated" for r in RULES).join([f"WITH rated AS (SELECT * FROM {_sql_rated()}) SELECT * FROM (", ") WHERE n > 0"]))
 def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = risk.evaluate(_messages(spark, sf_dir), combos=()).select(F.explode("findings").alias("f"))
-    return found.groupBy(F.col("f.id").alias("rule_id")).agg(F.count(F.lit(1)).alias("n"))
+    # counted in one pass; exploding the findings of each message would multiply rows for nothing
+    ids = risk.evaluate(_messages(spark, sf_dir)).select(F.transform("findings", lambda f: f["id"]).alias("ids"), "score")
+    counts = ids.agg(*[F.count_if(F.array_contains("ids", r.id)).alias(r.id) for r in RULES], F.sum("score").alias("_score"))
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.col(r.id).alias("n")) for r in RULES])).alias("x")).select("x.*").where("n > 0")
 
 
 def _rule_query(r: Rule) -> Query:

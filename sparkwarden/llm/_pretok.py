@@ -18,7 +18,7 @@ import numpy as np
 from sparkwarden.llm._arrays import BYTE_BASE, U, span_hashes
 
 #: Bytes of text pre-tokenised at once.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: The characters with the Unicode property White_Space.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -87,7 +87,7 @@ def distinct(buf: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class WordEncoder:
     """Byte-pair encoding of single pre-tokens by a tiktoken ranks file. `limit` bounds the cache."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 150_000):
         import tiktoken
 
         with open(path, "rb") as f:

@@ -23,6 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Let Arrow batches hold at most 2,000 rows (10,000 is usual), so that batches of whole texts stay small in Python workers."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return spark
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; it is deleted when the driver ends."""
     path = f"{shared_dir(spark)}/sparkwarden/{uuid.uuid4().hex}-{name}"

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkwarden.llm import _pretok
-from sparkwarden.llm._arrays import BYTE_BASE, U, array_of, binary, chunks, span_hashes, text_bytes
+from sparkwarden.llm._arrays import BYTE_BASE, U, array_of, binary, chunks, span_hashes, text_bytes, tidy
 from sparkwarden.llm._shared import stored
 from sparkwarden.llm.packing import encoder
 
@@ -59,6 +59,7 @@ def _blocks(n_buckets: int, key_type: pa.DataType) -> Callable[[Iterator[pa.Reco
                 out[k].append(v)
         return pa.RecordBatch.from_pydict({"key": pa.array(out["key"], pa.int64()), "block": pa.array(out["block"], pa.int64()), "keys": pa.array(out["keys"], pa.list_(key_type)), **{k: pa.array(out[k], pa.binary()) for k in ("words", "lengths", "positions", "rows")}})
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = (TaskContext.get().partitionId() + 1) << 32, 0  # above all buckets
         state: tuple[list, list, list, list] = ([], [], [[], []], [])
@@ -87,6 +88,7 @@ def _blocks(n_buckets: int, key_type: pa.DataType) -> Callable[[Iterator[pa.Reco
 def _encode_words(ranks: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """All words of a partition: each distinct word is encoded once, and each block gets the ids of its words in its order."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, parts, owner_of = encoder(public_tokenizers.path(ranks)), [], []
         for batch in batches:

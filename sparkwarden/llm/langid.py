@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.llm._arrays import CHUNK, chunks, text_bytes
+from sparkwarden.llm._arrays import CHUNK, chunks, text_bytes, tidy
 
-DIMENSIONS, GRAM, SEED = 512, 3, 20_240_601
+DIMENSIONS, GRAM, SEED = 256, 3, 20_240_601
 #: Letters are told apart by 63 codes; code 0 is the gap between words.
 CODES = 64
 UNKNOWN = "und"
@@ -81,6 +81,7 @@ def grams(data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.nda
     return value[good], np.concatenate([[0], np.cumsum(np.bincount(row[good], minlength=j - i)[: j - i])])
 
 
+@tidy
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each label in the task: counts of n-grams, and how many texts."""
     total: dict[str, np.ndarray] = {}
@@ -98,6 +99,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts[name] = texts.get(name, 0) + int(here.sum())
     for name, count in total.items():
         yield pa.RecordBatch.from_pydict({"label": [name], "profile": pa.array([bundled(np.flatnonzero(count), count[count > 0]).tolist()], pa.list_(pa.float64())), "texts": pa.array([texts[name]], pa.int64())})
+    _tables.pop("grams", None)
 
 
 def bundled(gram: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -120,6 +122,7 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "lang")
 def _judge(prototypes: dict[str, list[float]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = sorted(prototypes)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = gram_vectors()
         p = np.array([prototypes[n] for n in names]).reshape(len(names), DIMENSIONS)
@@ -146,6 +149,7 @@ def _judge(prototypes: dict[str, list[float]]) -> Callable[[Iterator[pa.RecordBa
                         scores.append(float(min(1.0, max(0.0, cosine[k, best]))))
             rest = {n: batch.column(n) for n in batch.schema.names if n != "_sw_text"}
             yield pa.RecordBatch.from_pydict(rest | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
+        _tables.pop("grams", None)  # Python workers live on; later stages need the memory
 
     return run
 

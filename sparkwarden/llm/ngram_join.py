@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.llm._arrays import WORD_BASE, U, binary, chunks, gram_hashes, mixed, span_hashes, text_bytes, word_hashes, words
+from sparkwarden.llm._arrays import U, WORD_BASE, binary, chunks, gram_hashes, mixed, span_hashes, text_bytes, tidy, word_hashes, words
 from sparkwarden.llm._components import components
 from sparkwarden.llm._filters import key_filter, maybe_in
 from sparkwarden.llm._shared import stored
@@ -55,6 +55,7 @@ def _grams(word: np.ndarray, firsts: np.ndarray, gram: int) -> tuple[np.ndarray,
 
 
 def _sketches(gram: int, places: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _seeds(places)
         for batch in batches:
@@ -85,6 +86,7 @@ def _paths(runs: int, depth: int, step: int) -> Callable[[Iterator[pa.RecordBatc
     """Buckets (path, node) of the next step; at step 0 each run begins one."""
     places = runs * depth
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -122,6 +124,7 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _compare(places: int, share: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Edges (a, b) that join what may be similar in each bucket of a partition."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
@@ -182,6 +185,7 @@ def _verify(gram: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]],
             link &= part[:, None] != part[None, :]
         return link.sum(1), np.argwhere(np.triu(link))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
@@ -270,6 +274,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def _with_nodes(rows: DataFrame) -> DataFrame:
     """Rows (id, text) with their nodes."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwarden.llm import _pretok
-from sparkwarden.llm._arrays import array_of, binary, chunks, text_bytes
+from sparkwarden.llm._arrays import array_of, binary, chunks, text_bytes, tidy
 from sparkwarden.llm._shared import stored
 
 _encoders: dict[str, _pretok.WordEncoder] = {}
@@ -34,6 +34,7 @@ def encoder(path: str) -> _pretok.WordEncoder:
 
 
 def _id_blocks(id_col: str, text_col: str, ranks: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task, before = encoder(public_tokenizers.path(ranks)), TaskContext.get().partitionId(), 0
         kind = np.uint16 if max(enc.size, end_id + 1) <= 1 << 16 else np.uint32
@@ -82,6 +83,7 @@ def cut(begin: int, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.nda
 
 
 def _pieces(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, counts, ids, n, begin in zip(batch.column("keys"), *(batch.column(c).to_pylist() for c in ("counts", "ids", "n_ids", "begin"))):
@@ -100,6 +102,7 @@ def _pieces(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 
 def _windows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, n, begin in zip(*(batch.column(c).to_pylist() for c in ("ids", "n_ids", "begin"))):

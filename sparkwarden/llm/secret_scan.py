@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.llm._arrays import chunks, text_bytes
+from sparkwarden.llm._arrays import chunks, text_bytes, tidy
 
 #: Labelled findings that a forest is trained from, at most.
 TRAIN_ROWS = 6000
@@ -222,6 +222,7 @@ SCAN = "n_candidates long, secrets array<struct<begin:int,end:int,score:double>>
 def _scan(forest: Forest, least: float, columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("_sw_text")

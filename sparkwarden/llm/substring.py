@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.llm._arrays import WORD_BASE, array_of, chunks, gram_hashes, span_hashes, text_bytes, word_hashes, words
+from sparkwarden.llm._arrays import WORD_BASE, array_of, chunks, gram_hashes, span_hashes, text_bytes, tidy, word_hashes, words
 from sparkwarden.llm._filters import key_filter, maybe_in
 from sparkwarden.llm._fm_index import ORDER, FMIndex
 from sparkwarden.llm._shared import stored
@@ -55,6 +55,7 @@ def _runs(word: np.ndarray, firsts: np.ndarray, window: int, gram: int) -> tuple
 
 
 def _anchors(window: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
@@ -74,6 +75,7 @@ PIECES = "route long, anchor long, words_hash long, id long, h long, at int, n i
 def _pieces(window: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Runs (or single windows) of shared anchors; their words are sent once for each distinct run and block."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
@@ -190,6 +192,7 @@ def _shard(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         index = FMIndex(text, size, np.repeat(owner, lengths + 1))
         return matched_windows(index, text, begins, lengths, owner, window)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
@@ -240,6 +243,7 @@ def _shard(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 def _kept(columns: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """n_words, n_removed and kept text of each row; columns begin and end, where there are any, hold the row's intervals."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()

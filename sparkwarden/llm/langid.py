@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.llm._arrays import CHUNK, chunks, text_bytes, tidy
 
-DIMENSIONS, GRAM, SEED = 256, 3, 20_240_601
+DIMENSIONS, GRAM, SEED = 512, 3, 20_240_601
 #: Letters are told apart by 63 codes; code 0 is the gap between words.
 CODES = 64
 UNKNOWN = "und"
@@ -38,16 +38,24 @@ def letter_codes() -> np.ndarray:
     return _tables["codes"]
 
 
-def gram_vectors() -> np.ndarray:
-    """The vectors of all n-grams of codes, one row each."""
-    if "grams" not in _tables:
+def _letter_vectors() -> tuple[np.ndarray, np.ndarray]:
+    """The bound vectors of all but an n-gram's last letter, a row each, and those of last letters: 2 MB, where all n-grams take 64 times that."""
+    if "heads" not in _tables:
         letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (CODES, DIMENSIONS))
         out = np.ones((1, DIMENSIONS), np.int8)
-        for place in range(GRAM):
+        for place in range(GRAM - 1):
             turned = np.roll(letters, GRAM - 1 - place, axis=1)
             out = (out[:, None, :] * turned[None, :, :]).reshape(-1, DIMENSIONS)
-        _tables["grams"] = out
-    return _tables["grams"]
+        _tables["heads"], _tables["last"] = out, letters
+    return _tables["heads"], _tables["last"]
+
+
+def gram_vectors(gram: np.ndarray) -> np.ndarray:
+    """The vectors of n-grams of codes, one row each."""
+    heads, last = _letter_vectors()
+    out = heads[gram // CODES]
+    out *= last[gram % CODES]
+    return out
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,14 +107,13 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts[name] = texts.get(name, 0) + int(here.sum())
     for name, count in total.items():
         yield pa.RecordBatch.from_pydict({"label": [name], "profile": pa.array([bundled(np.flatnonzero(count), count[count > 0]).tolist()], pa.list_(pa.float64())), "texts": pa.array([texts[name]], pa.int64())})
-    _tables.pop("grams", None)
 
 
 def bundled(gram: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The bundle of n-grams with their counts."""
-    vectors, out = gram_vectors(), np.zeros(DIMENSIONS)
+    out = np.zeros(DIMENSIONS)
     for k in range(0, len(gram), 4096):
-        out += count[k : k + 4096].astype(np.float64) @ vectors[gram[k : k + 4096]].astype(np.float64)
+        out += count[k : k + 4096].astype(np.float64) @ gram_vectors(gram[k : k + 4096]).astype(np.float64)
     return out
 
 
@@ -124,7 +131,6 @@ def _judge(prototypes: dict[str, list[float]]) -> Callable[[Iterator[pa.RecordBa
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = gram_vectors()
         p = np.array([prototypes[n] for n in names]).reshape(len(names), DIMENSIONS)
         p = p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
         for batch in batches:
@@ -136,7 +142,8 @@ def _judge(prototypes: dict[str, list[float]]) -> Callable[[Iterator[pa.RecordBa
                 for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
                     if a < b:
                         gram, count = np.unique(value[a:b], return_counts=True)
-                        profile[k] = count.astype(np.float32) @ vectors[gram].astype(np.float32)
+                        for c in range(0, len(gram), 4096):
+                            profile[k] += count[c : c + 4096].astype(np.float32) @ gram_vectors(gram[c : c + 4096]).astype(np.float32)
                 norm = np.linalg.norm(profile, axis=1)
                 cosine = profile @ p.T.astype(np.float32) / np.maximum(norm, 1e-12)[:, None] if names else np.zeros((j - i, 0))
                 for k in range(j - i):
@@ -149,7 +156,6 @@ def _judge(prototypes: dict[str, list[float]]) -> Callable[[Iterator[pa.RecordBa
                         scores.append(float(min(1.0, max(0.0, cosine[k, best]))))
             rest = {n: batch.column(n) for n in batch.schema.names if n != "_sw_text"}
             yield pa.RecordBatch.from_pydict(rest | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
-        _tables.pop("grams", None)  # Python workers live on; later stages need the memory
 
     return run
 

@@ -184,7 +184,10 @@ def train(findings: list[tuple[bytes, bytes, bytes, int]] | None = None) -> Fore
 
 
 def candidates(data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> list[tuple[int, int, int]]:
-    """(row, begin, end) in bytes of the row: runs of token characters with a digit or mixed case, and values after key words."""
+    """(row, begin, end) in bytes of the row: runs of token characters with a digit or mixed case, and values after key words.
+
+    A value and the runs that it overlaps are all candidates; `united` makes one span of them.
+    """
     raw = data[offsets[i] : offsets[j]]
     rows = offsets[i : j + 1] - offsets[i]
     found: set[tuple[int, int, int]] = set()
@@ -210,12 +213,21 @@ def candidates(data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> list[tu
         low = own.lower()
         if any(k.encode() in low for k in KEY_WORDS):
             for m in _VALUE.finditer(own):
-                a, b = m.span(1)
-                if not any(r == i + row and x < b and a < y for r, x, y in found):
-                    found.add((i + row, a, b))
+                found.add((i + row, *m.span(1)))
     return sorted(found)
 
 
+def united(spans: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """Spans (begin, end, score) in order, those that overlap as one with the largest score."""
+    out: list[tuple[int, int, float]] = []
+    for a, b, score in spans:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]), max(score, out[-1][2]))
+        else:
+            out.append((a, b, score))
+    return out
+
+
 SCAN = "n_candidates long, secrets array<struct<begin:int,end:int,score:double>>, redacted string"
 
 
@@ -232,11 +244,12 @@ def _scan(forest: Forest, least: float, columns: list[str]) -> Callable[[Iterato
                 found = candidates(data, offsets, i, j)
                 texts = {r: data[offsets[r] : offsets[r + 1]].tobytes() for r in {r for r, _, _ in found}}
                 x = np.array([features(texts[r][max(0, a - CONTEXT) : a], texts[r][a:b], texts[r][b : b + CONTEXT]) for r, a, b in found]).reshape(-1, len(FEATURES))
+                places: dict[int, list[tuple[int, int, float]]] = {}
                 for (r, a, b), score in zip(found, forest.score(x).tolist() if len(x) else []):
-                    number[r] += 1
-                    if score >= least:
-                        secrets[r].append((a, b, score))
+                    places.setdefault(r, []).append((a, b, score))
                 for r, own in texts.items():
+                    number[r] = len(united(places[r]))
+                    secrets[r] = united([p for p in places[r] if p[2] >= least])
                     if secrets[r]:
                         parts, at, spans = [], 0, []
                         for a, b, score in secrets[r]:
@@ -259,7 +272,8 @@ def _scan(forest: Forest, least: float, columns: list[str]) -> Callable[[Iterato
 def scan(df: DataFrame, text_col: str = "text", forest: Forest | None = None, least: float = 0.5) -> DataFrame:
     """All columns of df but `text_col`, with n_candidates, secrets (begin, end in code points, score) and redacted.
 
-    A candidate is a secret if the forest gives it `least` or more; in `redacted` each secret is replaced by [SECRET]. Null text
+    A candidate is a secret if the forest gives it `least` or more; candidates that overlap count as one, and secrets that do are
+    one, from the first's begin to the last's end. In `redacted` each secret is replaced by [SECRET]. Null text
     has no candidates and stays null, repeated rows are scanned as often as they occur, an empty table gives an empty result.
     """
     columns = [c for c in df.columns if c != text_col]

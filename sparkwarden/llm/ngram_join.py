@@ -217,14 +217,8 @@ def _verify(gram: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row for each row of df: `id_col`, class_id, n_links, n_copies.
-
-    Words are runs without ASCII white space; a text's set holds its `gram`-word shingles, or one shingle of all its words if it
-    has fewer. n_links counts the different texts of similarity `threshold` or more, n_copies the rows of the same words;
-    class_id is the least id among texts that links (and copies) join. Null and empty texts have no shingle, no links and no
-    copies but themselves: class_id is their own id. A null id stays null and counts as the largest. Ids are integers.
-    """
+def _classified(df: DataFrame, id_col: str, text_col: str, gram: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Every row (id, node, sketch; null ids as NO_ID), and every node that has words: node, first_id, n_copies, root, n_links."""
     spark = df.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs = runs_for(recall, threshold)
@@ -262,7 +256,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = stored(dealt.repartition(n_parts, "root", "x", "y").mapInArrow(_verify(gram, threshold), "a long, b long, links long"), "links")
     classes = components(found.where("links = 0").select("a", "b"))
     links = found.groupBy("a").agg(F.sum("links").alias("n_links"))
-    rooted = nodes.join(classes, "node", "left").join(links, F.col("node") == F.col("a"), "left").select("node", "first_id", "n_copies", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return every, nodes.join(classes, "node", "left").join(links, F.col("node") == F.col("a"), "left").select("node", "first_id", "n_copies", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row for each row of df: `id_col`, class_id, n_links, n_copies.
+
+    Words are runs without ASCII white space; a text's set holds its `gram`-word shingles, or one shingle of all its words if it
+    has fewer. n_links counts the different texts of similarity `threshold` or more, n_copies the rows of the same words;
+    class_id is the least id among texts that links (and copies) join. Null and empty texts have no shingle, no links and no
+    copies but themselves: class_id is their own id. A null id stays null and counts as the largest. Ids are integers.
+    """
+    every, rooted = _classified(df, id_col, text_col, gram, threshold, recall)
+    full = every.where("sketch is not null")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
     named = rooted.join(least, "root").select("node", "class_id", "n_links", "n_copies")
     null_id = lambda c: F.when(F.col(c) != int(NO_ID), F.col(c))
@@ -271,28 +277,47 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return joined.unionByName(bare).select(null_id("id").alias(id_col), null_id("class_id").alias("class_id"), "n_links", "n_copies")
 
 
-def _with_nodes(rows: DataFrame) -> DataFrame:
-    """Rows (id, text) with their nodes."""
+def _with_nodes(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """All columns of rows, and the node of each."""
+    kinds = "".join(f"_sw_{k} {f.dataType.simpleString()}, " for k, f in enumerate(rows.schema))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
+            data, offsets = text_bytes(batch.column(batch.num_columns - 1))
             for i, j in chunks(offsets):
                 buf, starts, ends, firsts = words(data, offsets, i, j)
                 node = span_hashes(word_hashes(buf, starts, ends), firsts[:-1], firsts[1:], 0xA24BAED4963EE407)
-                yield pa.RecordBatch.from_pydict({"node": node.view(np.int64), "id": batch.column("id").slice(i, j - i), "text": batch.column("text").slice(i, j - i)})
+                rest = {f"_sw_{k}": batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)}
+                yield pa.RecordBatch.from_pydict(rest | {"node": node.view(np.int64)})
 
-    return rows.select("id", "text").mapInArrow(run, "node long, id long, text string")
+    named = rows.select(*[F.col(f"`{c}`").alias(f"_sw_{k}") for k, c in enumerate(rows.columns)], F.col(f"`{text_col}`").alias("_sw_text"))
+    return named.mapInArrow(run, kinds + "node long").select(*[F.col(f"_sw_{k}").alias(c) for k, c in enumerate(rows.columns)], "node")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df without those that are near-duplicates of one with a smaller id; all columns stay."""
-    found = stored(near_duplicates(df, id_col, text_col).where("class_id is not null").select(F.col(id_col).alias("_sw_own"), "class_id").where("_sw_own is null or _sw_own != class_id").select("_sw_own").distinct(), "near")
-    marked = maybe_in(df.withColumn("_sw_id", F.col(id_col).cast("long")), "_sw_id", key_filter(found, "_sw_own"))
+    """The rows of df without those that are copies or near-duplicates of one with a smaller id; all columns stay.
+
+    One row of each class stays, also where its ids are null or repeated; an id on other texts drops none of their rows.
+    """
+    every, rooted = _classified(df, id_col, text_col, GRAM, THRESHOLD, RECALL)
+    keepers = rooted.groupBy("root").agg(F.min(F.struct("first_id", "node")).alias("keep"))
+    named = rooted.join(keepers, "root").select("node", F.col("keep.first_id").alias("keep_id"), F.col("keep.node").alias("keep_node"))
+    own = every.where("sketch is not null").groupBy("id", "node").agg(F.count(F.lit(1)).alias("n")).join(named, "node")
+    stays = (F.col("id") == F.col("keep_id")) & (F.col("node") == F.col("keep_node"))
+    found = stored(own.where(~stays | (F.col("n") > 1)).select(F.col("id").alias("_sw_id"), F.col("node").alias("_sw_node"), stays.alias("_sw_stays")), "near")
+    repeated = found.where("_sw_stays")
     columns = [F.col(f"`{c}`") for c in df.columns]
-    checked = marked.where("_sw_maybe").join(found, F.col("_sw_id").eqNullSafe(F.col("_sw_own")), "left_anti")
-    return marked.where("not _sw_maybe").select(*columns).unionByName(checked.select(*columns))
+    rows = df.withColumn("_sw_id", F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))))
+
+    def met(keys: DataFrame, how: str) -> DataFrame:
+        some = maybe_in(rows, "_sw_id", key_filter(keys, "_sw_id")).where("_sw_maybe").drop("_sw_maybe")
+        return _with_nodes(some, text_col).withColumnRenamed("node", "_sw_node").join(keys.select("_sw_id", "_sw_node"), ["_sw_id", "_sw_node"], how)
+
+    sure = maybe_in(rows, "_sw_id", key_filter(found, "_sw_id")).where("not _sw_maybe").select(*columns)
+    # of repeated rows (same id, same words) the longest stays
+    again = met(repeated, "left_semi").groupBy("_sw_id", "_sw_node").agg(F.max_by(F.struct(*columns), F.char_length(F.col(text_col))).alias("row"))
+    return sure.unionByName(met(found, "left_anti").select(*columns)).unionByName(again.select("row.*"))
 
 
 def brute_force(docs: list[tuple[int, str | None]], gram: int = GRAM, threshold: float = THRESHOLD) -> dict[int, tuple[int, int, int]]:

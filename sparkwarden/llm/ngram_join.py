@@ -26,16 +26,34 @@ from sparkwarden.llm._shared import stored
 GRAM, THRESHOLD, RECALL = 5, 0.8, 0.99999
 #: Steps of a path at most, and the bucket size up to which pairs are compared at once.
 DEPTH, LIMIT = 4, 256
-#: Sketches that agree in this share of places make a candidate; at similarity 0.8 fewer than one pair in a million agrees in less.
-SKETCH_SHARE = 0.5
+#: Sketches that agree in this share of their first COMPARED places make a candidate; at similarity 0.8 fewer than one pair in a million agrees in less.
+SKETCH_SHARE, COMPARED = 0.5, 48
 #: Nodes of a component that are verified in one task against as many others.
 BLOCK = 1024
 NO_ID = np.iinfo(np.int64).max
 
 
-def runs_for(recall: float, threshold: float, depth: int = 2) -> int:
+def branch_share(threshold: float) -> float:
+    """The share of paths that go on by two tokens, so that about 1/threshold do."""
+    return (int(100 / threshold) - 100) / 100
+
+
+def shared_path(threshold: float, depth: int) -> float:
+    """The chance that a pair at the threshold shares one of a run's paths to `depth` tokens, each token with a place of its own."""
+    rest = 1.0
+    for _ in range(depth - 1):
+        rest = 1 - (1 - threshold * rest) * (1 - branch_share(threshold) * threshold * rest)
+    return threshold * rest
+
+
+def runs_for(recall: float, threshold: float, depth: int = DEPTH) -> int:
     """Runs after which a pair at the threshold has shared a path of `depth` tokens with the chance `recall`."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth))
+    return math.ceil(math.log(1 - recall) / math.log(1 - shared_path(threshold, depth)))
+
+
+def places_of(runs: int, depth: int) -> int:
+    """Places of a sketch: a run's paths are a binary tree of `depth` levels, and each of its nodes has one."""
+    return runs * (2**depth - 1)
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -82,9 +100,9 @@ def _matrix(column, places: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, places)
 
 
-def _paths(runs: int, depth: int, step: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Buckets (path, node) of the next step; at step 0 each run begins one."""
-    places = runs * depth
+def _paths(runs: int, depth: int, step: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Buckets (path, node) of the next step; at step 0 each run begins one. `at` is the run and, in its low `step` bits, the branches taken."""
+    places, tree, twice = places_of(runs, depth), 2**depth - 1, round(100 * branch_share(threshold))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,16 +111,17 @@ def _paths(runs: int, depth: int, step: int) -> Callable[[Iterator[pa.RecordBatc
                 continue
             node, sketch = batch.column("node").to_numpy(), _matrix(batch.column("sketch"), places)
             if step == 0:
-                at = np.arange(runs) * depth
+                at = np.arange(runs) * tree
                 path = mixed(sketch[:, at].astype(U) + (np.arange(runs, dtype=U) << U(40)), 1)
-                yield pa.RecordBatch.from_pydict({"path": path.reshape(-1).view(np.int64), "node": np.repeat(node, runs), "run": np.tile(np.arange(runs, dtype=np.int32), len(node))})
+                yield pa.RecordBatch.from_pydict({"path": path.reshape(-1).view(np.int64), "node": np.repeat(node, runs), "at": np.tile(np.arange(runs, dtype=np.int32), len(node))})
                 continue
-            path, own = batch.column("path").to_numpy().view(U), batch.column("run").to_numpy()
+            path, own = batch.column("path").to_numpy().view(U), batch.column("at").to_numpy()
             for branch in (0, 1):
-                chosen = np.flatnonzero(mixed(path, 9) % U(100) < U(100 if branch == 0 else int(100 / THRESHOLD) - 100))
-                place = (own[chosen] * depth + step + branch * (places // 2)) % places
+                chosen = np.flatnonzero(mixed(path, 9) % U(100) < U(100 if branch == 0 else twice))
+                at = own[chosen] * 2 + branch
+                place = (at >> step) * tree + (1 << step) - 1 + (at & ((1 << step) - 1))
                 new = mixed(path[chosen] ^ mixed(sketch[chosen, place].astype(U), 20 + branch), 2)
-                yield pa.RecordBatch.from_pydict({"path": new.view(np.int64), "node": node[chosen], "run": own[chosen]})
+                yield pa.RecordBatch.from_pydict({"path": new.view(np.int64), "node": node[chosen], "at": at.astype(np.int32)})
 
     return run
 
@@ -222,7 +241,7 @@ def _classified(df: DataFrame, id_col: str, text_col: str, gram: int, threshold:
     spark = df.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs = runs_for(recall, threshold)
-    places = runs * DEPTH
+    places = places_of(runs, DEPTH)
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("id"), F.col(text_col).alias("text"))
     every = stored(rows.mapInArrow(_sketches(gram, places), "id long, node long, sketch binary"), "sketches")
     full = every.where("sketch is not null")
@@ -231,7 +250,7 @@ def _classified(df: DataFrame, id_col: str, text_col: str, gram: int, threshold:
 
     buckets, source = [], sketches
     for step in range(DEPTH):
-        paths = stored(source.mapInArrow(_paths(runs, DEPTH, step), "path long, node long, run int"), "paths")
+        paths = stored(source.mapInArrow(_paths(runs, DEPTH, step, threshold), "path long, node long, at int"), "paths")
         sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         shared = stored(paths.join(sizes, "path"), "buckets")
         last = step == DEPTH - 1
@@ -239,11 +258,12 @@ def _classified(df: DataFrame, id_col: str, text_col: str, gram: int, threshold:
         large = shared.where(f"n > {LIMIT}")
         if last or large.isEmpty():
             break
-        source = large.select("path", "node", "run").join(sketches, "node")
+        source = large.select("path", "node", "at").join(sketches, "node")
     leaves = buckets[0].select("path", "node")
     for b in buckets[1:]:
         leaves = leaves.unionByName(b.select("path", "node"))
-    maybe = leaves.join(sketches, "node").repartition(n_parts, "path").mapInArrow(_compare(places, SKETCH_SHARE), "a long, b long").distinct()
+    short = sketches.select("node", F.substring("sketch", 1, 4 * min(places, COMPARED)).alias("sketch"))
+    maybe = leaves.join(short, "node").repartition(n_parts, "path").mapInArrow(_compare(min(places, COMPARED), SKETCH_SHARE), "a long, b long").distinct()
     groups = components(maybe)
 
     # exact similarities within each group of candidates; a large group is dealt out as pairs of blocks

@@ -187,7 +187,8 @@ def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def in_a_language(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", least: float = 0.0) -> DataFrame:
-    """The rows of df whose text has a language: not `und`, and a cosine of `least` or more."""
-    prototypes = learn(df.where(~held_out(F.col(id_col))), text_col, label_col)
+    """The rows of df whose text has a letter and, where languages could be learned, a cosine of `least` or more with one."""
+    learned = learn(df.where(~held_out(F.col(id_col))), text_col, label_col)
+    prototypes = learned or {"": [0.0] * DIMENSIONS}
     rows = df.select(*[F.col(f"`{c}`") for c in df.columns], F.col(text_col).alias("_sw_copy"))
-    return predict(rows, prototypes, "_sw_copy").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(f"`{c}`") for c in df.columns])
+    return predict(rows, prototypes, "_sw_copy").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= (least if learned else 0.0))).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 import sys
 from collections.abc import Callable, Iterator
 
@@ -13,11 +14,9 @@ import pyarrow as pa
 #: Bytes of text handled at once; a longer text is handled alone.
 CHUNK = 2 << 20
 U = np.uint64
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def tidy(run: Callable) -> Callable:
@@ -96,40 +95,115 @@ def mixed(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h
 
 
-def _powers_of(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    if base not in _powers or len(_powers[base][0]) < n:
-        size = max(n, 1 << 16)
-        both = []
-        for b in (base, pow(base, -1, 2**64)):
-            x = np.full(size, U(b))
-            x[0] = 1
-            both.append(np.multiply.accumulate(x))
-        if size > 4 * CHUNK:  # one enormous text; don't keep its tables
-            return both[0], both[1]
-        _powers[base] = (both[0], both[1])
-    return _powers[base]
+#: Spans up to this many bytes are hashed together, eight bytes at a time; longer ones each by BLAKE2b.
+LONG_SPAN = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+
+
+def span_keys(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit keys of byte spans buf[start:end], as two columns of 64 bits.
+
+    Each column scrambles in eight bytes after another with seeds of its own; there is no algebra between places, as a polynomial
+    has it, so no periodic or self-similar text makes keys meet.
+    """
+    n = ends - starts
+    out = np.empty((len(n), 2), U)
+    out[:, 0], out[:, 1] = mixed(n.astype(U), 31), mixed(n.astype(U), 32)
+    live = np.flatnonzero((n > 0) & (n <= LONG_SPAN))
+    if len(live):
+        wide = np.concatenate([buf, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(buf) + 1,), "<u8", wide, strides=(1,)).copy()
+    at = 0
+    while len(live):
+        left = n[live] - at
+        block = eight[starts[live] + at] & _MASKS[np.minimum(left, 8)]
+        out[live, 0], out[live, 1] = mixed(out[live, 0] ^ block, 33), mixed(out[live, 1] ^ block, 34)
+        live, at = live[left > 8], at + 8
+    for k in np.flatnonzero(n > LONG_SPAN).tolist():
+        out[k] = np.frombuffer(hashlib.blake2b(buf[starts[k] : ends[k]].tobytes(), digest_size=16).digest(), U)
+    return out
+
+
+def distinct_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of two columns in order, where each is found first, and which one each row is."""
+    head, where, which = np.unique(keys[:, 0], return_index=True, return_inverse=True)
+    if np.array_equal(keys[where, 1][which], keys[:, 1]):
+        return keys[where], where, which
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    s = keys[order]
+    new = np.concatenate([[True], (s[1:] != s[:-1]).any(1)])
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    where = order[np.flatnonzero(new)]
+    return keys[where], where, which
+
+
+def word_keys(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit keys of words by their bytes."""
+    return span_keys(buf, starts, ends)
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """64-bit hashes of values[start:end], a polynomial in `base` modulo 2**64 and a scramble."""
-    up, down = _powers_of(base, len(values) + 1)
-    sums = np.zeros(len(values) + 1, U)
-    np.cumsum(values.astype(U) * up[: len(values)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts])
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: the first column of their keys."""
+    return span_keys(buf, starts, ends)[:, 0]
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words by their bytes."""
-    return span_hashes(buf + U(1), starts, ends, BYTE_BASE)
+def run_digests(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """16-byte BLAKE2b digests of runs of words, by the words' keys."""
+    view = memoryview(np.ascontiguousarray(keys)).cast("B")
+    return [hashlib.blake2b(view[16 * a : 16 * b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist())]
+
+
+def _joined(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    return mixed(mixed(a, seed) ^ b, seed + 1)
 
 
 def gram_hashes(word: np.ndarray, firsts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-grams of words within rows, and the first n-gram of each row (with the total at the end)."""
+    """Hashes of all n-grams of words within rows, and the first n-gram of each row (with the total at the end).
+
+    An n-gram joins its parts of 2, 4, 8 ... words.
+    """
     count = np.maximum(np.diff(firsts) - n + 1, 0)
     first = np.zeros(len(firsts), np.int64)
     np.cumsum(count, out=first[1:])
+    h, power, width = None, word, 0
+    for bit in range(n.bit_length()):
+        if n >> bit & 1:
+            if h is None:
+                h = power
+            else:
+                m = min(len(h) - (1 << bit), len(power))
+                h = _joined(power[: max(m, 0)], h[1 << bit : (1 << bit) + max(m, 0)], 51 + 2 * bit) if m > 0 else h[:0]
+            width += 1 << bit
+        if len(power) > 1 << bit:
+            power = _joined(power[: -(1 << bit)], power[1 << bit :], 81 + 2 * bit)
+        else:
+            power = power[:0]
     at = np.arange(first[-1]) + np.repeat(firsts[:-1] - first[:-1], count)
-    return span_hashes(word, at, at + n, WORD_BASE), first
+    return h[at], first
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1 << 14) -> Iterator[pa.Table]:
+    """Tables of some `rows` rows that never part rows of equal keys; the batches come sorted by the keys. Only one table is held."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        change = np.zeros(table.num_rows - 1, bool)
+        for k in keys:
+            x = table.column(k).to_numpy()
+            change |= x[1:] != x[:-1]
+        cut = np.flatnonzero(change)
+        if len(cut):
+            at = int(cut[-1]) + 1
+            yield table.slice(0, at)
+            held = table.slice(at).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def binary(parts) -> pa.Array:

@@ -62,7 +62,7 @@ class FMIndex:
             nxt = np.zeros(n, np.int64)
             nxt[: max(0, n - k)] = rank[k:]
             key = rank * (int(rank.max(initial=0)) + 1) + nxt
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             if 2 * k >= ORDER:
                 break
             key = key[order]

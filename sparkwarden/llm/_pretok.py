@@ -9,13 +9,14 @@ and the contractions are cut off from the letters behind them.
 from __future__ import annotations
 
 import base64
+import re
 import sys
 import unicodedata
 from itertools import chain
 
 import numpy as np
 
-from sparkwarden.llm._arrays import BYTE_BASE, U, span_hashes
+from sparkwarden.llm._arrays import distinct_keys, span_keys
 
 #: Bytes of text pre-tokenised at once.
 CHUNK = 2 << 20
@@ -79,33 +80,69 @@ def pretokens(data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np
     return buf, np.append(begin if place is None else place[begin], len(buf)), row_first
 
 
+def cut_out(data: np.ndarray, offsets: np.ndarray, i: int, j: int, added: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Row offsets with further cuts around each added token in rows i to j, and how many cuts of its own each row has.
+
+    Of added tokens at one place the longest counts; they are taken from left to right and don't overlap, nor cross rows.
+    """
+    raw, base = data[offsets[i] : offsets[j]].tobytes(), int(offsets[i])
+    if not any(t in raw for t in added):
+        return offsets[i : j + 1], np.zeros(j - i, np.int64)
+    find = re.compile(b"|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)))
+    cuts, count = [base], np.zeros(j - i, np.int64)
+    for row, (a, b) in enumerate(zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist())):
+        inner = [x for m in find.finditer(raw, a - base, b - base) for x in m.span()]
+        inner = [base + x for k, x in enumerate(inner) if a < base + x < b and (k == 0 or inner[k - 1] != x)]
+        count[row] = len(inner)
+        cuts += [*inner, b]
+    return np.array(cuts, np.int64), count
+
+
+def with_added(data: np.ndarray, offsets: np.ndarray, i: int, j: int, added: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """pretokens() of rows i to j in which each added token is one pre-token."""
+    cuts, count = cut_out(data, offsets, i, j, added)
+    buf, begin, first = pretokens(data, cuts, 0, len(cuts) - 1)
+    if not count.any():
+        return buf, begin, first
+    spans = cuts - cuts[0]
+    whole = [a for a, b in zip(spans[:-1].tolist(), spans[1:].tolist()) if buf[a:b].tobytes() in added]
+    ends = dict(zip(spans[:-1].tolist(), spans[1:].tolist()))
+    keep = np.ones(len(begin), bool)
+    for a in whole:
+        keep[np.searchsorted(begin, a, "right") : np.searchsorted(begin, ends[a])] = False
+    left = np.concatenate([[0], np.cumsum(keep)])
+    rows = np.concatenate([[0], np.cumsum(count + 1)])
+    return buf, begin[keep], left[first[rows]]
+
+
 def distinct(buf: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of pre-tokens: the hashes of the distinct ones in order, where each is found first, and which one each pre-token is."""
-    return np.unique(span_hashes(buf + U(1), begin[:-1], begin[1:], BYTE_BASE), return_index=True, return_inverse=True)
+    """Of pre-tokens: the 128-bit keys of the distinct ones in order, where each is found first, and which one each pre-token is."""
+    return distinct_keys(span_keys(buf, begin[:-1], begin[1:]))
 
 
 class WordEncoder:
-    """Byte-pair encoding of single pre-tokens by a tiktoken ranks file. `limit` bounds the cache."""
+    """Byte-pair encoding of single pre-tokens by a tiktoken ranks file; `added` words have ids of their own. `limit` bounds the cache."""
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 150_000, added: dict[bytes, int] | None = None):
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-        self.size = max(ranks.values()) + 1
+        self.added = added or {}
+        self.size = max(*ranks.values(), *self.added.values(), 0) + 1
         self.ranks, self.cache, self.limit = ranks, {}, limit
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after another, and the number of each word's ids."""
-        cache, single, ranks, out = self.cache, self.encoding._core_bpe.encode_single_piece, self.ranks, []
+        cache, encode, ranks, added, out = self.cache, self.encoding.encode_ordinary, self.ranks, self.added, []
         if len(cache) > self.limit:
             cache.clear()
         for w in words:
             ids = cache.get(w)
             if ids is None:
-                whole = ranks.get(w)
-                ids = cache[w] = (whole,) if whole is not None else tuple(single(w))
+                whole = added.get(w, ranks.get(w))
+                ids = cache[w] = (whole,) if whole is not None else tuple(encode(w.decode()))
             out.append(ids)
         return np.fromiter(chain.from_iterable(out), np.uint32), np.fromiter(map(len, out), np.int64, len(out))
 

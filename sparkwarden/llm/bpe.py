@@ -3,7 +3,8 @@
 Documents are cut into pre-tokens with their positions. Blocks of documents keep their positions as numbers into the block's own
 list of distinct pre-tokens, and only these lists travel: each distinct pre-token meets all its askers in one bucket, is encoded
 there once, and its ids return to the blocks, where documents are reassembled by position. Decoding joins the ids with the
-table of token bytes and reassembles in the same way.
+table of token bytes and reassembles in the same way. Pre-tokens are told apart by 128-bit keys. The input has to give the same
+rows in the same order when it is read again (a table does), as a lost task's blocks are made anew.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkwarden.llm import _pretok
-from sparkwarden.llm._arrays import BYTE_BASE, U, array_of, binary, chunks, span_hashes, text_bytes, tidy
+from sparkwarden.llm._arrays import U, array_of, binary, chunks, distinct_keys, span_keys, text_bytes, tidy
 from sparkwarden.llm._shared import stored
 from sparkwarden.llm.packing import encoder
 
@@ -40,21 +41,20 @@ def _unpack(b: bytes, kind: type) -> np.ndarray:
 def _blocks(n_buckets: int, key_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows of two kinds: a block with its keys, positions and row starts (key: the block), and its distinct words in a bucket (key: the bucket)."""
 
-    def block(at: int, hashes: list, words: list, firsts: list, keys: list) -> pa.RecordBatch:
-        lists = np.concatenate(hashes)
-        order = np.unique(lists, return_index=True)[1]
-        distinct = lists[order]
-        position = []
-        for (h, inverse), n in zip(firsts[0], firsts[1]):
-            position.append(np.searchsorted(distinct, h)[inverse])
+    def block(at: int, keys_of: list, words: list, firsts: list, keys: list) -> pa.RecordBatch:
+        lists = np.concatenate(keys_of)
+        distinct, order, which = distinct_keys(lists)
+        ends = np.cumsum([len(k) for k in keys_of])
+        position = [which[end - len(k) : end][inverse] for k, end, inverse in zip(keys_of, ends, firsts[0])]
         raw = np.array(words, object)[order]
-        # the top bits choose the bucket, so buckets are ranges of the ordered list
-        bucket = (distinct >> U(32)).astype(np.int64) * n_buckets >> 32
-        cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
+        # the top bits choose the bucket, so buckets are ranges of the ordered list; a bucket without words has no row
+        bucket = (distinct[:, 0] >> U(32)).astype(np.int64) * n_buckets >> 32
+        full, begins = np.unique(bucket, return_index=True)
+        spans = list(zip(full.tolist(), begins.tolist(), np.append(begins[1:], len(bucket)).tolist()))
         rows = np.cumsum(np.concatenate([[0], *firsts[1]]))
         out = {"key": [at], "block": [at], "keys": [keys], "words": [None], "lengths": [None], "positions": [_pack(np.concatenate(position).astype(np.uint32))], "rows": [rows.astype(np.int64).tobytes()]}
-        for b in range(n_buckets):
-            some = raw[cuts[b] : cuts[b + 1]]
+        for b, x, y in spans:
+            some = raw[x:y]
             for k, v in (("key", b), ("block", at), ("keys", None), ("words", zstandard.ZstdCompressor(level=3).compress(b"".join(some))), ("lengths", _pack(np.fromiter(map(len, some), np.uint32, len(some)))), ("positions", None), ("rows", None)):
                 out[k].append(v)
         return pa.RecordBatch.from_pydict({"key": pa.array(out["key"], pa.int64()), "block": pa.array(out["block"], pa.int64()), "keys": pa.array(out["keys"], pa.list_(key_type)), **{k: pa.array(out[k], pa.binary()) for k in ("words", "lengths", "positions", "rows")}})
@@ -68,11 +68,11 @@ def _blocks(n_buckets: int, key_type: pa.DataType) -> Callable[[Iterator[pa.Reco
             ids = array_of(batch.column("_sw_id"))
             for i, j in chunks(offsets, _pretok.CHUNK):
                 buf, begin, first = _pretok.pretokens(data, offsets, i, j)
-                h, where, which = _pretok.distinct(buf, begin)
+                own, where, which = _pretok.distinct(buf, begin)
                 raw = buf.tobytes()
-                state[0].append(h)
+                state[0].append(own)
                 state[1].extend(raw[a:b] for a, b in zip(begin[where].tolist(), begin[where + 1].tolist()))
-                state[2][0].append((h, which))
+                state[2][0].append(which)
                 state[2][1].append(np.diff(first))
                 state[3].extend(ids.slice(i, j - i).to_pylist())
                 held += len(buf) + 64 * (j - i)
@@ -98,11 +98,11 @@ def _encode_words(ranks: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 raw = zstandard.ZstdDecompressor().decompress(words)
                 n = _unpack(lengths, np.uint32).astype(np.int64)
                 ends = np.cumsum(n)
-                parts.append((raw, ends - n, ends, span_hashes(np.frombuffer(raw, np.uint8) + U(1), ends - n, ends, BYTE_BASE) if len(ends) else np.zeros(0, U)))
+                parts.append((raw, ends - n, ends, span_keys(np.frombuffer(raw, np.uint8), ends - n, ends)))
                 owner_of.append((block, key))
         if not parts:
             return
-        _, where, which = np.unique(np.concatenate([p[3] for p in parts]), return_index=True, return_inverse=True)
+        _, where, which = distinct_keys(np.concatenate([p[3] for p in parts]))
         base = np.cumsum([0] + [len(p[3]) for p in parts])
         owner = np.searchsorted(base, where, "right") - 1
         words = [parts[o][0][parts[o][1][k] : parts[o][2][k]] for o, k in zip(owner.tolist(), (where - base[owner]).tolist())]

@@ -5,7 +5,10 @@ token at each step is the set's least one under a hash of the run and the step,
 equal to their similarity. Sets that share a path share a bucket; a bucket above LIMIT is split by the next token (some by two,
 so that about 1/threshold paths go on), smaller ones are compared by brute force on min-hash sketches. Runs repeat until a pair
 at the threshold is found with the wanted recall. The pairs so found only say which nodes may be similar: their components are
-verified by exact Jaccard similarity over the whole sets, in blocks, and only verified links count.
+verified by exact Jaccard similarity over the whole sets of 64-bit n-gram hashes, in blocks of sets whose sizes allow the
+threshold, and only verified links count.
+
+Texts are equal if the digests of their words are (128 bits, of 128-bit word keys); a node is the row number of the first of them.
 """
 
 from __future__ import annotations
@@ -15,12 +18,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.llm._arrays import U, WORD_BASE, binary, chunks, gram_hashes, mixed, span_hashes, text_bytes, tidy, word_hashes, words
+from sparkwarden.llm._arrays import U, binary, chunks, gram_hashes, mixed, run_digests, text_bytes, tidy, whole_groups, word_keys, words
 from sparkwarden.llm._components import components
-from sparkwarden.llm._filters import key_filter, maybe_in
+from sparkwarden.llm._filters import join_groups, key_filter, maybe_in
 from sparkwarden.llm._shared import stored
 
 GRAM, THRESHOLD, RECALL = 5, 0.8, 0.99999
@@ -67,31 +71,37 @@ def _grams(word: np.ndarray, firsts: np.ndarray, gram: int) -> tuple[np.ndarray,
     short = np.flatnonzero((n > 0) & (n < gram))
     if not len(short):
         return h, first
-    own = span_hashes(word, firsts[short], firsts[short + 1], WORD_BASE)
+    own = mixed(n[short].astype(U), 41)
+    for k in range(gram - 1):
+        more = k < n[short]
+        own[more] = mixed(own[more] ^ word[firsts[short][more] + k], 42)
     h = np.insert(h, first[short], own)
     return h, first + np.concatenate([[0], np.cumsum((n > 0) & (n < gram))])
 
 
 def _sketches(gram: int, places: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """id, a number for each row, the digest of its words, and its sketch (null without words)."""
+
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = _seeds(places)
+        seeds, number = _seeds(places), TaskContext.get().partitionId() << 40
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             ids = batch.column("id").to_numpy()
             for i, j in chunks(offsets):
                 buf, starts, ends, firsts = words(data, offsets, i, j)
-                word = word_hashes(buf, starts, ends)
-                h, first = _grams(word, firsts, gram)
+                keys = word_keys(buf, starts, ends)
+                h, first = _grams(keys[:, 0], firsts, gram)
                 full = np.flatnonzero(np.diff(first) > 0)
-                node = span_hashes(word, firsts[:-1], firsts[1:], 0xA24BAED4963EE407)
                 sketch = np.empty((len(full), places), np.uint32)
                 for k, seed in enumerate(seeds):
                     if len(full):
                         sketch[:, k] = np.minimum.reduceat(h * seed, first[full]) >> U(32)
                 out = np.full(j - i, None, object)
                 out[full] = [row.tobytes() for row in sketch]
-                yield pa.RecordBatch.from_pydict({"id": ids[i:j], "node": node.view(np.int64), "sketch": pa.array(out, pa.binary())})
+                rows = np.arange(number, number + j - i)
+                number += j - i
+                yield pa.RecordBatch.from_pydict({"id": ids[i:j], "row": rows, "digest": pa.array(run_digests(keys, firsts[:-1], firsts[1:]), pa.binary()), "sketch": pa.array(out, pa.binary())})
 
     return run
 
@@ -141,42 +151,52 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _compare(places: int, share: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Edges (a, b) that join what may be similar in each bucket of a partition."""
+    """Edges (a, b) that join what may be similar in each bucket of a partition sorted by path and node."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        path, node = table.column("path").to_numpy(), table.column("node").to_numpy()
-        order = np.lexsort((node, path))
-        path, node = path[order], node[order]
-        sketch = _matrix(table.column("sketch"), places)[order]
-        head = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
-        size = np.diff(np.append(head, len(path)))
-        two = head[size == 2]
-        near = (sketch[two] == sketch[two + 1]).sum(1) >= share * places
-        out = [(node[two + 1][near], node[two][near])]
-        for k, m in zip(head[size > 2].tolist(), size[size > 2].tolist()):
-            if m > LIMIT:  # alike in all steps of a path; verified later, without a first comparison
-                out.append((node[k + 1 : k + m], np.full(m - 1, node[k])))
-                continue
-            s, left = sketch[k : k + m], []
-            for x in range(m - 1):
-                y = np.flatnonzero((s[x + 1 :] == s[x]).sum(1) >= share * places) + x + 1
-                left.append((np.full(len(y), x), y))
-            root = _forest(m, *(np.concatenate(z) for z in zip(*left)))
-            joined = np.flatnonzero(root != np.arange(m))
-            out.append((node[k + joined], node[k + root[joined]]))
-        a, b = (np.concatenate(x) for x in zip(*out))
-        yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+        for table in whole_groups(batches, ["path"]):
+            path, node = table.column("path").to_numpy(), table.column("node").to_numpy()
+            sketch = _matrix(table.column("sketch"), places)
+            head = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
+            size = np.diff(np.append(head, len(path)))
+            two = head[size == 2]
+            near = (sketch[two] == sketch[two + 1]).sum(1) >= share * places
+            out = [(node[two + 1][near], node[two][near])]
+            for k, m in zip(head[size > 2].tolist(), size[size > 2].tolist()):
+                s, left = sketch[k : k + m], []
+                for x in range(m - 1):
+                    y = np.flatnonzero((s[x + 1 :] == s[x]).sum(1) >= share * places) + x + 1
+                    left.append((np.full(len(y), x), y))
+                root = _forest(m, *(np.concatenate(z) for z in zip(*left)))
+                joined = np.flatnonzero(root != np.arange(m))
+                out.append((node[k + joined], node[k + root[joined]]))
+            a, b = (np.concatenate(x) for x in zip(*out))
+            yield pa.RecordBatch.from_pydict({"a": a, "b": b})
 
     return run
 
 
-def _verify(gram: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of each block pair of a partition: links of each node (a, links) and edges (a, b) that join linked nodes."""
+def _sets(gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """id, digest, and the set of n-gram hashes (sorted, 8 bytes each) of texts."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text"))
+            ids = batch.column("id").to_numpy()
+            for i, j in chunks(offsets):
+                buf, starts, ends, firsts = words(data, offsets, i, j)
+                keys = word_keys(buf, starts, ends)
+                h, first = _grams(keys[:, 0], firsts, gram)
+                sets = [np.unique(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+                yield pa.RecordBatch.from_pydict({"id": ids[i:j], "digest": pa.array(run_digests(keys, firsts[:-1], firsts[1:]), pa.binary()), "size": np.array([len(x) for x in sets], np.int64), "grams": binary([x.tobytes() for x in sets])})
+
+    return run
+
+
+def _verify(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each block pair of a sorted partition: links of each node (a, links) and edges (a, b) that join linked nodes."""
 
     def compare(part: np.ndarray, node: np.ndarray, h: list[np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray]:
         size = np.array([len(x) for x in h])
@@ -206,77 +226,96 @@ def _verify(gram: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]],
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        group, x, y, node, part = (table.column(c).to_numpy() for c in ("root", "x", "y", "node", "part"))
-        order = np.lexsort((node, y, x, group))
-        changes = (group[order][1:] != group[order][:-1]) | (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
-        head = np.flatnonzero(np.concatenate([[True], changes]))
-        text = table.column("text")
-        for k, end in zip(head.tolist(), np.append(head[1:], len(order)).tolist()):
-            at = order[k:end]
-            data, offsets = text_bytes(text.take(pa.array(at)))
-            h = []
-            for i, j in chunks(offsets):
-                buf, starts, ends, firsts = words(data, offsets, i, j)
-                hashes, first = _grams(word_hashes(buf, starts, ends), firsts, gram)
-                h += [np.unique(hashes[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-            links, pairs = compare(part[at], node[at], h, x[at[0]] == y[at[0]])
-            root = _forest(len(at), pairs[:, 0], pairs[:, 1])
-            joined = np.flatnonzero(root != np.arange(len(at)))
-            some = np.flatnonzero(links)
-            own = node[at]
-            yield pa.RecordBatch.from_pydict({
-                "a": np.concatenate([own[some], own[joined]]), "b": pa.array(np.concatenate([own[some], own[root[joined]]])),
-                "links": np.concatenate([links[some], np.zeros(len(joined), np.int64)]).astype(np.int64),
-            })
+        for table in whole_groups(batches, ["root", "class", "x", "y"], 256):
+            group, cls, x, y, node, part = (table.column(c).to_numpy() for c in ("root", "class", "x", "y", "node", "part"))
+            change = np.ones(len(node), bool)
+            change[1:] = (group[1:] != group[:-1]) | (cls[1:] != cls[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            head = np.flatnonzero(change)
+            grams = table.column("grams")
+            for k, end in zip(head.tolist(), np.append(head[1:], len(node)).tolist()):
+                h = [np.frombuffer(g, U) for g in grams.slice(k, end - k).to_pylist()]
+                own = node[k:end]
+                links, pairs = compare(part[k:end], own, h, x[k] == y[k])
+                root = _forest(len(own), pairs[:, 0], pairs[:, 1])
+                joined = np.flatnonzero(root != np.arange(len(own)))
+                some = np.flatnonzero(links)
+                yield pa.RecordBatch.from_pydict({
+                    "a": np.concatenate([own[some], own[joined]]), "b": pa.array(np.concatenate([own[some], own[root[joined]]])),
+                    "links": np.concatenate([links[some], np.zeros(len(joined), np.int64)]).astype(np.int64),
+                })
 
     return run
 
 
+def _dealt(sets: DataFrame, threshold: float) -> DataFrame:
+    """Sets (node, root, size, grams; stored) dealt to pairs of blocks of their component: root, class, x, y, part, node, grams.
+
+    Sets similar by the threshold have sizes of the same class or of neighbours, a class reaching from a size to 1/threshold of it;
+    so a class is compared with itself and the next one only.
+    """
+    step = max(math.log(1 / threshold), 0.01) * (1 + 1e-9)
+    rows = sets.withColumn("class", F.floor(F.log(F.col("size").cast("double")) / step))
+    blocks = stored(rows.groupBy("root", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("own")), "blocks")
+    upper = blocks.select("root", (F.col("class") - 1).alias("class"), F.col("own").alias("up"))
+    lower = blocks.select("root", (F.col("class") + 1).alias("class"), F.col("own").alias("down"))
+    around = blocks.join(upper, ["root", "class"], "left").join(lower, ["root", "class"], "left").na.fill(0, ["up", "down"])
+    placed = rows.join(around, ["root", "class"]).withColumn("p", F.pmod(F.xxhash64("node"), F.col("own")))
+    least, most = F.least("own_part", "other"), F.greatest("own_part", "other")
+
+    def met(part, last, cls) -> DataFrame:
+        each = placed.where(last > 0).select("root", cls.alias("class"), "node", "grams", part.alias("own_part"), F.explode(F.sequence(F.lit(0).cast("long"), last - 1)).alias("other"))
+        return each.select("root", "class", "node", "grams", F.col("own_part").alias("part"), least.alias("x"), most.alias("y"))
+
+    return met(F.col("p"), F.col("own") + F.col("up"), F.col("class")).unionByName(met(F.col("down") + F.col("p"), F.col("down"), F.col("class") - 1))
+
+
 def _classified(df: DataFrame, id_col: str, text_col: str, gram: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
-    """Every row (id, node, sketch; null ids as NO_ID), and every node that has words: node, first_id, n_copies, root, n_links."""
+    """Every row (id, row, digest, sketch; null ids as NO_ID), and every node that has words: node, digest, first_id, n_copies, root, n_links."""
     spark = df.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs = runs_for(recall, threshold)
     places = places_of(runs, DEPTH)
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("id"), F.col(text_col).alias("text"))
-    every = stored(rows.mapInArrow(_sketches(gram, places), "id long, node long, sketch binary"), "sketches")
+    every = stored(rows.mapInArrow(_sketches(gram, places), "id long, row long, digest binary, sketch binary"), "sketches")
     full = every.where("sketch is not null")
-    nodes = stored(full.groupBy("node").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_copies")), "nodes")
-    sketches = stored(full.join(nodes, [full.node == nodes.node, full.id == nodes.first_id], "left_semi").dropDuplicates(["node"]).select("node", "sketch"), "node-sketches", "none")
+    grouped = full.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("n_copies"))
+    nodes = stored(grouped.select(F.col("first.row").alias("node"), "digest", F.col("first.id").alias("first_id"), "n_copies"), "nodes")
+    sketches = stored(full.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "sketch"), "node-sketches", "none")
 
-    buckets, source = [], sketches
+    leaves, stars, source = [], [], sketches
     for step in range(DEPTH):
         paths = stored(source.mapInArrow(_paths(runs, DEPTH, step, threshold), "path long, node long, at int"), "paths")
-        sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        shared = stored(paths.join(sizes, "path"), "buckets")
-        last = step == DEPTH - 1
-        buckets.append(shared if last else shared.where(f"n <= {LIMIT}"))
+        sizes = stored(paths.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1"), "path-sizes")
+        shared = stored(join_groups(paths, sizes, "path", "n", paths.count()), "buckets")
+        leaves.append(shared.where(f"n <= {LIMIT}").select("path", "node"))
         large = shared.where(f"n > {LIMIT}")
-        if last or large.isEmpty():
+        if large.isEmpty():
             break
-        source = large.select("path", "node", "at").join(sketches, "node")
-    leaves = buckets[0].select("path", "node")
-    for b in buckets[1:]:
-        leaves = leaves.unionByName(b.select("path", "node"))
-    short = sketches.select("node", F.substring("sketch", 1, 4 * min(places, COMPARED)).alias("sketch"))
-    maybe = leaves.join(short, "node").repartition(n_parts, "path").mapInArrow(_compare(min(places, COMPARED), SKETCH_SHARE), "a long, b long").distinct()
-    groups = components(maybe)
+        if step == DEPTH - 1:  # alike in all steps of a path; verified later, without a first comparison
+            stars.append(large.where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")))
+        else:
+            source = large.select("path", "node", "at").join(sketches, "node")
+    met = leaves[0]
+    for b in leaves[1:]:
+        met = met.unionByName(b)
+    width = min(places, COMPARED)
+    short = sketches.select("node", F.substring("sketch", 1, 4 * width).alias("sketch"))
+    maybe = met.join(short, "node").repartition(n_parts, "path").sortWithinPartitions("path", "node").mapInArrow(_compare(width, SKETCH_SHARE), "a long, b long")
+    for s in stars:
+        maybe = maybe.unionByName(s)
+    groups = components(maybe.distinct())
 
     # exact similarities within each group of candidates; a large group is dealt out as pairs of blocks
-    sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    members = stored(groups.join(sizes, "root").join(nodes, "node").select("node", "root", "blocks", F.col("first_id").alias("id")), "members")
-    some = maybe_in(rows, "id", key_filter(members, "id")).where("_sw_maybe").drop("_sw_maybe")
-    with_text = _with_nodes(some).join(members, ["node", "id"]).dropDuplicates(["node"])
-    dealt = with_text.withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks"))).select("node", "root", "part", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("node", "root", "part", "text", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
-    found = stored(dealt.repartition(n_parts, "root", "x", "y").mapInArrow(_verify(gram, threshold), "a long, b long, links long"), "links")
+    members = stored(groups.join(nodes, "node").select("node", "digest", "root", F.col("first_id").alias("id")), "members")
+    some = maybe_in(rows, "id", key_filter(members, "id")).where("_sw_maybe").select("id", "text")
+    sets = some.mapInArrow(_sets(gram), "id long, digest binary, size long, grams binary").join(members, ["id", "digest"]).dropDuplicates(["node"])
+    dealt = _dealt(stored(sets.select("node", "root", "size", "grams"), "sets"), threshold)
+    keys = ["root", "class", "x", "y"]
+    found = stored(dealt.repartition(n_parts, *keys).sortWithinPartitions(*keys, "node").mapInArrow(_verify(threshold), "a long, b long, links long"), "links")
     classes = components(found.where("links = 0").select("a", "b"))
     links = found.groupBy("a").agg(F.sum("links").alias("n_links"))
-    return every, nodes.join(classes, "node", "left").join(links, F.col("node") == F.col("a"), "left").select("node", "first_id", "n_copies", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    joined = nodes.join(classes, "node", "left").join(links, F.col("node") == F.col("a"), "left")
+    return every, joined.select("node", "digest", "first_id", "n_copies", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -290,15 +329,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     every, rooted = _classified(df, id_col, text_col, gram, threshold, recall)
     full = every.where("sketch is not null")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    named = rooted.join(least, "root").select("node", "class_id", "n_links", "n_copies")
+    named = stored(rooted.join(least, "root").select("digest", "class_id", "n_links", "n_copies"), "classes")
     null_id = lambda c: F.when(F.col(c) != int(NO_ID), F.col(c))
-    joined = full.select("id", "node").join(named, "node").select("id", "class_id", "n_links", "n_copies")
+    joined = join_groups(full.select("id", "digest"), named, "digest", "n_copies", every.count()).select("id", "class_id", "n_links", "n_copies")
     bare = every.where("sketch is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return joined.unionByName(bare).select(null_id("id").alias(id_col), null_id("class_id").alias("class_id"), "n_links", "n_copies")
 
 
-def _with_nodes(rows: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of rows, and the node of each."""
+def _with_digests(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """All columns of rows, and `_sw_digest`, the digest of each text's words."""
     kinds = "".join(f"_sw_{k} {f.dataType.simpleString()}, " for k, f in enumerate(rows.schema))
 
     @tidy
@@ -307,12 +346,12 @@ def _with_nodes(rows: DataFrame, text_col: str = "text") -> DataFrame:
             data, offsets = text_bytes(batch.column(batch.num_columns - 1))
             for i, j in chunks(offsets):
                 buf, starts, ends, firsts = words(data, offsets, i, j)
-                node = span_hashes(word_hashes(buf, starts, ends), firsts[:-1], firsts[1:], 0xA24BAED4963EE407)
+                digest = run_digests(word_keys(buf, starts, ends), firsts[:-1], firsts[1:])
                 rest = {f"_sw_{k}": batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)}
-                yield pa.RecordBatch.from_pydict(rest | {"node": node.view(np.int64)})
+                yield pa.RecordBatch.from_pydict(rest | {"digest": pa.array(digest, pa.binary())})
 
     named = rows.select(*[F.col(f"`{c}`").alias(f"_sw_{k}") for k, c in enumerate(rows.columns)], F.col(f"`{text_col}`").alias("_sw_text"))
-    return named.mapInArrow(run, kinds + "node long").select(*[F.col(f"_sw_{k}").alias(c) for k, c in enumerate(rows.columns)], "node")
+    return named.mapInArrow(run, kinds + "digest binary").select(*[F.col(f"_sw_{k}").alias(c) for k, c in enumerate(rows.columns)], F.col("digest").alias("_sw_digest"))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,21 +361,21 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     every, rooted = _classified(df, id_col, text_col, GRAM, THRESHOLD, RECALL)
     keepers = rooted.groupBy("root").agg(F.min(F.struct("first_id", "node")).alias("keep"))
-    named = rooted.join(keepers, "root").select("node", F.col("keep.first_id").alias("keep_id"), F.col("keep.node").alias("keep_node"))
-    own = every.where("sketch is not null").groupBy("id", "node").agg(F.count(F.lit(1)).alias("n")).join(named, "node")
+    named = rooted.join(keepers, "root").select("node", "digest", F.col("keep.first_id").alias("keep_id"), F.col("keep.node").alias("keep_node"))
+    own = every.where("sketch is not null").groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n")).join(named, "digest")
     stays = (F.col("id") == F.col("keep_id")) & (F.col("node") == F.col("keep_node"))
-    found = stored(own.where(~stays | (F.col("n") > 1)).select(F.col("id").alias("_sw_id"), F.col("node").alias("_sw_node"), stays.alias("_sw_stays")), "near")
+    found = stored(own.where(~stays | (F.col("n") > 1)).select(F.col("id").alias("_sw_id"), F.col("digest").alias("_sw_digest"), stays.alias("_sw_stays")), "near")
     repeated = found.where("_sw_stays")
     columns = [F.col(f"`{c}`") for c in df.columns]
     rows = df.withColumn("_sw_id", F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))))
 
     def met(keys: DataFrame, how: str) -> DataFrame:
         some = maybe_in(rows, "_sw_id", key_filter(keys, "_sw_id")).where("_sw_maybe").drop("_sw_maybe")
-        return _with_nodes(some, text_col).withColumnRenamed("node", "_sw_node").join(keys.select("_sw_id", "_sw_node"), ["_sw_id", "_sw_node"], how)
+        return _with_digests(some, text_col).join(keys.select("_sw_id", "_sw_digest"), ["_sw_id", "_sw_digest"], how)
 
     sure = maybe_in(rows, "_sw_id", key_filter(found, "_sw_id")).where("not _sw_maybe").select(*columns)
     # of repeated rows (same id, same words) the longest stays
-    again = met(repeated, "left_semi").groupBy("_sw_id", "_sw_node").agg(F.max_by(F.struct(*columns), F.char_length(F.col(text_col))).alias("row"))
+    again = met(repeated, "left_semi").groupBy("_sw_id", "_sw_digest").agg(F.max_by(F.struct(*columns), F.char_length(F.col(text_col))).alias("row"))
     return sure.unionByName(met(found, "left_anti").select(*columns)).unionByName(again.select("row.*"))
 
 

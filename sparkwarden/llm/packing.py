@@ -1,5 +1,8 @@
 """Packing by concatenating and cutting: all token ids form one row, cut every `length` ids.
 
+Ids are those of the `tokenizers` library by its defaults: an added token in a text (as <|endoftext|>) is one id, found before
+the text is cut into pre-tokens.
+
 The first pass encodes and stores each task's ids and counts them; prefix sums over the tasks' totals (one number a task) give
 each task its place in the whole. In the second pass each task cuts its own ids at document ends and at multiples of `length`;
 what a task holds of a sequence that begins or ends in another task is a boundary record, merged with the others by sequence id.
@@ -7,6 +10,7 @@ what a task holds of a sequence that begins or ends in another task is a boundar
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import accumulate
@@ -22,27 +26,34 @@ from sparkwarden.llm import _pretok
 from sparkwarden.llm._arrays import array_of, binary, chunks, text_bytes, tidy
 from sparkwarden.llm._shared import stored
 
-_encoders: dict[str, _pretok.WordEncoder] = {}
+_encoders: dict[tuple, _pretok.WordEncoder] = {}
+#: The tokenizer, and the same vocabulary as ranks.
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def encoder(path: str) -> _pretok.WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = _pretok.WordEncoder(path)
-    return _encoders[path]
+def encoder(path: str, tokenizer: str | None = None) -> _pretok.WordEncoder:
+    """The encoder of a ranks file, with the added tokens of a tokenizer file."""
+    if (path, tokenizer) not in _encoders:
+        added: dict[bytes, int] = {}
+        if tokenizer:
+            with open(public_tokenizers.path(tokenizer), encoding="utf-8") as f:
+                added = {t["content"].encode(): t["id"] for t in json.load(f)["added_tokens"]}
+        _encoders[path, tokenizer] = _pretok.WordEncoder(path, added=added)
+    return _encoders[path, tokenizer]
 
 
-def _id_blocks(id_col: str, text_col: str, ranks: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _id_blocks(id_col: str, text_col: str, ranks: str, tokenizer: str | None, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task, before = encoder(public_tokenizers.path(ranks)), TaskContext.get().partitionId(), 0
+        enc, task, before = encoder(public_tokenizers.path(ranks), tokenizer), TaskContext.get().partitionId(), 0
         kind = np.uint16 if max(enc.size, end_id + 1) <= 1 << 16 else np.uint32
         for batch in batches:
             data, offsets = text_bytes(batch.column(text_col))
             keys = array_of(batch.column(id_col))
             for i, j in chunks(offsets, _pretok.CHUNK):
-                buf, begin, first = _pretok.pretokens(data, offsets, i, j)
+                buf, begin, first = _pretok.with_added(data, offsets, i, j, enc.added)
                 _, where, which = _pretok.distinct(buf, begin)
                 raw = buf.tobytes()
                 flat, n = enc.encode([raw[a:b] for a, b in zip(begin[where].tolist(), begin[where + 1].tolist())])
@@ -59,11 +70,11 @@ def _id_blocks(id_col: str, text_col: str, ranks: str, end_id: int) -> Callable[
     return run
 
 
-def id_blocks(df: DataFrame, id_col: str, text_col: str, ranks: str, end_id: int) -> DataFrame:
+def id_blocks(df: DataFrame, id_col: str, text_col: str, ranks: str, end_id: int, tokenizer: str | None = TOKENIZER) -> DataFrame:
     """First pass, stored: blocks of documents with their ids, their place within the task, and the task's base in the whole."""
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"part int, before long, n_ids long, keys array<{kind}>, counts binary, ids binary"
-    blocks = stored(df.select(F.col(f"`{id_col}`").alias("_sw_id"), F.col(f"`{text_col}`").alias("_sw_text")).mapInArrow(_id_blocks("_sw_id", "_sw_text", ranks, end_id), schema), "id-blocks")
+    blocks = stored(df.select(F.col(f"`{id_col}`").alias("_sw_id"), F.col(f"`{text_col}`").alias("_sw_text")).mapInArrow(_id_blocks("_sw_id", "_sw_text", ranks, tokenizer, end_id), schema), "id-blocks")
     totals = sorted(blocks.groupBy("part").agg(F.sum("n_ids")).collect())  # one row a task
     bases = dict(zip((r[0] for r in totals), accumulate((r[1] for r in totals), initial=0)))
     base = df.sparkSession.createDataFrame(list(bases.items()), "part int, base long")
@@ -117,18 +128,18 @@ def _windows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, end_id: int = 0, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, end_id: int = 0, ranks: str = RANKS, tokenizer: str | None = TOKENIZER) -> DataFrame:
     """One row for each piece: `id_col` as doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A null or empty text is one piece, end_id alone. Repeated rows are packed as often as they occur, a null id stays null. A
+    With `tokenizer` None a text has no added tokens. A null or empty text is one piece, end_id alone. Repeated rows are packed as often as they occur, a null id stays null. A
     text longer than `length` spans sequences. An empty table gives no piece. Only the last sequence is shorter than `length`.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    return id_blocks(df, id_col, text_col, ranks, end_id).mapInArrow(_pieces(length), PIECES.replace("doc_id long", f"doc_id {kind}"))
+    return id_blocks(df, id_col, text_col, ranks, end_id, tokenizer).mapInArrow(_pieces(length), PIECES.replace("doc_id long", f"doc_id {kind}"))
 
 
-def sequences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, end_id: int = 0, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+def sequences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, end_id: int = 0, ranks: str = RANKS, tokenizer: str | None = TOKENIZER) -> DataFrame:
     """The packed sequences themselves: sequence_id and ids array<int>; boundary records are merged by sequence id."""
-    parts = stored(id_blocks(df, id_col, text_col, ranks, end_id).mapInArrow(_windows(length), "sequence_id long, offset long, ids array<int>, whole boolean"), "windows")
+    parts = stored(id_blocks(df, id_col, text_col, ranks, end_id, tokenizer).mapInArrow(_windows(length), "sequence_id long, offset long, ids array<int>, whole boolean"), "windows")
     merged = parts.where("not whole").groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("p"))
     return parts.where("whole").select("sequence_id", "ids").unionByName(merged.select("sequence_id", F.flatten("p.ids").alias("ids")))

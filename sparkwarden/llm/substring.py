@@ -1,11 +1,14 @@
 """Substring dedup: words covered by a window of 50 words that also starts in a document with a smaller id.
 
 Windows with the same words share the least hash among their n-grams (their anchor), so documents are cut into runs of windows
-with one anchor, and only anchors found in several documents lead on. Runs meet in a shard by their anchor; runs of the same
-words are one run with its least document. A shard is an FM-index over its distinct runs (Burrows-Wheeler transform in a wavelet
-matrix); each run is streamed through it by backward search, which extends a match from a window's end to its start and gives
-up as soon as no smaller document holds it. Maximal intervals of matched windows go back to the documents.
-An anchor with very many runs is split: its windows travel singly, dealt by the hash of their words.
+with one anchor, and only anchors found in several documents lead on. Equal runs (by 128-bit digests) are merged before the
+shuffle into one with its least and largest document. Runs meet in a shard by their anchor. A shard is an FM-index over its
+distinct runs (Burrows-Wheeler transform in a wavelet matrix); each run is streamed through it by backward search, which extends
+a match from a window's end to its start and gives up as soon as no smaller document holds it, once for the run's least document
+and once for its other documents. The intervals of matched windows, and nothing else, go back to the documents.
+
+An anchor found very often is cut further: its windows travel singly to shards chosen by their words, and are searched there in
+the same way, so that no shard has to hold all runs of one anchor.
 """
 
 from __future__ import annotations
@@ -18,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.llm._arrays import WORD_BASE, array_of, chunks, gram_hashes, span_hashes, text_bytes, tidy, word_hashes, words
-from sparkwarden.llm._filters import key_filter, maybe_in
+from sparkwarden.llm._arrays import array_of, chunks, distinct_keys, gram_hashes, run_digests, text_bytes, tidy, whole_groups, word_hashes, word_keys, words
+from sparkwarden.llm._filters import join_groups, key_filter, maybe_in
 from sparkwarden.llm._fm_index import ORDER, FMIndex
 from sparkwarden.llm._shared import stored
 
@@ -27,8 +30,8 @@ WINDOW = 50
 GRAM = 16
 #: Documents with an anchor beyond which its windows are dealt singly; the runs of so many fit an index.
 HOT = 20_000
-#: Words in an FM-index; a shard partition is cut into indexes of about this size, by anchor.
-INDEX_WORDS = 1_000_000
+#: Runs in an FM-index; a shard partition is cut into indexes of about this size, by route.
+INDEX_RUNS = 16_384
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -69,7 +72,7 @@ def _anchors(window: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
-PIECES = "route long, anchor long, words_hash long, id long, h long, at int, n int, content string"
+PIECES = "route long, single boolean, digest binary, id long, h long, at int, n int, content string"
 
 
 def _pieces(window: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -83,14 +86,14 @@ def _pieces(window: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
             plain, hot = (array_of(batch.column(c)) for c in ("plain", "hot"))
             for i, j in chunks(offsets):
                 buf, starts, ends, firsts = words(data, offsets, i, j)
-                word = word_hashes(buf, starts, ends)
-                row, a, b, anchor = _runs(word, firsts, window, gram)
+                keys = word_keys(buf, starts, ends)
+                row, a, b, anchor = _runs(keys[:, 0], firsts, window, gram)
 
                 def among(lists: pa.Array) -> np.ndarray:
                     part = lists.slice(i, j - i)
                     own = np.repeat(np.arange(j - i), np.diff(part.offsets.to_numpy()))
-                    keys = np.unique(np.rec.fromarrays([own, part.flatten().to_numpy().view(np.uint64)], names="row,anchor")) if len(own) else None
-                    return np.zeros(len(row), bool) if keys is None else np.isin(np.rec.fromarrays([row, anchor], names="row,anchor"), keys)
+                    listed = np.unique(np.rec.fromarrays([own, part.flatten().to_numpy().view(np.uint64)], names="row,anchor")) if len(own) else None
+                    return np.zeros(len(row), bool) if listed is None else np.isin(np.rec.fromarrays([row, anchor], names="row,anchor"), listed)
 
                 single = among(hot)
                 keep = among(plain) & ~single
@@ -101,17 +104,18 @@ def _pieces(window: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                     continue
                 at = np.concatenate([a[keep], each])
                 n = np.concatenate([(b - a)[keep] + window, np.full(len(each), window)])
-                anchor2 = np.concatenate([anchor[keep], np.repeat(anchor[single], count)])
                 w = firsts[row2] + at
-                what = span_hashes(word, w, w + n, WORD_BASE)
-                route = np.concatenate([anchor[keep], what[keep.sum() :]])
-                _, where = np.unique(what, return_index=True)
-                content = np.full(len(what), None, object)
+                digests = run_digests(keys, w, w + n)
+                number = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+                alone = np.arange(len(w)) >= keep.sum()
+                route = np.where(alone, number[:, 0], np.concatenate([anchor[keep], np.zeros(int(alone.sum()), np.uint64)]))
+                _, where, _ = distinct_keys(number)
+                content = np.full(len(w), None, object)
                 raw = buf.tobytes()
                 x, y = starts[w[where]].tolist(), ends[w[where] + n[where] - 1].tolist()
                 content[where] = [raw[p:q].decode() for p, q in zip(x, y)]
                 yield pa.RecordBatch.from_pydict({
-                    "route": route.view(np.int64), "anchor": anchor2.view(np.int64), "words_hash": what.view(np.int64), "id": ids[i + row2], "h": hashes[i + row2],
+                    "route": route.view(np.int64), "single": alone, "digest": pa.array(digests, pa.binary()), "id": ids[i + row2], "h": hashes[i + row2],
                     "at": pa.array(at, pa.int32()), "n": pa.array(n, pa.int32()), "content": pa.array(content, pa.string()),
                 })
 
@@ -176,66 +180,42 @@ def matched_windows(index: FMIndex, text: np.ndarray, begins: np.ndarray, length
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+ANSWERS = "digest binary, least long, n_rows long, own array<struct<begin:int,end:int>>, others array<struct<begin:int,end:int>>"
+
+
 def _shard(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Intervals (id, h, begin, end) of words to remove, from all pieces of a partition."""
+    """Of each distinct run: the intervals of words to remove in its least document (own) and in all others."""
 
-    def index_of(contents: list[bytes], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        data, offsets = text_bytes(pa.array(contents, pa.binary()))
+    def index_of(contents: pa.Array, least: np.ndarray, most: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        data, offsets = text_bytes(contents)
         buf, starts, ends, firsts = words(data, offsets, 0, len(contents))
-        _, symbol = np.unique(word_hashes(buf, starts, ends), return_inverse=True)
+        _, _, symbol = distinct_keys(word_keys(buf, starts, ends))
         size = int(symbol.max(initial=0)) + 2
+        lengths = np.diff(firsts)
         begins = firsts[:-1] + np.arange(len(contents))
         text = np.zeros(len(symbol) + len(contents), np.int64)
-        lengths = np.diff(firsts)
-        at = np.arange(len(symbol)) + np.repeat(np.arange(len(contents)), lengths)
-        text[at] = symbol + 1
-        index = FMIndex(text, size, np.repeat(owner, lengths + 1))
-        return matched_windows(index, text, begins, lengths, owner, window)
+        text[np.arange(len(symbol)) + np.repeat(np.arange(len(contents)), lengths)] = symbol + 1
+        index = FMIndex(text, size, np.repeat(least, lengths + 1))
+        several = np.flatnonzero(most > least)
+        own = matched_windows(index, text, begins, lengths, least, window)
+        others = matched_windows(index, text, begins[several], lengths[several], most[several], window)
+        return [own, (several[others[0]], *others[1:])]
+
+    def lists(n: int, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Array:
+        run, begin, end = found
+        order = np.lexsort((begin, run))
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(run, minlength=n))])
+        pairs = pa.StructArray.from_arrays([pa.array(begin[order], pa.int32()), pa.array(end[order], pa.int32())], ["begin", "end"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        anchor, what, ids, h, at, n = (table.column(c).to_numpy() for c in ("anchor", "words_hash", "id", "h", "at", "n"))
-        content = table.column("content")
-        has = content.is_valid().to_numpy()
-        # equal pieces are one, owned by the least document
-        order = np.lexsort((~has, what, anchor))
-        a, w = anchor[order], what[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (w[1:] != w[:-1])])
-        group = np.cumsum(new) - 1
-        head = np.flatnonzero(new)
-        owner = np.minimum.reduceat(ids[order], head)
-        later = ids[order] > owner[group]
-        k = order[later]
-        yield pa.RecordBatch.from_pydict({"id": ids[k], "h": h[k], "begin": at[k].astype(np.int64), "end": (at[k] + n[k]).astype(np.int64)})
-        # every row of the least document gets what its piece shares with other pieces; an anchor with one piece, or with single
-        # windows only, is settled by then
-        several = np.repeat((m := np.diff(np.append(k := np.flatnonzero(np.concatenate([[True], a[head][1:] != a[head][:-1]])), len(head)))) > 1, m)
-        long = np.repeat(np.maximum.reduceat(n[order][head], k) > window, m)
-        size = np.diff(np.append(head, len(order)))
-        head, owner, size = (x[several & long] for x in (head, owner, size))
-        if not len(head):
-            return
-        total = np.cumsum(n[order][head])
-        cuts = np.searchsorted(total, np.arange(0, total[-1], INDEX_WORDS), "right")
-        heads_anchor = a[head]
-        ends = sorted({len(head), *(int(np.searchsorted(heads_anchor, heads_anchor[min(c, len(head) - 1)])) for c in cuts)} - {0})
-        texts = content.take(pa.array(order[head])).cast(pa.binary()).to_pylist()
-        begin = 0
-        for end in ends:
-            piece, x, y = index_of(texts[begin:end], owner[begin:end])
-            if len(piece):
-                piece = piece + begin
-                # rows of these pieces that belong to the least document
-                rows = np.repeat(head[piece], size[piece]) + np.arange(size[piece].sum()) - np.repeat(np.cumsum(size[piece]) - size[piece], size[piece])
-                x, y = np.repeat(x, size[piece]), np.repeat(y, size[piece])
-                mine = ~later[rows]
-                k = order[rows[mine]]
-                yield pa.RecordBatch.from_pydict({"id": ids[k], "h": h[k], "begin": at[k] + x[mine], "end": at[k] + y[mine]})
-            begin = end
+        for table in whole_groups(batches, ["route"], INDEX_RUNS):
+            least, most = (table.column(c).to_numpy() for c in ("least", "most"))
+            own, others = (lists(table.num_rows, x) for x in index_of(array_of(table.column("content")), least, most))
+            some = pa.array((own.value_lengths().to_numpy() > 0) | (others.value_lengths().to_numpy() > 0))
+            out = pa.table({"digest": table.column("digest"), "least": table.column("least"), "n_rows": table.column("n_rows"), "own": own, "others": others}).filter(some)
+            yield from out.to_batches()
 
     return run
 
@@ -273,13 +253,20 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     assert window < ORDER and gram <= window
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     anchors = stored(rows.mapInArrow(_anchors(window, gram), "anchor long, id long, h long"), "anchors")
-    shared = anchors.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("anchor", (F.col("n") > HOT).alias("is_hot"))
-    lists = anchors.join(shared, "anchor").groupBy("id", "h").agg(F.collect_set(F.when(~F.col("is_hot"), F.col("anchor"))).alias("plain"), F.collect_set(F.when(F.col("is_hot"), F.col("anchor"))).alias("hot"))
-    lists = stored(lists, "shared-anchors")
+    shared = stored(anchors.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("anchor", "n"), "shared-anchors")
+    met = join_groups(anchors, shared, "anchor", "n", anchors.count())
+    is_hot = F.col("n") > HOT
+    lists = stored(met.groupBy("id", "h").agg(F.collect_set(F.when(~is_hot, F.col("anchor"))).alias("plain"), F.collect_set(F.when(is_hot, F.col("anchor"))).alias("hot")), "anchor-lists")
     some = maybe_in(rows, "id", key_filter(lists, "id")).where("_sw_maybe").drop("_sw_maybe")
-    pieces = some.join(lists, ["id", "h"]).select("id", "h", "text", "plain", "hot").mapInArrow(_pieces(window, gram), PIECES)
-    spans = pieces.repartition(n, "route").mapInArrow(_shard(window), "id long, h long, begin long, end long").distinct()
-    return stored(spans.groupBy("id", "h").agg(F.collect_list(F.struct(F.col("begin").cast("int").alias("begin"), F.col("end").cast("int").alias("end"))).alias("spans")), "spans")
+    pieces = stored(some.join(lists, ["id", "h"]).select("id", "h", "text", "plain", "hot").mapInArrow(_pieces(window, gram), PIECES), "pieces")
+    runs = pieces.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n_rows"), F.min("route").alias("route"), F.min("single").alias("single"), F.max("content").alias("content"))
+    # a single window of one document has no partner, as all windows of its words meet in it
+    open_ = runs.where("not single or least < most").drop("single")
+    answers = stored(open_.repartition(n, "route").sortWithinPartitions("route").mapInArrow(_shard(window), ANSWERS), "answers")
+    found = join_groups(pieces.select("digest", "id", "h", "at"), answers, "digest", "n_rows", pieces.count())
+    spans = found.select("id", "h", "at", F.explode(F.when(F.col("id") == F.col("least"), F.col("own")).otherwise(F.col("others"))).alias("s"))
+    spans = spans.select("id", "h", F.struct((F.col("at") + F.col("s.begin")).alias("begin"), (F.col("at") + F.col("s.end")).alias("end")).alias("span"))
+    return stored(spans.groupBy("id", "h").agg(F.collect_set("span").alias("spans")), "spans")
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:

@@ -1,58 +1,92 @@
 """Exact dedup by a log-structured merge index, in DataFrame operations only.
 
-Each scan task is a memtable: it flushes one run, a Parquet file of (digest, length, id) sorted by digest, with Parquet's
-own Bloom filter on the digest, so that a later lookup opens only runs that may hold it. Compaction merges all runs and keeps
-of each digest the entry with the longest original text, then the smallest id. Rows whose digest occurs more than once (hits)
-are compared byte by byte; digests that hold different bytes are grouped anew by the bytes themselves.
+Each scan task fills memtables; a memtable flushes as a run, a Parquet file of at most MEMTABLE entries (digest, length, id)
+sorted by digest, with Parquet's own Bloom filter on the digest. Compaction merges the new runs with what was merged before into
+runs of disjoint digests and keeps of each digest the entry that stays (longest original text, then smallest id) and how many
+there were. Decisions come from the compacted index: a filter of its digests that occur more than once lets all other rows pass
+without a shuffle, and the rest look their digest up. Hits are compared byte by byte; digests that hold different bytes are
+grouped anew by the bytes themselves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm._filters import key_filter, maybe_in
+from sparkwarden.llm._filters import join_groups, key_filter, maybe_in
 from sparkwarden.llm._shared import new_path
 
+#: Entries in a run, at most.
+MEMTABLE = 4_000_000
+
+
 def normalised(text: Column) -> Column:
     """The text without the characters space and U+0009 to U+000D; null is empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", "")
 
 
-def flush_runs(df: DataFrame, id_col: str, text_col: str) -> str:
-    """Write a sorted run with a Bloom filter for each scan task; the index's path. Columns: digest, n_points, id, row_id."""
-    path = new_path(df.sparkSession, "digest-runs")
-    entries = df.select(
-        F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"),
-        F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_points"),
-        F.col(id_col).alias("id"),
-        F.monotonically_increasing_id().alias("row_id"),
-    )
-    writer = entries.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.enable.dictionary#digest", "false")
-    writer.option("compression", "zstd").parquet(path)
-    return path
-
-
-def lookup(spark, path: str, digest_hex: str) -> DataFrame:
-    """Entries of one digest; runs whose filter excludes it aren't read."""
-    return spark.read.parquet(path).where(F.col("digest") == F.lit(bytearray.fromhex(digest_hex)))
-
-
-def compact(entries: DataFrame, keys: list[str]) -> DataFrame:
-    """Of each key the entry that stays (`best`: id, row_id) and how many there are."""
-    best = F.min(F.struct((-F.col("n_points")).alias("n"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("row_id").alias("row_id")))
-    return entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
-
-
-def _collided(df: DataFrame, id_col: str, text_col: str, entries: DataFrame, groups: DataFrame) -> DataFrame:
+def _best() -> Column:
+    """An entry as a struct that sorts first if it is to stay: longest text, then smallest id (null last), then first row."""
+    return F.struct((-F.col("n_points")).alias("n"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("row_id").alias("row_id"))
+
+
+def merged(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each key the entry that stays (`best`) and how many there are; entries come with `best` and `group_size`."""
+    return entries.groupBy(*keys).agg(F.sum("group_size").alias("group_size"), F.min("best").alias("best"))
+
+
+@dataclass
+class DigestIndex:
+    """An index of digests in the shared folder: runs not yet merged, and the last merged level."""
+
+    spark: SparkSession
+    runs: list[str] = field(default_factory=list)
+    level: str | None = None
+
+    def _writer(self, df: DataFrame) -> DataFrameWriter:
+        writer = df.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.enable.dictionary#digest", "false")
+        return writer.option("maxRecordsPerFile", str(MEMTABLE)).option("compression", "zstd")
+
+    def flush(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """Write the rows of df as sorted runs; their entries: digest, n_points, id, row_id."""
+        path = new_path(self.spark, "digest-runs")
+        entries = df.select(
+            F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"),
+            F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_points"),
+            F.col(id_col).alias("id"),
+            F.monotonically_increasing_id().alias("row_id"),
+        )
+        self._writer(entries).parquet(path)
+        self.runs.append(path)
+        return self.spark.read.parquet(path)
+
+    def compact(self) -> DataFrame:
+        """Merge all new runs and the last level into the next level: digest, group_size, best."""
+        parts = [self.spark.read.parquet(p).select("digest", F.lit(1).cast("long").alias("group_size"), _best().alias("best")) for p in self.runs]
+        if self.level:
+            parts.append(self.spark.read.parquet(self.level))
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        path = new_path(self.spark, "digest-level")
+        self._writer(merged(every, ["digest"])).parquet(path)
+        self.runs, self.level = [], path
+        return self.spark.read.parquet(path)
+
+    def lookup(self, digest_hex: str) -> DataFrame:
+        """The merged entry of one digest; files whose sort order or Bloom filter excludes it aren't read."""
+        return self.spark.read.parquet(self.level).where(F.col("digest") == F.lit(bytearray.fromhex(digest_hex)))
+
+
+def _collided(df: DataFrame, id_col: str, text_col: str, hits: DataFrame, entries: DataFrame) -> DataFrame:
     """Digests under which different bytes meet. Only hits are read again in full; min and max are merged before the shuffle."""
-    hit_digests = groups.where("group_size > 1").select("digest")
-    hits = entries.join(hit_digests, "digest", "left_semi")
-    pages = key_filter(hits, "id")
-    some = maybe_in(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", pages).where("_sw_maybe or id is null")
-    texts = some.select(normalised(F.col("text")).alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
-    merged = texts.join(hit_digests, "digest", "left_semi").groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b"))
-    return merged.where("a != b").select("digest")
+    some = maybe_in(entries, "digest", key_filter(hits, "digest")).where("_sw_maybe")
+    pages = key_filter(some, "id")
+    again = maybe_in(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", pages).where("_sw_maybe or id is null")
+    texts = again.select(normalised(F.col("text")).alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
+    return texts.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).where("a != b").select("digest")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,17 +96,20 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     The longest original text stays, then the smallest id (null last), then, of wholly repeated rows, any one. An empty table
     gives an empty result; other columns of df are not touched.
     """
-    spark = df.sparkSession
-    path = flush_runs(df, id_col, text_col)
-    entries = spark.read.parquet(path)
-    groups = compact(entries, ["digest"])
-    bad = _collided(df, id_col, text_col, entries, groups).collect()  # SHA-256 collisions: none are known
-    out = entries.join(groups, "digest")
+    index = DigestIndex(df.sparkSession)
+    entries = index.flush(df, id_col, text_col)
+    hits = index.compact().where("group_size > 1")
+    bad = _collided(df, id_col, text_col, hits, entries).collect()  # SHA-256 collisions: none are known
+    marked = maybe_in(entries.withColumn("_sw_key", F.col("digest")), "_sw_key", key_filter(hits, "digest")).drop("_sw_key")
+    alone = marked.where("not _sw_maybe").withColumns({"group_size": F.lit(1).cast("long"), "best": _best()})
+    found = join_groups(marked.where("_sw_maybe"), hits, "digest", "group_size", entries.count(), "left")
+    out = alone.unionByName(found.withColumns({"group_size": F.coalesce("group_size", F.lit(1).cast("long")), "best": F.coalesce("best", _best())}))
     if bad:
         digests = [F.lit(r[0]) for r in bad]
         texts = df.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_points"), F.monotonically_increasing_id().alias("row_id"))
         texts = texts.withColumn("digest", F.unhex(F.sha2("norm", 256))).where(F.col("digest").isin(digests))
-        out = out.where(~F.col("digest").isin(digests)).unionByName(texts.join(compact(texts, ["digest", "norm"]), ["digest", "norm"]).drop("norm"))
+        anew = merged(texts.select("digest", "norm", F.lit(1).cast("long").alias("group_size"), _best().alias("best")), ["digest", "norm"])
+        out = out.drop("_sw_maybe").where(~F.col("digest").isin(digests)).unionByName(texts.join(anew, ["digest", "norm"]).drop("norm"))
     return out.select(F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("best.row_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -1,9 +1,9 @@
 """Language ID by hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. An n-gram's vector binds (multiplies) its letters' vectors, each permuted by its
-place; a text's profile bundles (adds) the vectors of all its n-grams, and a language's prototype bundles its texts. The language
-of the prototype with the largest cosine wins. Bundling is linear, so n-grams are counted first and each distinct one is added
-once with its count.
+Every letter (each code point, in lower case) has a random vector of +1 and -1 of its own, made from its number. An n-gram's
+vector binds (multiplies) its letters' vectors, each permuted by its place; a text's profile bundles (adds) the vectors of all
+its n-grams, and a language's prototype bundles its texts. The language of the prototype with the largest cosine wins. Bundling is
+linear, so n-grams are counted first and each distinct one of a block is bound once and added with its count.
 """
 
 from __future__ import annotations
@@ -17,45 +17,42 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.llm._arrays import CHUNK, chunks, text_bytes, tidy
+from sparkwarden.llm._arrays import U, chunks, mixed, text_bytes, tidy
 
 DIMENSIONS, GRAM, SEED = 512, 3, 20_240_601
-#: Letters are told apart by 63 codes; code 0 is the gap between words.
-CODES = 64
+#: Bits of a code point in an n-gram's number; 0 is the gap between words.
+BITS = 21
+#: Bytes of text whose n-grams are bound together, and n-grams whose vectors are held at once.
+BLOCK, BOUND = 1 << 19, 8192
 UNKNOWN = "und"
 _tables: dict[str, np.ndarray] = {}
 
 
-def letter_codes() -> np.ndarray:
-    """The code of each code point: 0 for what isn't a letter; upper and lower case are one. ASCII letters have codes of their own."""
-    if "codes" not in _tables:
-        table = np.zeros(sys.maxunicode + 1, np.uint8)
+def letters() -> np.ndarray:
+    """The letter that each code point counts as: itself in lower case, or 0 for what isn't a letter."""
+    if "letters" not in _tables:
+        table = np.zeros(sys.maxunicode + 1, np.int32)
         for c in range(sys.maxunicode + 1):
             if unicodedata.category(chr(c))[0] == "L":
-                low = ord(chr(c).lower()[0])
-                table[c] = low - 96 if 97 <= low <= 122 else 27 + (low * 2654435761 >> 7) % (CODES - 27)
-        _tables["codes"] = table
-    return _tables["codes"]
+                table[c] = ord(chr(c).lower()[0])
+        _tables["letters"] = table
+    return _tables["letters"]
 
 
-def _letter_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """The bound vectors of all but an n-gram's last letter, a row each, and those of last letters: 2 MB, where all n-grams take 64 times that."""
-    if "heads" not in _tables:
-        letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (CODES, DIMENSIONS))
-        out = np.ones((1, DIMENSIONS), np.int8)
-        for place in range(GRAM - 1):
-            turned = np.roll(letters, GRAM - 1 - place, axis=1)
-            out = (out[:, None, :] * turned[None, :, :]).reshape(-1, DIMENSIONS)
-        _tables["heads"], _tables["last"] = out, letters
-    return _tables["heads"], _tables["last"]
+def letter_vectors(letter: np.ndarray, place: int) -> np.ndarray:
+    """The vectors of letters at a place of an n-gram, as bits (1: -1), a row of bytes each: permuted by one step for each place before the last."""
+    words = mixed(letter.astype(U)[:, None] * U(DIMENSIONS // 64) + np.arange(DIMENSIONS // 64, dtype=U), SEED)
+    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(letter), -1), axis=1)
+    return np.packbits(np.roll(bits, GRAM - 1 - place, axis=1), axis=1)
 
 
 def gram_vectors(gram: np.ndarray) -> np.ndarray:
-    """The vectors of n-grams of codes, one row each."""
-    heads, last = _letter_vectors()
-    out = heads[gram // CODES]
-    out *= last[gram % CODES]
-    return out
+    """The vectors of n-grams, one row of +1 and -1 each."""
+    out = np.zeros((len(gram), DIMENSIONS // 8), np.uint8)
+    for place in range(GRAM):
+        own, which = np.unique((gram >> BITS * (GRAM - 1 - place)) & ((1 << BITS) - 1), return_inverse=True)
+        out ^= letter_vectors(own, place)[which]
+    return 1 - 2 * np.unpackbits(out, axis=1).astype(np.int8)
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +66,7 @@ def grams(data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.nda
     else:
         points = raw
     # a gap before each row, and one at the end
-    code = np.insert(letter_codes()[points], rows, 0)
+    code = np.insert(letters()[points], rows, 0)
     rows = rows + np.arange(len(rows))
     keep = code > 0
     keep[1:] |= code[:-1] > 0  # the first of several gaps stays
@@ -81,7 +78,7 @@ def grams(data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.nda
         return np.zeros(0, np.int64), np.zeros(len(rows), np.int64)
     value = np.zeros(n, np.int64)
     for k in range(GRAM):
-        value = value * CODES + code[k : k + n]
+        value = (value << BITS) + code[k : k + n]
     # n-grams that cross into the next row or hold no letter don't count
     at = np.arange(n)
     row = np.searchsorted(rows, at, "right") - 1
@@ -91,29 +88,47 @@ def grams(data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.nda
 
 @tidy
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each label in the task: counts of n-grams, and how many texts."""
+    """Of each label in the task: the bundle of its texts, and how many there are."""
     total: dict[str, np.ndarray] = {}
     texts: dict[str, int] = {}
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
         label = np.array(batch.column("label").to_pylist(), object)
-        for i, j in chunks(offsets, CHUNK):
+        for i, j in chunks(offsets, BLOCK):
             value, first = grams(data, offsets, i, j)
             own = np.repeat(np.arange(i, j), np.diff(first))
             for name in set(label[i:j]):
                 here = label[i:j] == name
-                total.setdefault(name, np.zeros(CODES**GRAM, np.int64))
-                total[name] += np.bincount(value[here[own - i]], minlength=CODES**GRAM)
+                total.setdefault(name, np.zeros(DIMENSIONS))
+                total[name] += bundled(*np.unique(value[here[own - i]], return_counts=True))
                 texts[name] = texts.get(name, 0) + int(here.sum())
-    for name, count in total.items():
-        yield pa.RecordBatch.from_pydict({"label": [name], "profile": pa.array([bundled(np.flatnonzero(count), count[count > 0]).tolist()], pa.list_(pa.float64())), "texts": pa.array([texts[name]], pa.int64())})
+    for name, profile in total.items():
+        yield pa.RecordBatch.from_pydict({"label": [name], "profile": pa.array([profile.tolist()], pa.list_(pa.float64())), "texts": pa.array([texts[name]], pa.int64())})
 
 
 def bundled(gram: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The bundle of n-grams with their counts."""
     out = np.zeros(DIMENSIONS)
-    for k in range(0, len(gram), 4096):
-        out += count[k : k + 4096].astype(np.float64) @ gram_vectors(gram[k : k + 4096]).astype(np.float64)
+    for k in range(0, len(gram), BOUND):
+        out += count[k : k + BOUND].astype(np.float64) @ gram_vectors(gram[k : k + BOUND]).astype(np.float64)
+    return out
+
+
+def profiles(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The profile of each row of n-grams, a row each. Each distinct n-gram is bound once, some at a time."""
+    n = len(first) - 1
+    out = np.zeros((n, DIMENSIONS), np.float32)
+    gram, which = np.unique(value, return_inverse=True)
+    pair, count = np.unique(which * n + np.repeat(np.arange(n), np.diff(first)), return_counts=True)  # by n-gram, then row
+    which, row = pair // n, pair % n
+    for k in range(0, len(gram), BOUND):
+        some = slice(*np.searchsorted(which, [k, k + BOUND]))
+        vectors = gram_vectors(gram[k : k + BOUND]).astype(np.float32)
+        order = np.argsort(row[some], kind="stable")
+        r, g, c = row[some][order], which[some][order] - k, count[some][order].astype(np.float32)
+        head = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else r
+        for a, b in zip(head.tolist(), np.append(head[1:], len(r)).tolist()):
+            out[r[a]] += c[a:b] @ vectors[g[a:b]]
     return out
 
 
@@ -136,14 +151,9 @@ def _judge(prototypes: dict[str, list[float]]) -> Callable[[Iterator[pa.RecordBa
         for batch in batches:
             data, offsets = text_bytes(batch.column("_sw_text"))
             langs, scores = [], []
-            for i, j in chunks(offsets, CHUNK):
+            for i, j in chunks(offsets, BLOCK):
                 value, first = grams(data, offsets, i, j)
-                profile = np.zeros((j - i, DIMENSIONS), np.float32)
-                for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-                    if a < b:
-                        gram, count = np.unique(value[a:b], return_counts=True)
-                        for c in range(0, len(gram), 4096):
-                            profile[k] += count[c : c + 4096].astype(np.float32) @ gram_vectors(gram[c : c + 4096]).astype(np.float32)
+                profile = profiles(value, first)
                 norm = np.linalg.norm(profile, axis=1)
                 cosine = profile @ p.T.astype(np.float32) / np.maximum(norm, 1e-12)[:, None] if names else np.zeros((j - i, 0))
                 for k in range(j - i):
@@ -166,9 +176,16 @@ def predict(df: DataFrame, prototypes: dict[str, list[float]], text_col: str = "
     A text that is null or has no letter is `und` with score 0; of equal cosines the first language in order wins.
     """
     rest = [c for c in df.columns if c != text_col]
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest)
-    rows = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").alias("_sw_text"))
-    return rows.mapInArrow(_judge(prototypes), f"{kinds + ', ' if kinds else ''}lang_pred string, score double")
+    inner, found = _judged(df, rest, text_col, prototypes)
+    return found.select(*[F.col(x).alias(c) for x, c in zip(inner, rest)], "lang_pred", "score")
+
+
+def _judged(df: DataFrame, rest: list[str], text_col: str, prototypes: dict[str, list[float]]) -> tuple[list[str], DataFrame]:
+    """The columns `rest` of df under names of their own (also returned), lang_pred and score; so no name of df can clash."""
+    inner = [f"_sw_{k}" for k in range(len(rest))]
+    kinds = "".join(f"{x} {df.schema[c].dataType.simpleString()}, " for x, c in zip(inner, rest))
+    rows = df.select(*[F.col(f"`{c}`").alias(x) for x, c in zip(inner, rest)], F.col(f"`{text_col}`").alias("_sw_text"))
+    return inner, rows.mapInArrow(_judge(prototypes), kinds + "lang_pred string, score double")
 
 
 def held_out(id_col: Column) -> Column:
@@ -189,6 +206,6 @@ def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 def in_a_language(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", least: float = 0.0) -> DataFrame:
     """The rows of df whose text has a letter and, where languages could be learned, a cosine of `least` or more with one."""
     learned = learn(df.where(~held_out(F.col(id_col))), text_col, label_col)
-    prototypes = learned or {"": [0.0] * DIMENSIONS}
-    rows = df.select(*[F.col(f"`{c}`") for c in df.columns], F.col(text_col).alias("_sw_copy"))
-    return predict(rows, prototypes, "_sw_copy").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= (least if learned else 0.0))).select(*[F.col(f"`{c}`") for c in df.columns])
+    inner, found = _judged(df, df.columns, text_col, learned or {"": [0.0] * DIMENSIONS})
+    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= (least if learned else 0.0)))
+    return kept.select(*[F.col(x).alias(c) for x, c in zip(inner, df.columns)])

@@ -2,7 +2,8 @@
 
 The forest sees a candidate's length, its mix of characters and transitions between them, how much of it a dictionary covers,
 whether it looks like part of a path, and the words next to it. It is trained from labelled findings: rows (before, candidate,
-after, is_secret), by default `labelled_findings`, which makes findings of known kinds. Training takes at most TRAIN_ROWS of them.
+after, is_secret), by default `labelled_findings`, which makes findings of known kinds; `findings_of` makes them from a table of
+labelled texts. Training takes a random sample of at most `rows` of them (TRAIN_ROWS by default).
 """
 
 from __future__ import annotations
@@ -90,7 +91,7 @@ def labelled_findings(n: int = TRAIN_ROWS, seed: int = SEED) -> list[tuple[bytes
     words = lambda k, sep: sep.join(pick(_WORDS) for _ in range(k))
     noise = lambda: " ".join(pick(_WORDS) for _ in range(int(rng.integers(0, 6))))
     out = []
-    for _ in range(min(n, TRAIN_ROWS)):
+    for _ in range(n):
         quote, sep = pick(['"', "'", ""]), pick([" = ", ": ", "=", ":", " "])
         if rng.random() < 0.5:
             value = pick([
@@ -177,10 +178,39 @@ class Forest:
         return self.value[at].mean(1)
 
 
-def train(findings: list[tuple[bytes, bytes, bytes, int]] | None = None) -> Forest:
-    """A forest from labelled findings (before, candidate, after, is_secret)."""
-    findings = (findings or labelled_findings())[:TRAIN_ROWS]
-    return Forest(np.array([features(a, b, c) for a, b, c, _ in findings]), np.array([y for *_, y in findings], float))
+def train(findings: list[tuple[bytes, bytes, bytes, int]] | None = None, rows: int = TRAIN_ROWS, seed: int = SEED) -> Forest:
+    """A forest from labelled findings (before, candidate, after, is_secret), of which at most `rows` are drawn at random."""
+    findings = labelled_findings(rows, seed) if findings is None else findings
+    if not findings:
+        raise ValueError("no labelled findings to learn from")
+    if len(findings) > rows:
+        findings = [findings[k] for k in np.sort(np.random.default_rng(seed).choice(len(findings), rows, replace=False))]
+    return Forest(np.array([features(a, b, c) for a, b, c, _ in findings]), np.array([y for *_, y in findings], float), seed=seed)
+
+
+def findings_of(df: DataFrame, text_col: str = "text", secrets_col: str = "secret_values", rows: int = TRAIN_ROWS, seed: int = SEED) -> list[tuple[bytes, bytes, bytes, int]]:
+    """Labelled findings of texts whose true secrets (array of strings) are known: each candidate that is one of them, or lies in
+    one or around one, counts as a secret. At most about `rows` candidates are drawn, evenly from the whole table.
+    """
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text"))
+            known = [[s.encode() for s in x or [] if s] for x in batch.column("known").to_pylist()]
+            for i, j in chunks(offsets):
+                out = []
+                for r, a, b in candidates(data, offsets, i, j):
+                    at = int(offsets[r])
+                    cut = lambda x, y: data[at + max(0, x) : min(at + y, int(offsets[r + 1]))].tobytes()  # noqa: E731, B023
+                    word = cut(a, b)
+                    out.append((cut(a - CONTEXT, a), word, cut(b, b + CONTEXT), any(word in s or s in word for s in known[r])))
+                if out:
+                    yield pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, c, k in zip(("before", "word", "after", "is_secret"), zip(*out), (pa.binary(), pa.binary(), pa.binary(), pa.bool_()))})
+
+    found = df.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{secrets_col}`").alias("known")).mapInArrow(run, "before binary, word binary, after binary, is_secret boolean")
+    drawn = found.orderBy(F.xxhash64("before", "word", "after", F.lit(seed))).limit(rows).collect()  # at most `rows`
+    return [(bytes(r.before), bytes(r.word), bytes(r.after), int(r.is_secret)) for r in drawn]
 
 
 def candidates(data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> list[tuple[int, int, int]]:
@@ -252,10 +282,10 @@ def _scan(forest: Forest, least: float, columns: list[str]) -> Callable[[Iterato
                     secrets[r] = united([p for p in places[r] if p[2] >= least])
                     if secrets[r]:
                         parts, at, spans = [], 0, []
+                        points = np.concatenate([[0], np.cumsum((np.frombuffer(own, np.uint8) & 0xC0) != 0x80)])  # code points before each byte
                         for a, b, score in secrets[r]:
                             parts += [own[at:a], MASK.encode()]
-                            begin = len(own[:a].decode("utf-8", "ignore"))
-                            spans.append({"begin": begin, "end": begin + len(own[a:b].decode("utf-8", "ignore")), "score": score})
+                            spans.append({"begin": int(points[a]), "end": int(points[b]), "score": score})
                             at = b
                         changed[r] = b"".join([*parts, own[at:]]).decode()
                         secrets[r] = spans
@@ -277,11 +307,16 @@ def scan(df: DataFrame, text_col: str = "text", forest: Forest | None = None, le
     has no candidates and stays null, repeated rows are scanned as often as they occur, an empty table gives an empty result.
     """
     columns = [c for c in df.columns if c != text_col]
+    renamed, found = _scanned(df, columns, text_col, forest, least)
+    return found.select(*[F.col(renamed[c]).alias(c) for c in columns], "n_candidates", "secrets", "redacted")
+
+
+def _scanned(df: DataFrame, columns: list[str], text_col: str, forest: Forest | None, least: float) -> tuple[dict[str, str], DataFrame]:
+    """`columns` of df under names of their own (also returned), n_candidates, secrets and redacted; so no name of df can clash."""
     renamed = {c: f"_sw_{k}" for k, c in enumerate(columns)}
     kinds = "".join(f"{renamed[c]} {df.schema[c].dataType.simpleString()}, " for c in columns)
     rows = df.select(*[F.col(f"`{c}`").alias(renamed[c]) for c in columns], F.col(f"`{text_col}`").alias("_sw_text"))
-    found = rows.mapInArrow(_scan(forest or train(), least, list(renamed.values())), kinds + SCAN)
-    return found.select(*[F.col(renamed[c]).alias(c) for c in columns], "n_candidates", "secrets", "redacted")
+    return renamed, rows.mapInArrow(_scan(forest or train(), least, list(renamed.values())), kinds + SCAN)
 
 
 def findings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,10 +327,9 @@ def findings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """df with its texts redacted, and `length_col` (code points) brought up to date where a text has changed."""
-    held = df.withColumn("_sw_copy", F.col(text_col))
-    found = scan(held, "_sw_copy")
+    own, found = _scanned(df, df.columns, text_col, None, 0.5)
     changed = F.size("secrets") > 0
-    new = {text_col: F.when(changed, F.col("redacted")).otherwise(F.col(text_col))}
+    new = {text_col: F.when(changed, F.col("redacted")).otherwise(F.col(own[text_col]))}
     if length_col in df.columns:
-        new[length_col] = F.when(changed, F.char_length("redacted").cast(df.schema[length_col].dataType)).otherwise(F.col(length_col))
-    return found.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])
+        new[length_col] = F.when(changed, F.char_length("redacted").cast(df.schema[length_col].dataType)).otherwise(F.col(own[length_col]))
+    return found.select(*[new.get(c, F.col(own[c])).alias(c) for c in df.columns])

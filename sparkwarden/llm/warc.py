@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.llm._filters import key_filter, maybe_in
+from sparkwarden.llm._filters import join_groups, key_filter, maybe_in
 from sparkwarden.llm._shared import new_path, stored
 
 ARCHIVE = 64 << 20
@@ -31,23 +31,32 @@ FRAME_MAGIC, DICTIONARY_FRAME, SKIPPABLE = 0xFD2FB528, 0x184D2A5D, range(0x184D2
 DICTIONARY_BYTES, SAMPLES, SAMPLE_BYTES = 16 << 10, 200, 4 << 10
 MANDATORY = ("WARC-Record-ID", "Content-Length", "WARC-Date", "WARC-Type")
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+#: Pages have no time of their own.
+DATE = "1970-01-01T00:00:00Z"
 
 
 class WarcError(ValueError):
     """An archive that doesn't keep to the format."""
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None) -> bytes:
+def uri_of(url: str | None) -> str:
+    return "".join(c if 32 < ord(c) < 127 else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "about:blank")
+
+
+def record_id(page_id: int | None, url: str | None) -> str:
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id} {uri_of(url)}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None, refers_url: str | None = None) -> bytes:
     """One record: header, HTTP head and, in a response, the payload."""
     digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + payload if kind == "response" else http
-    uri = "".join(c if 32 < ord(c) < 127 else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "about:blank")
-    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id} {uri}')}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", digest), ("Content-Type", "application/http; msgtype=response")]
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id, url)), ("WARC-Date", DATE), ("WARC-Target-URI", uri_of(url)), ("WARC-Payload-Digest", digest), ("Content-Type", "application/http; msgtype=response")]
     if page_id is not None:
         fields.append(("X-Page-Id", str(page_id)))
     if kind == "revisit":
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-Id", str(refers_to))]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to, refers_url)), ("WARC-Refers-To-Target-URI", uri_of(refers_url)), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page-Id", str(refers_to))]
     fields.append(("Content-Length", str(len(block))))
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode() + block + b"\r\n\r\n"
 
@@ -188,12 +197,12 @@ def _write(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, archive, number = TaskContext.get(), None, 0
         for batch in batches:
-            for row in zip(*(batch.column(c) for c in ("page_id", "url", "html", "record_type", "refers_to"))):
+            for row in zip(*(batch.column(c) for c in ("page_id", "url", "html", "record_type", "refers_to", "refers_url"))):
                 if archive is None:
                     archive = _Archive(folder, f"pages-{task.partitionId():06d}-{task.taskAttemptId()}-{number:05d}.warc.zst")
                     number += 1
-                page_id, url, html, kind, refers_to = (x.as_py() for x in row)
-                archive.add(record(page_id, url, (html or "").encode(), kind, refers_to))
+                page_id, url, html, kind, refers_to, refers_url = (x.as_py() for x in row)
+                archive.add(record(page_id, url, (html or "").encode(), kind, refers_to, refers_url))
                 if archive.raw >= ARCHIVE:
                     yield pa.RecordBatch.from_pydict(archive.close())
                     archive = None
@@ -209,13 +218,16 @@ def write_archives(pages: DataFrame, least: int = LEAST) -> DataFrame:
     Of equal payloads of at least `least` bytes the record of the largest page_id is the response (null ids are smallest; repeated
     rows of that id are responses each), the others are revisits. Null html is an empty payload, null url `about:blank`.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("digest", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")))
-    large = rows.where(F.octet_length("html") >= least)
-    equal = stored(large.groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1 and response is not null").select("digest", "response"), "equal-payloads")
-    marked = maybe_in(rows.withColumn("_sw_key", F.col("digest")), "_sw_key", key_filter(equal, "digest"))
-    alone = marked.where("not _sw_maybe").select("page_id", "url", "html", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    # payloads are equal if their lengths and SHA-256 are
+    key = F.concat_ws("-", F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256), F.octet_length("html"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("equal", key)
+    large = rows.where(F.octet_length("html") >= least).groupBy("equal").agg(F.max(F.struct("page_id", "url")).alias("response"), F.count(F.lit(1)).alias("n"))
+    groups = stored(large.where("n > 1 and response.page_id is not null").select("equal", "n", F.col("response.page_id").alias("response"), F.col("response.url").alias("refers_url")), "equal-payloads")
+    marked = maybe_in(rows.withColumn("_sw_key", F.col("equal")), "_sw_key", key_filter(groups, "equal"))
+    alone = marked.where("not _sw_maybe").select("page_id", "url", "html", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_url"))
     again = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
-    maybe = marked.where("_sw_maybe").join(equal, "digest", "left").select("page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("response")).alias("refers_to"))
+    found = join_groups(marked.where("_sw_maybe"), groups, "equal", "n", groups.agg(F.sum("n")).first()[0] or 0, "left")
+    maybe = found.select("page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("response")).alias("refers_to"), F.when(again, F.col("refers_url")).alias("refers_url"))
     folder = new_path(pages.sparkSession, "warc")
     return stored(alone.unionByName(maybe).mapInArrow(_write(folder), "archive string, records long, raw_bytes long"), "manifest")
 

@@ -172,6 +172,7 @@ def test_exact_dedup(odd):
 
 def test_nearest(spark, monkeypatch):
     monkeypatch.setattr(ann, "SHARD", 200)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
     v = [1.0, 2.0, 3.0]
     odd = [(k, v) for k in range(120)] + [(200, None), (250, [0.0, 0.0, 0.0]), (300, [1.0, None, 2.0]), (350, [float("nan"), 1.0, 1.0]), (None, v)] + [(400 + k, [1.0, float(k), 2.0]) for k in range(30)]

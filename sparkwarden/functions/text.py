@@ -14,7 +14,7 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparkwarden.functions.regex import SPACES, java
+from sparkwarden.functions.regex import SPACES, java, literals
 
 OPEN, CLOSE = "\u0001", "\u0002"
 
@@ -69,10 +69,10 @@ def matches(c: Column, pattern: str, start: Callable[[Column], Column] | None =
     return let(marked(c, pattern), found)
 
 
-def replace_each(c: Column, pattern: str, new: Callable[[Column, Column], Column]) -> Column:
-    """The text with each match m replaced by new(m, character before it)."""
+def replace_each(c: Column, pattern: str, new: Callable[[Column, Column], Column], need: str | None = None) -> Column:
+    """The text with each match m replaced by new(m, character before it). `need` is a cheaper pattern that each match holds."""
     made = lambda parts: F.concat(parts[0], F.array_join(_pairs(parts, lambda m, before, rest: F.concat(new(m, before), rest)), ""))
-    return let(c, lambda s: F.when(s.rlike(pattern), let(marked(s, pattern), made)).otherwise(s))
+    return let(c, lambda s: F.when(s.rlike(need) & s.rlike(pattern) if need else s.rlike(pattern), let(marked(s, pattern), made)).otherwise(s))
 
 
 # ------------------------------------------------------------------------------------------------- normalising
@@ -312,7 +312,7 @@ def extract_ibans(c: Column) -> Column:
 
 
 def extract_phones(c: Column) -> Column:
-    s = replace_each(text_of(c), IBAN, lambda m, _: F.when(is_iban(m), F.lit(" ")).otherwise(m))
+    s = replace_each(text_of(c), IBAN, lambda m, _: F.when(is_iban(m), F.lit(" ")).otherwise(m), "[A-Za-z]{2}[0-9]{2}")
     some = text_of(c).rlike("[+0][1-9](?:[ \\t/().-]{0,2}[0-9]){6}")
     return F.when(some, F.transform(F.filter(matches(s, PHONE), is_phone), trim)).otherwise(F.array().cast("array<string>"))
 
@@ -370,17 +370,37 @@ def redact_cards(c: Column) -> Column:
     return replace_each(text_of(c), CARD, one)
 
 
+def _where_any(low: Column, words: frozenset[str], c: Column, new: Callable[[Column], Column]) -> Column:
+    """new(c) where the lower-case text holds one of the words, else c; `c` and `low` are best variables."""
+    some = F.lit(False)
+    for w in sorted(words):
+        some = some | F.contains(low, F.lit(w))
+    return F.when(some, new(c)).otherwise(c)
+
+
 def redact_secrets(c: Column) -> Column:
-    """Bank, card, access and identity data replaced by what they are; key words stay."""
-    s = text_of(c)
-    s = replace_each(s, IBAN, lambda m, _: F.when(is_iban(m), F.lit("[IBAN]")).otherwise(m))
-    s = redact_cards(s)
-    for pattern, name in SECRETS:
+    """Bank, card, access and identity data replaced by what they are; key words stay.
+
+    A pattern runs only where the text holds a key word of it; marks put in by earlier patterns hold none of later ones.
+    """
+
+    def one(pattern: str, name: str) -> Callable[[Column], Column]:
         p = java(pattern, "i")
         # a missing separator becomes a blank
-        s = F.regexp_replace(F.regexp_replace(s, p, f"$1{OPEN}$2{CLOSE}{name}"), f"{OPEN}{CLOSE}", " ")
-        s = F.regexp_replace(s, f"[{OPEN}{CLOSE}]", "")
-    return s
+        return lambda s: F.regexp_replace(F.regexp_replace(F.regexp_replace(s, p, f"$1{OPEN}$2{CLOSE}{name}"), f"{OPEN}{CLOSE}", " "), f"[{OPEN}{CLOSE}]", "")
+
+    def gated(low: Column, pattern: str, name: str) -> Callable[[Column], Column]:
+        return lambda x: _where_any(low, literals(pattern, 3) or literals(pattern, 2), x, one(pattern, name))
+
+    def all_of(text: Column, low: Column) -> Column:
+        s = replace_each(text, IBAN, lambda m, _: F.when(is_iban(m), F.lit("[IBAN]")).otherwise(m), "[A-Za-z]{2}[0-9]{2}")
+        s = redact_cards(s)
+        for pattern, name in SECRETS:
+            s = let(s, gated(low, pattern, name))
+        return s
+
+    # lower case is computed for each pattern: nesting all in one more variable is dearer to analyse
+    return all_of(text_of(c), F.replace(F.lower(text_of(c)), F.lit("ſ"), F.lit("s")))
 
 
 def _quoted(c: Column) -> Column:

@@ -94,11 +94,10 @@ def extract_message(df: DataFrame, body: str = "body", platform: str = "platform
     p = F.col(platform)
     starts, ends = (by_platform(p, lambda x, g=g, a=a: F.lit(_any_of((*g, *getattr(x, a)))), platforms) for g, a in ((START, "start_markers"), (END, "end_markers")))
     allowed = by_platform(p, lambda x: _strings(x.link_domains), platforms)
-    inline, whole = _any_of(START[3:]), _any_of(START[:3])
     one = df.withColumns({"_lines": F.split(normalize_body(F.col(body)), "\n"), "_starts": starts, "_ends": ends, "_allowed": allowed})
     two = one.withColumn("_at", F.array_position(F.transform("_lines", lambda x: F.regexp_like(x, F.col("_starts"))), True))
     line = F.when(F.col("_at") > 0, F.element_at("_lines", F.col("_at").cast("int"))).otherwise("")
-    rest = F.when(line.rlike(whole), "").otherwise(F.regexp_replace(line, inline, ""))
+    rest = F.when(F.col("_at") > 0, F.substring(line, F.regexp_instr(line, F.col("_starts")) + F.char_length(F.regexp_substr(line, F.col("_starts"))), F.lit(1 << 30))).otherwise("")
     three = two.withColumn("_rest", T.trim(F.regexp_replace(rest, f"^[{SPACES}]*[:\\-–][{SPACES}]*", "")))
     begin = F.when(F.col("_at") == 0, 1).when(F.col("_rest") != "", F.col("_at")).otherwise(F.col("_at") + 1).cast("int")
     tail = F.slice("_lines", begin, F.greatest(F.size("_lines") - begin + 1, F.lit(0)))

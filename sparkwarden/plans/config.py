@@ -15,6 +15,7 @@ class Settings:
     """The defaults."""
 
     sender_domains: tuple[str, ...] = ("kleinanzeigen.de", "willhaben.at", "ebay.de", "ebay.at", "ebay.com")
+    sender_subject_pattern: str = ""
     newer_than_days: int = 7
     max_threads_per_run: int = 10
     max_messages_per_run: int = 8
@@ -30,6 +31,8 @@ class Settings:
     llm_max_input_chars: int = 2500
     llm_skip_on_high_rule_risk: bool = True
     llm_cooldown_minutes: int = 60
+    llm_zdr_only: bool = False
+    llm_reasoning_effort: str = ""
     seller_name: str = ""
     seller_context: str = ""
     form_of_address: str = "du"
@@ -46,6 +49,21 @@ class Settings:
         return self.form_of_address.lower() == "sie"
 
 
+#: Secrets without which nothing can be sent, and the one that language models need.
+REQUIRED, MODEL_KEY = ("bot_token", "chat_id"), "model_key"
+
+
+def secret(s: Settings, name: str) -> str:
+    """A secret; a missing one is fatal."""
+    if not s.secrets.get(name):
+        raise FatalSettings(f"{name} is missing")
+    return s.secrets[name]
+
+
+class FatalSettings(RuntimeError):
+    """Settings with which nothing can run."""
+
+
 def coerce(raw: str | None, default):
     """A text as the type of the default; blank or unusable texts give the default."""
     text = (raw or "").strip()
@@ -74,12 +92,17 @@ def load(properties: dict[str, str] | None = None) -> Settings:
     """Settings with overrides by name, upper or lower case."""
     given = {k.lower(): v for k, v in (properties or {}).items()}
     base = Settings()
-    return replace(base, **{f.name: coerce(given[f.name], getattr(base, f.name)) for f in fields(base) if f.name in given and f.name != "secrets"})
+    secrets = {k: given[k].strip() for k in (*REQUIRED, MODEL_KEY) if (given.get(k) or "").strip()}
+    return replace(base, secrets=secrets, **{f.name: coerce(given[f.name], getattr(base, f.name)) for f in fields(base) if f.name in given and f.name != "secrets"})
 
 
 def validate(s: Settings) -> list[str]:
     """What is wrong with settings; empty if nothing is."""
-    out = []
+    out = [f"{name} is missing" for name in REQUIRED if not s.secrets.get(name)]
+    if s.llm_enabled and not s.secrets.get(MODEL_KEY):
+        out.append(f"{MODEL_KEY} is missing")
+    if s.llm_enabled and not s.llm_models:
+        out.append("llm_models is empty")
     if s.trigger_minutes not in (1, 5, 10, 15, 30):
         out.append("trigger_minutes must be 1, 5, 10, 15 or 30")
     if not 60 <= s.max_runtime_seconds <= 330:

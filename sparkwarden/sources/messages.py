@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
 from sparkwarden.functions import text as T
+from sparkwarden.functions.regex import java
 
 MAIL = Y.StructType([Y.StructField(n, Y.TimestampType() if n == "received_at" else Y.StringType()) for n in ("id", "thread_id", "subject", "sender", "reply_to", "received_at", "plain_body", "html_body", "permalink")])
 
@@ -27,12 +31,33 @@ def newer_than(df: DataFrame, time: str, days: int, now: Column) -> DataFrame:
     return df.where(F.col(time) > now - F.expr(f"interval {days} days"))
 
 
+def wanted(df: DataFrame, domains: Sequence[str], now: Column, days: int, subject: str = "", unread: str | None = None) -> DataFrame:
+    """Mails of the last `days` from addresses under one of the domains, with a subject that matches (if asked) and unread (if asked)."""
+    address = F.regexp_extract(F.lower(T.text_of(F.col("sender"))), "@([a-z0-9.-]+)", 1)
+    keep = T.host_matches(address, F.array(*map(F.lit, domains)).cast("array<string>")) if domains else F.lit(True)
+    if subject:
+        keep = keep & T.text_of(F.col("subject")).rlike(java(subject, "i"))
+    return newer_than(df, "received_at", days, now).where(keep & (F.col(unread) if unread else F.lit(True)))
+
+
 def candidates(df: DataFrame, done: DataFrame, limit: int, key: str = "id", time: str = "received_at") -> DataFrame:
     """Rows that aren't done: the `limit` newest, oldest first. `done` is anti-joined, so the limit doesn't count done rows."""
     fresh = df.join(done.select(key).distinct(), key, "left_anti")
     return fresh.orderBy(F.desc(time), F.desc(key)).limit(limit).orderBy(time, key)
 
 
+def paged_candidates(df: DataFrame, done: DataFrame, page: int, pages: int = 3, thread: str = "thread_id", key: str = "id", time: str = "received_at") -> DataFrame:
+    """Open rows of the first page of threads (newest first) that has any; at most `pages` pages of `page` threads are looked at.
+
+    Threads of a page are few, so all that is ranked is the newest `page * pages` of them.
+    """
+    newest = df.groupBy(thread).agg(F.max(time).alias("_newest")).orderBy(F.desc("_newest"), F.desc(thread)).limit(page * pages)
+    ranked = newest.withColumn("_page", F.floor((F.row_number().over(Window.orderBy(F.desc("_newest"), F.desc(thread))) - 1) / page))
+    open_ = df.join(F.broadcast(ranked.select(thread, "_page")), thread).join(done.select(key).distinct(), key, "left_anti")
+    first = open_.agg(F.min("_page").alias("_first"))
+    return open_.join(F.broadcast(first), F.col("_page") == F.col("_first")).drop("_page", "_first").orderBy(time, key)
+
+
 def latest(df: DataFrame, key: str = "id", time: str = "received_at") -> DataFrame:
     return df.orderBy(F.desc(time), F.desc(key)).limit(1)
 
@@ -61,9 +86,28 @@ def keep_last(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     return once.orderBy(F.desc(order), F.desc(key)).limit(n)
 
 
-def throttled(df: DataFrame, key: str, time: str, seconds: int) -> DataFrame:
-    """Rows that pass a throttle of one per key and fixed time slot of `seconds` (60 s to 6 h): the first of each slot."""
-    span = min(max(seconds, 60), 6 * 3600)
-    slot = F.floor(F.unix_timestamp(F.col(time).cast("timestamp")) / span)
-    first = Window.partitionBy(key, slot).orderBy(time, "event_id")
-    return df.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+def throttled(df: DataFrame, key: str, time: str, seconds: int, tie: str | None = None) -> DataFrame:
+    """Rows that pass a throttle: of each key the first, then the next one `seconds` (60 s to 6 h) or more after the last that passed.
+
+    Rows of a key are taken in order of time (then `tie`; null times never pass). They stream through a task sorted, with the last
+    passed time as the only state, so a key may have any number of rows.
+    """
+    span = min(max(seconds, 60), 6 * 3600) * 1_000_000
+    number = F.unix_micros(F.col(time).cast("timestamp"))
+    rows = df.withColumns({"_number": number, "_tie": F.col(tie) if tie else F.lit(0)}).where("_number is not null")
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, until = None, 0
+        for batch in batches:
+            keys, times = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keep = []
+            for k, (who, at) in enumerate(zip(keys, times)):
+                if (who,) != now or at >= until:
+                    now, until = (who,), at + span
+                    keep.append(k)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    names = [f"_c{k}" for k in range(len(df.columns))]
+    flat = rows.select(F.col(f"`{key}`").alias("_key"), "_number", "_tie", *[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)])
+    dealt = flat.repartition("_key").sortWithinPartitions("_key", "_number", "_tie")
+    return dealt.mapInArrow(passing, flat.schema).select(*[F.col(n).alias(c) for c, n in zip(df.columns, names)])

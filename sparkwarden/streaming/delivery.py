@@ -1,26 +1,37 @@
-"""Deliver each message once: micro-batches with a ledger, bounded attempts, a throttle for alerts and a cool-down.
+"""Deliver each message once: a table of pending mails, a ledger, bounded attempts, a throttle for alerts and a cool-down.
 
-The ledger is a table of (id, status, attempts, at). A message is done when it was sent or skipped, or given up after
-max_delivery_attempts. The ledger row is written right after the send, so a failure behind it causes no second send.
+What arrives is first written to the pending table; each run takes the oldest open mails of it, analyses only those, and notes in the
+ledger (id, status, attempts, at) what came of them. Mails beyond a run's limits, and failed ones below max_delivery_attempts, stay
+open and are offered again by the next run, whether or not new mails arrive. A mail is done when it was sent or skipped, or given
+up. Its ledger row is written right after the send, so a failure behind it causes no second send.
 """
 
 from __future__ import annotations
 
+import json
 import logging
+import random
 import time
+import uuid
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from email.utils import parsedate_to_datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sparkwarden.plans.config import Settings
+from sparkwarden.sources import messages
+from sparkwarden.streaming.store import Table, lock
 
 log = logging.getLogger("sparkwarden")
 LEDGER = "id string, status string, attempts int, at timestamp"
-#: Shortest and longest pause in seconds.
-PAUSE = (60, 6 * 3600)
+#: Shortest and longest pause in seconds; seconds that a message needs; ids and attempts that a ledger keeps at least.
+PAUSE, RESERVE, KEEP_DONE, KEEP_ATTEMPTS = (60, 6 * 3600), 75, 400, 100
+#: Parts of a table after which it is rewritten.
+PARTS = 64
 
 
 class FatalError(RuntimeError):
@@ -51,12 +62,55 @@ class Timers:
         return True
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger; an empty one if there is none yet."""
-    try:
-        return spark.read.schema(LEDGER).parquet(path)
-    except Exception:  # nothing written yet
-        return spark.createDataFrame([], LEDGER)
+@dataclass
+class Box:
+    """The pending table, the ledger and the lock of one inbox, in a shared folder."""
+
+    spark: SparkSession
+    path: str
+    schema: str = messages.MAIL.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+
+    @property
+    def pending(self) -> Table:
+        return Table(self.spark, f"{self.path}/pending", self.schema)
+
+    @property
+    def ledger(self) -> Table:
+        return Table(self.spark, f"{self.path}/ledger", LEDGER)
+
+    def offer(self, mails: DataFrame, name: str | None = None) -> None:
+        """Add mails; the same part again (a micro-batch that is repeated) replaces itself, and repeated ids count once later."""
+        columns = [c.split()[0] for c in self.schema.split(",")]
+        self.pending.append(mails.select(*columns), name or uuid.uuid4().hex)
+
+    def note(self, id_: str, status: str, attempts: int) -> None:
+        row = self.spark.createDataFrame([(id_, status, attempts)], "id string, status string, attempts int")
+        self.ledger.append(row.withColumn("at", F.current_timestamp()).coalesce(1), uuid.uuid4().hex)
+
+    def open(self, limit: int) -> DataFrame:
+        """Pending mails that aren't done, each id once, with their attempts."""
+        known = state(self.ledger.read(), limit)
+        return self.pending.read().where("id is not null").dropDuplicates(["id"]).join(known, "id", "left").where("not coalesce(done, false)").drop("done")
+
+    def tidy(self, cfg: Settings) -> None:
+        """Rewrite tables of many parts: the pending one with what is open, the ledger without what can't come back.
+
+        A mail older than newer_than_days is no longer offered, so entries of twice that age may go; the newest ones stay in any case.
+        """
+        if len(self.pending.parts()) > PARTS:
+            self.pending.rewrite(self.open(cfg.max_delivery_attempts).drop("attempts"))
+        if len(self.ledger.parts()) > PARTS:
+            every = self.ledger.read()
+            newest = every.orderBy(F.desc("at")).limit(KEEP_DONE + KEEP_ATTEMPTS).select("id").distinct().withColumn("new", F.lit(True))
+            young = F.col("at") > F.current_timestamp() - F.expr(f"interval {2 * cfg.newer_than_days} days")
+            self.ledger.rewrite(every.join(newest, "id", "left").where(young | F.col("new")).drop("new"))
+
+    def locked(self, seconds: float):
+        return lock(self.spark, f"{self.path}/lock", seconds)
+
+    def reset(self) -> None:
+        """Forget what was delivered; pending mails stay."""
+        self.ledger.clear()
 
 
 def state(ledger: DataFrame, limit: int) -> DataFrame:
@@ -65,72 +119,139 @@ def state(ledger: DataFrame, limit: int) -> DataFrame:
     return per.select("id", "attempts", ((F.col("ended") > 0) | (F.col("attempts") >= limit)).alias("done"))
 
 
-def deliver_batch(batch: DataFrame, ledger_path: str, send: Callable[[dict], None], cfg: Settings, timers: Timers, alert: Callable[[str], None] | None = None, deadline: float | None = None) -> dict[str, int]:
-    """Send the batch's messages (id, received_at, skip_reason, notification ...) that aren't done, oldest first; statistics of the run.
+def statistics(outcomes: DataFrame, outcome: str = "outcome") -> DataFrame:
+    """How many messages had each outcome."""
+    return outcomes.groupBy(F.col(outcome).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
-    Sent and failed messages count towards max_messages_per_run, skipped ones don't; the rest is deferred.
-    """
-    spark = batch.sparkSession
-    known = state(read_ledger(spark, ledger_path), cfg.max_delivery_attempts)
-    open_ = batch.dropDuplicates(["id"]).join(known, "id", "left").where("not coalesce(done, false)")
-    stats = dict(candidates=open_.count(), sent=0, skipped=0, failed=0, deferred=0)
-    seen = 0
 
-    def note(entry: tuple[str, str, int]) -> None:
-        spark.createDataFrame([entry], "id string, status string, attempts int").withColumn("at", F.current_timestamp()).select("id", "status", "attempts", "at").coalesce(1).write.mode("append").parquet(ledger_path)
+def deliver(box: Box, screen: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], DataFrame], send: Callable[[dict], None], cfg: Settings, timers: Timers, alert: Callable[[str, str, Exception | None], None] | None = None, after: Callable[[dict], None] | None = None, deadline: float | None = None) -> dict[str, int]:
+    """One run: `screen` adds skip_reason to open mails (cheaply), `prepare` analyses those that are due; statistics of the run.
 
-    skipped = open_.where("skip_reason is not null")
-    stats["skipped"] = skipped.count()
+    The oldest come first. Sent and failed messages count towards max_messages_per_run, skipped ones don't; the rest is deferred and
+    stays pending. `after` does what follows a send (marking, a draft); its failures are logged only.
+    """
+    seen = screen(box.open(cfg.max_delivery_attempts)).select("id", "received_at", "skip_reason", F.coalesce("attempts", F.lit(0)).alias("attempts")).persist()
+    counts = {r["outcome"]: r["n"] for r in statistics(seen.select(F.when(F.col("skip_reason").isNull(), "due").otherwise("skipped").alias("outcome"))).collect()}
+    stats = dict(candidates=sum(counts.values()), sent=0, skipped=counts.get("skipped", 0), failed=0, deferred=0)
     if stats["skipped"]:
-        skipped.select("id", F.lit("skipped").alias("status"), F.lit(0).alias("attempts"), F.current_timestamp().alias("at")).write.mode("append").parquet(ledger_path)
-    due = open_.where("skip_reason is null").orderBy("received_at", "id").limit(cfg.max_messages_per_run)
-    for row in due.collect():  # at most max_messages_per_run rows
-        if deadline is not None and deadline - timers.clock() < 75:
+        skipped = seen.where("skip_reason is not null").select("id", F.lit("skipped").alias("status"), F.lit(0).alias("attempts"), F.current_timestamp().alias("at"))
+        box.ledger.append(skipped, uuid.uuid4().hex)
+    due = seen.where("skip_reason is null").orderBy(F.asc_nulls_first("received_at"), "id").limit(cfg.max_messages_per_run).collect()  # a few rows
+    tried = 0
+    if due:
+        chosen = box.pending.read().where(F.col("id").isin([r["id"] for r in due])).dropDuplicates(["id"])
+        ready = {r["id"]: r.asDict(recursive=True) for r in prepare(chosen).collect()}
+    for d in due:
+        if deadline is not None and deadline - timers.clock() < RESERVE:
             break
-        seen += 1
-        attempts = (row["attempts"] or 0) + 1
+        tried += 1
+        row, attempts = ready.get(d["id"]), d["attempts"] + 1
         try:
-            send(row.asDict())
+            if row is None:
+                raise RuntimeError("the analysis gave no result")
+            send(row)
         except FatalError:
             raise
-        except Exception as e:
+        except Exception as e:  # noqa: BLE001
             stats["failed"] += 1
-            note((row["id"], "failed", attempts))
-            if attempts >= cfg.max_delivery_attempts and alert and timers.allow(f"giveup-{row['id']}", cfg.alert_throttle_minutes * 60):
-                alert(f"given up after {attempts} attempts: {row['id']}: {e}")
+            box.note(d["id"], "failed", attempts)
+            log.warning("delivery failed (%s, attempt %d of %d): %s", d["id"], attempts, cfg.max_delivery_attempts, e)
+            if attempts >= cfg.max_delivery_attempts and alert and timers.allow(f"giveup-{d['id']}", cfg.alert_throttle_minutes * 60):
+                alert(f"giveup-{d['id']}", f"given up after {attempts} attempts: {d['id']}", e)
             continue
         stats["sent"] += 1
-        note((row["id"], "sent", attempts))
-    stats["deferred"] = stats["candidates"] - stats["skipped"] - seen
+        box.note(d["id"], "sent", attempts)
+        if after:
+            try:
+                after(row)
+            except Exception as e:  # noqa: BLE001
+                log.warning("after the delivery of %s: %s", d["id"], e)
+    stats["deferred"] = stats["candidates"] - stats["skipped"] - tried
+    seen.unpersist()
+    box.tidy(cfg)
     log.info("%s", stats)
     return stats
 
 
-def start(stream: DataFrame, prepare: Callable[[DataFrame], DataFrame], ledger_path: str, checkpoint: str, send: Callable[[dict], None], cfg: Settings | None = None, available_now: bool = False) -> StreamingQuery:
-    """Run mails through `prepare` (as pipeline.process) and deliver them; late repeats within newer_than_days are dropped by id."""
-    cfg, timers = cfg or Settings(), Timers()
-    once = stream.withWatermark("received_at", f"{cfg.newer_than_days} days").dropDuplicatesWithinWatermark(["id"])
+def collect(stream: DataFrame, box: Box, checkpoint: str, cfg: Settings, run: Callable[[], object] | None = None, available_now: bool = False) -> StreamingQuery:
+    """Write a stream of mails to the pending table, each micro-batch as a part of its own, and call `run` after each.
+
+    Only a run delivers; as a stream without new mails calls nothing, `serve` (or any scheduler) has to call runs besides.
+    """
+    name = f"{zlib.crc32(checkpoint.encode()):08x}"
 
-    def each(batch: DataFrame, _: int) -> None:
-        deliver_batch(prepare(batch), ledger_path, send, cfg, timers, deadline=timers.clock() + cfg.max_runtime_seconds)
+    def each(batch: DataFrame, number: int) -> None:
+        box.offer(batch, f"{name}-{number}")
+        if run:
+            run()
 
-    writer = once.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{cfg.trigger_minutes} minutes")).start()
 
 
-def retry(call: Callable[[], tuple[int, str | None, object]], retries: int = 2, budget: Callable[[], float] = lambda: 1e9, sleep: Callable[[float], None] = time.sleep) -> object:
-    """call() -> (status, Retry-After, body), repeated on 429, 5xx and connection errors, waiting 1, 2, 4 ... s (16 at most) or as told (30 at most)."""
+def serve(run: Callable[[], dict | None], cfg: Settings, runs: int | None = None, sleep: Callable[[float], None] = time.sleep) -> list[dict | None]:
+    """Call `run` every trigger_minutes, `runs` times or for ever; what it returned."""
+    out: list[dict | None] = []
+    while runs is None or len(out) < runs:
+        if out:
+            sleep(cfg.trigger_minutes * 60)
+        out.append(run())
+        if runs is None:
+            out = out[-1:]
+    return out
+
+
+@dataclass
+class Response:
+    """What a transport gives back."""
+
+    status: int
+    text: str = ""
+    headers: dict[str, str] = field(default_factory=dict)
+
+    @property
+    def json(self):
+        try:
+            return json.loads(self.text)
+        except ValueError:
+            return None
+
+
+#: A transport takes method, url, headers and a JSON body (or None), and returns a Response; it raises OSError if the network fails.
+Transport = Callable[[str, str, dict, object], Response]
+#: Statuses worth another try, seconds of the first and longest wait, the longest wait that a server may ask for, and seconds kept in reserve.
+RETRY_ON, FIRST_WAIT, LONGEST_WAIT, LONGEST_ASKED, LEFT_OVER = (429, 500, 502, 503, 504), 1.0, 16.0, 30.0, 10.0
+
+
+def asked_wait(response: Response | None, now: float) -> float:
+    """Seconds that a response's Retry-After asks for, as a number or a date; 0 if it doesn't."""
+    value = {k.lower(): v for k, v in (response.headers if response else {}).items()}.get("retry-after")
+    if not value:
+        return 0.0
+    try:
+        seconds = float(value)
+    except ValueError:
+        try:
+            seconds = parsedate_to_datetime(value).timestamp() - now
+        except (TypeError, ValueError):
+            return 0.0
+    return min(max(0.0, seconds), LONGEST_ASKED)
+
+
+def request(transport: Transport, method: str, url: str, headers: dict | None = None, body: object = None, retries: int = 2, retry_on: tuple[int, ...] = RETRY_ON, deadline: float | None = None, clock: Callable[[], float] = time.time, sleep: Callable[[float], None] = time.sleep, jitter: Callable[[], float] = random.random) -> Response:
+    """A response, after more tries on busy servers and network failures: waits of 1, 2, 4 ... s and a little, or as long as asked."""
     for attempt in range(retries + 1):
+        failure, response = None, None
         try:
-            status, after, body = call()
-        except OSError:
-            if attempt == retries:
-                raise
-            status, after, body = 0, None, None
-        wait = min(float(after), 30.0) if after and after.replace(".", "", 1).isdigit() else min(16.0, 2.0**attempt)
-        if status not in (0, 429, 500, 502, 503, 504):
-            return body
-        if attempt == retries or budget() < wait + 10:
-            raise RuntimeError(f"HTTP {status}")
+            response = transport(method, url, headers or {}, body)
+        except OSError as e:
+            failure = e
+        if response is not None and response.status not in retry_on:
+            return response
+        wait = asked_wait(response, clock()) or min(LONGEST_WAIT, FIRST_WAIT * 2**attempt) + 0.5 * jitter()
+        if attempt == retries or deadline is not None and deadline - clock() < wait + LEFT_OVER:
+            if failure is not None:
+                raise failure
+            return response
         sleep(wait)
-    return None
+    raise AssertionError

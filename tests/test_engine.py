@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkwarden.operators import llm_reply, parse, pipeline, risk
+from sparkwarden.plans import config
 from sparkwarden.plans.catalog import RULES
 from sparkwarden.plans.config import Settings, load, validate
 from sparkwarden.sources import messages
@@ -78,6 +79,14 @@ def test_parse(mails):
     assert got["4"].skip_reason == "kein Nachrichtentext gefunden" and got["1"].skip_reason is None
 
 
+def test_start_markers_of_a_platform_cut(spark):
+    body = "New message from: kaeufer123 (15)\nIst der Artikel noch da?\n\nAntworten"
+    asked = "kaeufer123 hat Ihnen eine Frage zu einem Artikel gestellt:\nPasst Freitag?"
+    rows = [("1", "t", "s", "eBay <m@ebay.de>", "", None, body, "", ""), ("2", "t", "s", "eBay <m@ebay.de>", "", None, asked, "", ""), ("3", "t", "s", "x <m@ebay.de>", "", None, "Nachricht: Hallo, noch da? Ich warte.", "", "")]
+    got = {r.id: (r.text, r.extraction) for r in parse.parse(spark.createDataFrame(rows, messages.MAIL)).collect()}
+    assert got == {"1": ("Ist der Artikel noch da?", "MARKER"), "2": ("Passt Freitag?", "MARKER"), "3": ("Hallo, noch da? Ich warte.", "MARKER")}
+
+
 def test_process(mails):
     def client(system: str, prompt: str):
         assert "Max M." not in prompt and "<nachricht>" in prompt
@@ -102,25 +111,11 @@ def test_model_replies(spark):
 def test_settings():
     s = load({"MAX_MESSAGES_PER_RUN": "3", "allowed_link_domains": '["a.de"]', "llm_enabled": "nein", "trigger_minutes": "x", "create_drafts": "ja"})
     assert (s.max_messages_per_run, s.allowed_link_domains, s.llm_enabled, s.trigger_minutes, s.create_drafts) == (3, ("a.de",), False, 5, True)
-    assert validate(s) == [] and len(validate(load({"trigger_minutes": "7", "max_runtime_seconds": "10"}))) == 2
-
-
-def test_delivery(spark, tmp_path):
-    ledger, sent = str(tmp_path / "ledger"), []
-    rows = [(str(k), f"2024-01-01 00:0{k}:00", "skip" if k == 3 else None) for k in range(6)]
-    batch = spark.createDataFrame(rows, "id string, t string, skip_reason string").select("id", F.col("t").cast("timestamp").alias("received_at"), "skip_reason")
-
-    def send(row):
-        if row["id"] == "1":
-            raise ValueError("no")
-        sent.append(row["id"])
-
-    cfg, timers, alerts = Settings(max_messages_per_run=3, max_delivery_attempts=2), delivery.Timers(), []
-    first = delivery.deliver_batch(batch, ledger, send, cfg, timers, alerts.append)
-    assert first == dict(candidates=6, sent=2, skipped=1, failed=1, deferred=2) and sent == ["0", "2"]
-    second = delivery.deliver_batch(batch, ledger, send, cfg, timers, alerts.append)
-    assert (second["sent"], second["failed"]) == (2, 1) and sent == ["0", "2", "4", "5"] and len(alerts) == 1
-    assert delivery.deliver_batch(batch, ledger, send, cfg, timers, alerts.append)["candidates"] == 0
+    assert validate(load({"bot_token": "t", "CHAT_ID": "1", "llm_enabled": "nein"})) == []
+    assert validate(load({"trigger_minutes": "7", "max_runtime_seconds": "10", "llm_enabled": "0"})) == ["bot_token is missing", "chat_id is missing", "trigger_minutes must be 1, 5, 10, 15 or 30", "max_runtime_seconds must be between 60 and 330"]
+    assert {"model_key is missing", "llm_models is empty"} <= set(validate(load({})))
+    with pytest.raises(config.FatalSettings):
+        config.secret(s, "bot_token")
 
 
 def test_timers():
@@ -134,16 +129,20 @@ def test_timers():
     assert not t.running("pause")
 
 
-def test_retry():
-    waits, answers = [], [(503, None, None), (429, "2", None), (200, None, "ok")]
-    assert delivery.retry(lambda: answers.pop(0), sleep=waits.append) == "ok" and waits == [1.0, 2.0]
-    with pytest.raises(RuntimeError):
-        delivery.retry(lambda: (503, None, None), sleep=lambda s: None)
-    assert delivery.retry(lambda: (404, None, "gone")) == "gone"
-
-
 def test_sources(spark):
     models = spark.createDataFrame([("a:free", 1, 1.0, 1.0, ["text"], ["response_format"]), ("b", 1, 0.0, 0.0, None, None), ("c", 1, 1.0, 0.0, None, None), ("d:free", 1, 0.0, 0.0, ["image"], None)], "id string, context long, prompt_price double, completion_price double, outputs array<string>, parameters array<string>")
     zdr = spark.createDataFrame([("b",), ("b",), (None,)], "model_id string")
     assert [tuple(r) for r in messages.free_models(models, zdr).collect()] == [("b", 1, False, True), ("a:free", 1, True, False)]
     assert {r.zdr for r in messages.free_models(models).collect()} == {None}
+
+
+def test_pages_and_wanted(spark):
+    at = lambda k: f"2024-01-{k:02d} 00:00:00"
+    rows = [(str(k), f"t{k // 2}", "Anfrage" if k % 2 else "Sonst", "x <a@mail.ebay.de>" if k < 8 else "y <a@else.org>", at(k + 1)) for k in range(10)]
+    df = spark.createDataFrame(rows, "id string, thread_id string, subject string, sender string, at string").select("id", "thread_id", "subject", "sender", F.col("at").cast("timestamp").alias("received_at"))
+    now = F.lit("2024-01-10 00:00:00").cast("timestamp")
+    assert {r.id for r in messages.wanted(df, ["ebay.de"], now, 7, "anfrage").collect()} == {"3", "5", "7"}
+    done = spark.createDataFrame([("8",), ("9",), ("6",), ("7",), ("4",)], "id string")
+    # the first page (threads 4 and 3) is all done; the next has an open mail
+    assert [r.id for r in messages.paged_candidates(df, done, 2).collect()] == ["2", "3", "5"]
+    assert messages.paged_candidates(df, done, 2, pages=1).count() == 0

@@ -1,22 +1,254 @@
-"""A stream of mails is delivered once, repeats included."""
+"""Mails are delivered once and none is lost: limits, failures, restarts, faults of the store, and the entry points around it."""
 
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
+from sparkwarden import app
+from sparkwarden.plans.config import Settings
 from sparkwarden.sources import messages
-from sparkwarden.streaming import delivery
+from sparkwarden.streaming import channel, delivery, model_client, store
+from sparkwarden.streaming.delivery import Box, Response, Timers
+
+BOX = "id string, received_at timestamp, skip_reason string"
+SAME = lambda df: df
+
+
+def offered(spark, n, skip=()):
+    rows = [(str(k), f"2024-01-01 00:{k:02d}:00", "skip" if k in skip else None) for k in range(n)]
+    return spark.createDataFrame(rows, "id string, t string, skip_reason string").select("id", F.col("t").cast("timestamp").alias("received_at"), "skip_reason")
+
+
+def test_no_mail_is_lost_beyond_a_runs_limit(spark, tmp_path):
+    box, sent, cfg, timers = Box(spark, str(tmp_path / "box"), BOX), [], Settings(), Timers()
+    box.offer(offered(spark, 20, skip=(3,)))
+    run = lambda: delivery.deliver(box, SAME, SAME, lambda r: sent.append(r["id"]), cfg, timers)
+    stats = [run() for _ in range(4)]
+    assert [(s["candidates"], s["sent"], s["deferred"]) for s in stats] == [(20, 8, 11), (11, 8, 3), (3, 3, 0), (0, 0, 0)]
+    assert sent == [str(k) for k in range(20) if k != 3]
+
+
+def test_failed_mails_come_again_until_given_up(spark, tmp_path):
+    box, sent, alerts, marked = Box(spark, str(tmp_path / "box"), BOX), [], [], []
+    cfg, timers = Settings(max_messages_per_run=3, max_delivery_attempts=2), Timers()
+    box.offer(offered(spark, 6, skip=(3,)))
+    broken = {"1", "2"}
+
+    def send(row):
+        if row["id"] in broken:
+            raise ValueError("no")
+        sent.append(row["id"])
+
+    def after(row):
+        marked.append(row["id"])
+        raise RuntimeError("a failure behind the send sends nothing twice")
+
+    run = lambda: delivery.deliver(box, SAME, SAME, send, cfg, timers, lambda *a: alerts.append(a), after)
+    assert run() == dict(candidates=6, sent=1, skipped=1, failed=2, deferred=2)
+    broken.discard("2")
+    assert run() == dict(candidates=4, sent=2, skipped=0, failed=1, deferred=1)
+    assert run() == dict(candidates=1, sent=1, skipped=0, failed=0, deferred=0) and run()["candidates"] == 0
+    assert sent == ["0", "2", "4", "5"] == marked and [a[0] for a in alerts] == ["giveup-1"]
 
 
-def test_stream_delivers_once(spark, tmp_path):
-    source, sent = str(tmp_path / "in"), []
-    rows = spark.createDataFrame([(str(k), "t", "s", "f", "", f"2024-01-01 00:0{k}:00", "p", "", "") for k in range(3)], "id string, thread_id string, subject string, sender string, reply_to string, received_at string, plain_body string, html_body string, permalink string")
+def test_no_time_left_defers(spark, tmp_path):
+    box = Box(spark, str(tmp_path / "box"), BOX)
+    box.offer(offered(spark, 2))
+    stats = delivery.deliver(box, SAME, SAME, lambda r: None, Settings(), Timers(clock=lambda: 0.0), deadline=10.0)
+    assert stats == dict(candidates=2, sent=0, skipped=0, failed=0, deferred=2)
+
+
+def test_a_ledger_that_cannot_be_read_fails_the_run(spark, tmp_path):
+    box, sent = Box(spark, str(tmp_path / "box"), BOX), []
+    box.offer(offered(spark, 2))
+    run = lambda: delivery.deliver(box, SAME, SAME, lambda r: sent.append(r["id"]), Settings(), Timers())
+    run()
+    for part in (tmp_path / "box" / "ledger").rglob("*.parquet"):
+        part.write_bytes(b"broken")
+        (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="(?i)parquet|footer|magic"):
+        run()
+    assert sent == ["0", "1"]
+
+
+def test_tables_are_rewritten_and_keep_what_counts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(delivery, "PARTS", 3)
+    box, sent, cfg = Box(spark, str(tmp_path / "box"), BOX), [], Settings(max_messages_per_run=2)
+    for k in range(5):
+        box.offer(offered(spark, 6), f"part-{k}")
+    run = lambda: delivery.deliver(box, SAME, SAME, lambda r: sent.append(r["id"]), cfg, Timers())
+    assert [run()["deferred"] for _ in range(4)] == [4, 2, 0, 0] and sent == [str(k) for k in range(6)]
+    assert box.ledger.generation() >= 1 and box.pending.generation() >= 1 and box.pending.read().count() <= 4
+    table = store.Table(spark, str(tmp_path / "t"), "a int")
+    table.append(spark.range(3).selectExpr("cast(id as int) a"), "x")
+    table.append(spark.range(2).selectExpr("cast(id as int) a"), "x")  # the same part again
+    (tmp_path / "t" / "base-7").mkdir()  # a rewrite that died
+    assert table.read().count() == 2 and table.generation() == 0
+
+
+def test_one_run_at_a_time(spark, tmp_path):
+    path = str(tmp_path / "lock")
+    with store.lock(spark, path, 100) as one, store.lock(spark, path, 100) as two:
+        assert one and not two
+    with store.lock(spark, path, 100) as one, store.lock(spark, path, -1) as two:
+        assert one and two  # the first is taken for dead
+
+
+def test_a_stream_fills_the_box_and_repeats_count_once(spark, tmp_path):
+    source, sent, box = str(tmp_path / "in"), [], Box(spark, str(tmp_path / "box"))
+    rows = spark.createDataFrame([(str(k), "t", "s", "f", "", f"2024-01-01 00:{k:02d}:00", "p", "", "") for k in range(20)], "id string, thread_id string, subject string, sender string, reply_to string, received_at string, plain_body string, html_body string, permalink string")
     rows = rows.withColumn("received_at", F.col("received_at").cast("timestamp"))
     rows.coalesce(1).write.parquet(source)
     rows.coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(messages.MAIL).parquet(source)
-    prepare = lambda df: df.withColumn("skip_reason", F.lit(None).cast("string"))
-    q = delivery.start(stream, prepare, str(tmp_path / "ledger"), str(tmp_path / "check"), lambda r: sent.append(r["id"]), available_now=True)
-    try:
-        assert q.awaitTermination(120)
-    finally:
-        q.stop()
-    assert sorted(sent) == ["0", "1", "2"]
+    screen = lambda df: df.withColumn("skip_reason", F.lit(None).cast("string"))
+    run = lambda: delivery.deliver(box, screen, SAME, lambda r: sent.append(r["id"]), Settings(), Timers())
+    for _ in range(2):  # a restart finds nothing new
+        q = delivery.collect(spark.readStream.schema(messages.MAIL).option("maxFilesPerTrigger", 1).parquet(source), box, str(tmp_path / "check"), Settings(), run, available_now=True)
+        try:
+            assert q.awaitTermination(120)
+        finally:
+            q.stop()
+    delivery.serve(run, Settings(), 2, lambda s: None)
+    assert sent == [str(k) for k in range(20)]
+
+
+def test_request_waits():
+    waits, answers = [], [Response(503), OSError("net"), Response(429, "", {"Retry-After": "2"}), Response(200, "ok")]
+
+    def transport(*_):
+        x = answers.pop(0)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert delivery.request(transport, "get", "u", retries=3, sleep=waits.append, jitter=lambda: 0).text == "ok" and waits == [1.0, 2.0, 2.0]
+    assert delivery.request(lambda *_: Response(503), "get", "u", sleep=lambda s: None).status == 503
+    assert delivery.request(lambda *_: Response(404, "gone"), "get", "u").text == "gone"
+    assert delivery.request(lambda *_: Response(503), "get", "u", deadline=11.0, clock=lambda: 0.0, sleep=waits.append, jitter=lambda: 1).status == 503 and len(waits) == 3
+    assert delivery.asked_wait(Response(429, "", {"retry-after": "Thu, 01 Jan 1970 00:01:00 GMT"}), 50.0) == 10.0 and delivery.asked_wait(Response(429, "", {"retry-after": "99"}), 0) == 30.0
+
+
+class Bot:
+    """A channel's server: answers by method and keeps what it was sent."""
+
+    def __init__(self, *answers):
+        self.answers, self.got = list(answers), []
+
+    def __call__(self, method, url, headers, body):
+        self.got.append((url.rsplit("/", 1)[-1], body))
+        status, text = self.answers.pop(0) if self.answers else (200, {"ok": True, "result": {"username": "bot"}})
+        return Response(status, json.dumps(text))
+
+
+def test_channel():
+    waits = []
+    bot = Bot((400, {"description": "can't parse entities"}))
+    channel.Channel(bot, "https://b/bot1:x", "7", waits.append).send("<b>a &amp; b</b>", {"k": 1})
+    assert [b.get("parse_mode") for _, b in bot.got] == ["HTML", None] and bot.got[1][1]["text"] == "a & b" and "reply_markup" not in bot.got[1][1]
+    bot = Bot((429, {"parameters": {"retry_after": 3}}))
+    channel.Channel(bot, "u", "7", waits.append).send("x")
+    assert waits == [3] and len(bot.got) == 2
+    for answer in ((403, {"description": "bot was blocked by the user"}), (400, {"description": "Bad Request: chat not found"}), (401, {})):
+        with pytest.raises(delivery.FatalError):
+            channel.Channel(Bot(answer), "u", "7").send("x")
+    with pytest.raises(channel.ChannelError):
+        channel.Channel(Bot((429, {"parameters": {"retry_after": 99}})), "u", "7").send("x")
+    bot = Bot()
+    alerts = channel.Alerts(channel.Channel(bot, "u", "7"), Settings(secrets={"k": "verysecret"}), Timers())
+    assert alerts.error("a", "t <x>", ValueError("verysecret bot12345:abcdefghijklmnopqrstuv")) and not alerts.error("a", "t", None)
+    assert "verysecret" not in bot.got[0][1]["text"] and "abcdefghij" not in bot.got[0][1]["text"] and "&lt;x&gt;" in bot.got[0][1]["text"]
+
+
+GOOD = json.dumps({"intent": "KAUFINTERESSE", "scamRisk": "LOW", "replyDraft": "Hallo [NAME],\nja, gerne. Viele Grüße"})
+
+
+def _chain(*answers, **more):
+    got = []
+
+    def transport(method, url, headers, body):
+        got.append((url, body))
+        x = answers[len(got) - 1]
+        return x if isinstance(x, Response) else Response(200, json.dumps({"choices": [{"message": {"content": x}}], "model": "m"}))
+
+    cfg = Settings(llm_models=("a/one:free", "b/two"), **more)
+    return model_client.ModelChain(transport, "https://m", "key", cfg, Timers(clock=lambda: 1000.0), sleep=lambda s: None), got
+
+
+def test_model_chain():
+    chain, got = _chain("no json", GOOD)
+    assert chain.ask("s", "u")[1] == GOOD and [b["model"] for _, b in got] == ["a/one:free", "b/two"]
+    chain, got = _chain(Response(400, "{}"), GOOD)
+    assert chain.ask("s", "u") and "response_format" not in got[1][1] and got[1][1]["messages"] == [{"role": "user", "content": "s\n\nu"}]
+    chain, got = _chain(Response(404, "{}"), Response(500, ""), Response(500, ""))
+    with pytest.raises(model_client.ModelError, match="one: .*404.*two: HTTP 500"):
+        chain.ask("s", "u")
+    for status, text, seconds in ((402, "{}", 3600), (429, json.dumps({"error": {"message": "limit: 50 per day"}}), 500)):
+        chain, got = _chain(Response(status, text, {"X-RateLimit-Reset": "1500000" if seconds == 3600 else "1500"}) if status == 429 else Response(status, text))
+        with pytest.raises(model_client.ModelError) as e:
+            chain.ask("s", "u")
+        assert e.value.fatal and len(got) == 1 and chain.paused() and chain.timers.until[model_client.PAUSE_KEY] == 1000 + seconds
+        chain.clear()
+        assert chain.paused() is None
+    chain, got = _chain(Response(429, "{}"), GOOD)
+    assert chain.ask("s", "u") and chain.paused() is None  # a short limit goes on to the next model
+    chain, got = _chain()
+    with pytest.raises(model_client.ModelError, match="no time left"):
+        chain.ask("s", "u", deadline=1010.0)
+    alerts = []
+    chain, got = _chain(GOOD, Response(401, "{}"))
+    chain.alert = lambda *a: alerts.append(a[0])
+    assert chain.answers("s", ["p", "q", "r"]) == {"p": ("m", GOOD), "q": (None, None)} and alerts == ["llm-401"]
+    chain, got = _chain(GOOD, llm_zdr_only=True, llm_reasoning_effort="low")
+    chain.ask("s", "u")
+    assert got[0][1]["provider"] == {"zdr": True, "data_collection": "deny"} and got[0][1]["reasoning"]["effort"] == "low"
+
+
+@pytest.fixture
+def inbox(spark, tmp_path):
+    mails = app.samples(spark).withColumn("received_at", F.current_timestamp())
+    chain, got = _chain(*[GOOD] * 9)
+    cfg = Settings(llm_models=("a/one:free",), create_drafts=True, secrets={"bot_token": "t", "chat_id": "7", "model_key": "k"})
+    chain.cfg = cfg
+    box = app.Inbox(spark, Box(spark, str(tmp_path / "box")), channel.Channel(Bot(), "https://b/bot1:x", "7"), cfg, lambda: mails, chain)
+    box.asked, box.drafts, box.marked = got, [], []
+    box.draft, box.mark = lambda row, text: box.drafts.append((row["id"], text)), lambda row: box.marked.append(row["id"])
+    return box
+
+
+def test_runs_of_an_inbox(inbox):
+    first = inbox.run()
+    assert (first["candidates"], first["sent"]) == (3, 3) and inbox.run()["candidates"] == 0
+    assert inbox.marked == ["sample-0", "sample-1", "sample-2"] and [i for i, _ in inbox.drafts] == ["sample-0"] and len(inbox.asked) == 1
+    texts = [b["text"] for _, b in inbox.channel.transport.got]
+    assert "Unauffällig" in texts[0] and "HOHES RISIKO" in texts[1] and "HOHES RISIKO" in texts[2]
+    inbox.reset()
+    rows = [(f"sample-{k}", "text", None, False, False, "LOW", "reply", "LLM") for k in range(3)]
+    done = inbox.spark.createDataFrame(rows, "id string, notification string, buttons string, silent boolean, plain_only boolean, level string, reply string, reply_source string")
+    inbox._prepared = lambda mails, *a, **k: done  # what follows is not about the analysis
+    assert inbox.run()["sent"] == 3
+    with inbox.box.locked(100):
+        assert inbox.run() is None
+    inbox.mails = lambda: 1 / 0
+    assert inbox.run() is None and "the run was stopped" in inbox.channel.transport.got[-1][1]["text"]
+    inbox.reset()
+    inbox.channel.transport.answers = [(403, {"description": "bot was blocked"})]
+    with pytest.raises(delivery.FatalError):
+        inbox.run(offer=False)
+
+
+def test_entry_points(inbox):
+    assert [(n, level) for n, level, *_ in inbox.send_samples()] == [("preis", "LOW"), ("kurier", "HIGH"), ("zahlseite", "HIGH")]
+    assert all("TEST" in b["text"] for _, b in inbox.channel.transport.got) and inbox.box.ledger.read().count() == 0
+    done = inbox.spark.createDataFrame([("x", "text", None, False, False, "LOW", "LLM")], "id string, notification string, buttons string, silent boolean, plain_only boolean, level string, reply_source string")
+    inbox._prepared = lambda mails, *a, **k: done
+    assert inbox.test_latest() == ("LOW", "LLM")
+    shown = inbox.explain_latest()
+    assert shown["extraction"] == "MARKER" and shown["text"] and "Sicherheitshinweis" in shown["raw_body"]
+    models = {"data": [{"id": "a/one:free", "context_length": 1, "architecture": {"output_modalities": ["text"]}}, {"id": "paid", "pricing": {"prompt": "1", "completion": "1"}}]}
+    inbox.chain.transport = lambda m, url, h, b: Response(200, json.dumps({"key": {"data": {"free_model_daily_requests": {"used": 1, "limit": 50}}}, "models": models, "zdr": {"data": [{"model_id": "a/one:free"}]}}[url.rsplit("/", 1)[-1]]))
+    assert [(r.id, r.zdr) for r in inbox.free_models().collect()] == [("a/one:free", True)]
+    said = inbox.setup()
+    assert said == ["bot: bot", "model key works (free: 1 of 50 today)", "mails found: 3"] and inbox.triggers == [5] and inbox.uninstall() == 1
+    inbox.channel.transport.answers = [(200, {"ok": True, "result": [{"message": {"chat": {"id": 5, "first_name": "A", "last_name": "B"}}}, {"message": {"chat": {"id": 5, "title": "T"}}}, {}]})]
+    assert inbox.chat_ids() == [("5", "T")]

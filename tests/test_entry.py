@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FAST = ["q_extract_emails", "q_extract_phones", "q_normalize_squash", "q_escape_html", "q_host_of_pages", "q_truncate", "q_parse_number", "q_format_euro", "q_candidates_anti_done", "q_done_fifo400", "q_alert_throttle", "q_heuristic_payment", "q_risk_scores", "q_rule_hits"]
+FAST = ["q_extract_emails", "q_extract_phones", "q_normalize_squash", "q_escape_html", "q_host_of_pages", "q_truncate", "q_parse_number", "q_format_euro", "q_candidates_anti_done", "q_done_fifo400", "q_alert_throttle", "q_heuristic_payment", "q_heuristic_logistics", "q_attempts_giveup", "q_run_stats", "q_one_line", "q_strip_tags", "q_redact_secrets", "q_risk_scores", "q_rule_hits"]
 
 
 def test_names():

@@ -19,6 +19,13 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run: Callable) -> Callable:
     """A function over Arrow batches that hands freed memory back when its task ends: Python workers live on, and later tasks need it."""
 
@@ -27,9 +34,7 @@ def tidy(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if sys.platform == "linux":
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return tidied
 

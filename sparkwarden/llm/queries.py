@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwarden.llm import ann, bpe, exact_dedup, langid, lm, ngram_join, packing, secret_scan, substring, warc
+from sparkwarden.llm import ann, bpe, exact_dedup, langid, lm, ngram_join, packing, secret_scan, substring, url_filter, warc
 from sparkwarden.llm._shared import small_batches
 
 
@@ -54,6 +54,10 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.rules_of(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_byte_bpe": op2_byte_bpe,
@@ -65,8 +69,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_warc": op9_warc,
     "op10_lm_scores": op10_lm_scores,
+    "op13_url_filter": op13_url_filter,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op9_warc": warc.ORACLE,
+    "op13_url_filter": url_filter.ORACLE,
 }

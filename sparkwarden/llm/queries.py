@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwarden.llm import ann, bpe, exact_dedup, hard_negatives, langid, lm, ngram_join, packing, secret_scan, substring, url_filter, warc
+from sparkwarden.llm import ann, bpe, collocations, exact_dedup, hard_negatives, langid, lm, ngram_join, packing, secret_scan, substring, url_filter, warc
 from sparkwarden.llm._shared import small_batches
 
 
@@ -54,6 +54,10 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
 
@@ -73,12 +77,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_warc": op9_warc,
     "op10_lm_scores": op10_lm_scores,
+    "op11_collocations": op11_collocations,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_url_filter": op13_url_filter,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op9_warc": warc.ORACLE,
+    "op11_collocations": collocations.ORACLE,
     "op12_hard_negatives": hard_negatives.ORACLE,
     "op13_url_filter": url_filter.ORACLE,
 }

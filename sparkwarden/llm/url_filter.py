@@ -92,14 +92,15 @@ def judge(df: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str
     listed = stored(canonical(rules), "url-rules")
     size = listed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.char_length("key")), F.lit(0)).alias("chars"), F.collect_set(F.struct("labels", "length")).alias("shapes")).first()
     host, path = parts(F.col(url_col))
-    pages = df.select(F.col(id_col).alias("_sw_id"), host.alias("host"), path.alias("path"))
+    # what inline() gives is made once for a row; a mere column would be made anew at each place that names it
+    pages = df.select(F.col(id_col).alias("_sw_id"), F.inline(F.array(F.struct(host.alias("host"), path.alias("path")))))
     if not size["n"]:
         return pages.select(F.col("_sw_id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     blocks = min(MOST, max(FEWEST, 1 << (size["n"] * BITS // 64).bit_length()))
     bits = stored(bloom(listed, blocks), "url-filter").scalar()
     shapes = F.array(*[F.struct(F.lit(s["labels"]).alias("labels"), F.lit(s["length"]).alias("length")) for s in sorted(size["shapes"])])
     fitting = "transform(filter(_sw_shapes, s -> s.labels <= _sw_labels and s.length <= length(path)), s -> concat(substring_index(host, '.', -s.labels), left(path, s.length)))"
-    asked = pages.withColumns({"_sw_shapes": shapes, "_sw_labels": _labels(F.col("host"))}).withColumn("_sw_keys", F.expr(fitting)).drop("_sw_shapes", "_sw_labels")
+    asked = pages.withColumns({"_sw_shapes": shapes, "_sw_labels": _labels(F.col("host"))}).select("_sw_id", "host", "path", F.inline(F.array(F.struct(F.expr(fitting).alias("_sw_keys")))))
     n = F.size("_sw_keys")
     some = n > PROBES
     for k in range(min(PROBES, len(size["shapes"]))):

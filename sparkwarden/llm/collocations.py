@@ -25,7 +25,7 @@ from sparkwarden.llm._shared import stored
 U = np.uint64
 #: Bytes of text in a chunk, that a task holds at once; bytes of text for a range of phrases; ranges at least and at most, which are
 #: parted further by a hash so that a part stands for so many bytes of text at most.
-CHUNK, RANGE, FEWEST, MOST, PART = 24 << 20, 8 << 20, 64, 4096, 32 << 20
+CHUNK, RANGE, FEWEST, MOST, PART = 8 << 20, 8 << 20, 64, 4096, 32 << 20
 #: Bytes of sampled text for a range, to place the borders (which balance the load and change no result); nodes for each that is drawn.
 SAMPLE, STRIDE = 256 << 10, 256
 #: Pages of 32,768 bits of the filter of frequent pairs, at most (16 MB). A full filter sorts out less, and loses nothing.

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import logging
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from sparkwarden.functions import text as T
 from sparkwarden.operators import heuristics, pipeline, risk
@@ -17,9 +19,10 @@ from sparkwarden.plans import config
 from sparkwarden.plans.config import Settings
 from sparkwarden.sources import messages
 from sparkwarden.streaming import delivery
-from sparkwarden.streaming.channel import Alerts, Channel
+from sparkwarden.streaming.channel import Alerts, Channel, set_up_log
 from sparkwarden.streaming.delivery import Box, FatalError, Timers
 from sparkwarden.streaming.model_client import ModelChain
+from sparkwarden.streaming.store import Fenced
 
 log = logging.getLogger("sparkwarden")
 #: Invented mails that show a haggling buyer, a courier fraud and a false payment page.
@@ -53,14 +56,21 @@ class Inbox:
     mark: Callable[[dict], None] | None = None
     draft: Callable[[dict, str], None] | None = None
     failed: Callable[[str], None] | None = None
-    triggers: list = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        """Timers live in the outbox, so pauses and throttles outlive the process; all parts share them."""
+        set_up_log(self.cfg)
+        self.timers.load(self.box.log.head().timers)
+        self.timers.keep = self.box.keep_timers
+        if self.chain:
+            self.chain.timers = self.timers
 
     @property
     def alerts(self) -> Alerts:
         return Alerts(self.channel, self.cfg, self.timers)
 
     def _wanted(self, days: int | None = None) -> DataFrame:
-        return messages.wanted(self.mails(), self.cfg.sender_domains, F.current_timestamp(), days or self.cfg.newer_than_days, self.cfg.sender_subject_pattern)
+        return messages.wanted(self.mails(), self.cfg.sender_domains, F.current_timestamp(), days or self.cfg.newer_than_days, self.cfg.sender_subject_pattern, subject_domains=self.cfg.subject_sender_domains)
 
     def _prepared(self, mails: DataFrame, deadline: float | None, test: bool = False) -> DataFrame:
         """Results of a run's few mails. Their prompts are put to the models here, where the pause is kept; no more than these come back."""
@@ -86,7 +96,7 @@ class Inbox:
             self.draft(row, row["reply"])
 
     def _given_up(self, key: str, title: str, err: Exception | None) -> None:
-        if self.failed:
+        if self.failed and key.startswith("giveup-"):
             try:
                 self.failed(key.removeprefix("giveup-"))
             except Exception as e:  # noqa: BLE001
@@ -98,22 +108,26 @@ class Inbox:
 
         Fatal failures of the channel or the settings are raised, as no alert could be sent.
         """
-        with self.box.locked(2 * self.cfg.max_runtime_seconds) as mine:
-            if not mine:
-                log.info("another run is at work")
-                return None
-            try:
-                deadline = self.timers.clock() + self.cfg.max_runtime_seconds
-                if offer:
-                    known = self.box.pending.read().select("id").unionByName(self.box.ledger.read().select("id")).distinct()
-                    fresh = self._wanted().join(known, "id", "left_anti")
-                    self.box.offer(fresh)
-                return delivery.deliver(self.box, lambda m: pipeline.screened(m, self.cfg), lambda m: self._prepared(m, deadline), self._send, self.cfg, self.timers, self._given_up, self._after, deadline)
-            except (FatalError, config.FatalSettings):
-                raise
-            except Exception as e:  # noqa: BLE001
-                self.alerts.error("run", "the run was stopped", e)
-                return None
+        lease = self.box.log.acquire(2 * self.cfg.max_runtime_seconds)
+        if lease is None:
+            log.info("another run is at work")
+            return None
+        try:
+            self.timers.load(self.box.log.head().timers)
+            deadline = self.timers.clock() + self.cfg.max_runtime_seconds
+            if offer:
+                self.box.offer(messages.to_input(self._wanted()).join(self.box.known(), "id", "left_anti"))
+            return delivery.deliver(self.box, lease, lambda m: pipeline.screened(m, self.cfg), lambda m: self._prepared(m, deadline), self._send, self.cfg, self.timers, self._given_up, self._after, deadline)
+        except (FatalError, config.FatalSettings):
+            raise
+        except Fenced as e:
+            log.error("the run took too long, another one went on: %s", e)
+            return None
+        except Exception as e:  # noqa: BLE001
+            self.alerts.error("run", "the run was stopped", e)
+            return None
+        finally:
+            self.box.log.release(lease)
 
     def setup(self) -> list[str]:
         """Check settings and contacts, and install the trigger; what was found. Settings that can't work raise FatalSettings."""
@@ -132,15 +146,34 @@ class Inbox:
                 said.append(f"models could not be listed: {e}")
         said.append(f"mails found: {self._wanted().count()}")
         self.uninstall()
-        self.triggers.append(self.cfg.trigger_minutes)
+        self.install()
         self.channel.send(f"✅ <b>Sparkwarden ist aktiv.</b>\nGeprüft wird alle {self.cfg.trigger_minutes} Minuten.")
         return said
 
+    @property
+    def triggers(self) -> list[StreamingQuery]:
+        """The running triggers of this inbox."""
+        return [q for q in self.spark.streams.active if q.name == self._trigger_name]
+
+    @property
+    def _trigger_name(self) -> str:
+        return f"sparkwarden_{zlib.crc32(self.box.path.encode()):08x}"
+
+    def install(self) -> StreamingQuery:
+        """Start a run every trigger_minutes, for as long as the session lives; a fatal failure ends the query and is its exception."""
+        ticks = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+
+        def tick(_: DataFrame, __: int) -> None:
+            self.run()
+
+        return ticks.writeStream.queryName(self._trigger_name).foreachBatch(tick).trigger(processingTime=f"{self.cfg.trigger_minutes} minutes").start()
+
     def uninstall(self) -> int:
-        """Remove the triggers; how many there were."""
-        n = len(self.triggers)
-        self.triggers.clear()
-        return n
+        """Stop the triggers; how many there were."""
+        running = self.triggers
+        for q in running:
+            q.stop()
+        return len(running)
 
     def chat_ids(self) -> list[tuple[str, str]]:
         """Chats that wrote to the bot: id and name, the last name given counts."""

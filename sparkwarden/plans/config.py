@@ -14,8 +14,9 @@ log = logging.getLogger("sparkwarden")
 class Settings:
     """The defaults."""
 
-    sender_domains: tuple[str, ...] = ("kleinanzeigen.de", "willhaben.at", "ebay.de", "ebay.at", "ebay.com")
-    sender_subject_pattern: str = ""
+    sender_domains: tuple[str, ...] = ("kleinanzeigen.de", "willhaben.at")
+    subject_sender_domains: tuple[str, ...] = ("ebay.de", "ebay.at", "ebay.com")
+    sender_subject_pattern: str = r"\b(nachricht|nachrichten|frage|message|question)\b"
     newer_than_days: int = 7
     max_threads_per_run: int = 10
     max_messages_per_run: int = 8
@@ -25,14 +26,14 @@ class Settings:
     create_drafts: bool = False
     allowed_link_domains: tuple[str, ...] = ()
     llm_enabled: bool = True
-    llm_models: tuple[str, ...] = ()
+    llm_models: tuple[str, ...] = ("qwen/qwen3.8-27b:free", "inclusionai/ling-3.0-flash-sante:free", "openrouter/free")
     llm_temperature: float = 0.2
     llm_max_tokens: int = 1500
     llm_max_input_chars: int = 2500
     llm_skip_on_high_rule_risk: bool = True
     llm_cooldown_minutes: int = 60
-    llm_zdr_only: bool = False
-    llm_reasoning_effort: str = ""
+    llm_zdr_only: bool = True
+    llm_reasoning_effort: str = "low"
     seller_name: str = ""
     seller_context: str = ""
     form_of_address: str = "du"
@@ -99,6 +100,8 @@ def load(properties: dict[str, str] | None = None) -> Settings:
 def validate(s: Settings) -> list[str]:
     """What is wrong with settings; empty if nothing is."""
     out = [f"{name} is missing" for name in REQUIRED if not s.secrets.get(name)]
+    if s.secrets.get("chat_id") and not re.fullmatch(r"-?[0-9]+", s.secrets["chat_id"]):
+        out.append("chat_id must be a number")
     if s.llm_enabled and not s.secrets.get(MODEL_KEY):
         out.append(f"{MODEL_KEY} is missing")
     if s.llm_enabled and not s.llm_models:

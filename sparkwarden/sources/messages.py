@@ -31,12 +31,18 @@ def newer_than(df: DataFrame, time: str, days: int, now: Column) -> DataFrame:
     return df.where(F.col(time) > now - F.expr(f"interval {days} days"))
 
 
-def wanted(df: DataFrame, domains: Sequence[str], now: Column, days: int, subject: str = "", unread: str | None = None) -> DataFrame:
-    """Mails of the last `days` from addresses under one of the domains, with a subject that matches (if asked) and unread (if asked)."""
+def wanted(df: DataFrame, domains: Sequence[str], now: Column, days: int, subject: str = "", unread: str | None = None, subject_domains: Sequence[str] = ()) -> DataFrame:
+    """Mails of the last `days` from addresses under one of the domains, and unread (if asked).
+
+    `subject` is a condition on those from subject_domains, or, if there are none, on all. Without any domains all senders count.
+    """
     address = F.regexp_extract(F.lower(T.text_of(F.col("sender"))), "@([a-z0-9.-]+)", 1)
-    keep = T.host_matches(address, F.array(*map(F.lit, domains)).cast("array<string>")) if domains else F.lit(True)
-    if subject:
-        keep = keep & T.text_of(F.col("subject")).rlike(java(subject, "i"))
+    under = lambda names: T.host_matches(address, F.array(*map(F.lit, names)).cast("array<string>"))
+    fits = T.text_of(F.col("subject")).rlike(java(subject, "i")) if subject else F.lit(True)
+    if subject_domains:
+        keep = (under(subject_domains) & fits) | (under(domains) if domains else F.lit(False))
+    else:
+        keep = (under(domains) if domains else F.lit(True)) & fits
     return newer_than(df, "received_at", days, now).where(keep & (F.col(unread) if unread else F.lit(True)))
 
 

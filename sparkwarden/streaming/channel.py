@@ -39,6 +39,31 @@ def redacted(text: str, secrets: tuple[str, ...] = ()) -> str:
     return re.sub(r"sk-or-[A-Za-z0-9_-]{10,}", "sk-or-***", re.sub(r"bot[0-9]{5,}:[A-Za-z0-9_-]{20,}", "bot***", text))
 
 
+class Redacting(logging.Filter):
+    """Takes secrets out of every line before any handler sees it, exceptions included."""
+
+    def __init__(self, secrets: tuple[str, ...] = ()):
+        super().__init__()
+        self.secrets = secrets
+
+    def filter(self, record: logging.LogRecord) -> bool:
+        said = record.getMessage()
+        if record.exc_info:
+            said += "\n" + logging.Formatter().formatException(record.exc_info)
+            record.exc_info = record.exc_text = None
+        record.msg, record.args = redacted(said, self.secrets), ()
+        return True
+
+
+def set_up_log(cfg: Settings) -> None:
+    """The level of the settings, and one filter that knows their secrets."""
+    level = logging.getLevelName(cfg.log_level.upper())
+    log.setLevel(level if isinstance(level, int) else logging.INFO)
+    for f in [f for f in log.filters if isinstance(f, Redacting)]:
+        log.removeFilter(f)
+    log.addFilter(Redacting(tuple(v for k, v in cfg.secrets.items() if k != "chat_id")))
+
+
 def escaped(text: str) -> str:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = text.replace(a, b)

@@ -1,9 +1,10 @@
-"""Deliver each message once: a table of pending mails, a ledger, bounded attempts, a throttle for alerts and a cool-down.
+"""Deliver each message once: an outbox of mails, intents and outcomes, bounded attempts, a throttle for alerts and a cool-down.
 
-What arrives is first written to the pending table; each run takes the oldest open mails of it, analyses only those, and notes in the
-ledger (id, status, attempts, at) what came of them. Mails beyond a run's limits, and failed ones below max_delivery_attempts, stay
-open and are offered again by the next run, whether or not new mails arrive. A mail is done when it was sent or skipped, or given
-up. Its ledger row is written right after the send, so a failure behind it causes no second send.
+What arrives is first offered to the outbox; each run takes the oldest open mails of it and admits them one by one, as long as there
+is time for an analysis and a send. Right before a send its intent is written, right after it the outcome, each as a version of the
+same record set (see store.py), so a run that dies leaves one mail at most of which it isn't known whether it was sent. Such a mail
+isn't sent again by itself: the next run reports it as uncertain. Mails beyond a run's limits, and failed ones below
+max_delivery_attempts, stay open and are offered again by the next run, whether or not new mails arrive.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ import json
 import logging
 import random
 import time
-import uuid
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -24,14 +24,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sparkwarden.plans.config import Settings
 from sparkwarden.sources import messages
-from sparkwarden.streaming.store import Table, lock
+from sparkwarden.streaming.store import Fenced, Head, Lease, RecordLog
 
 log = logging.getLogger("sparkwarden")
-LEDGER = "id string, status string, attempts int, at timestamp"
-#: Shortest and longest pause in seconds; seconds that a message needs; ids and attempts that a ledger keeps at least.
+#: Shortest and longest pause in seconds; seconds that a message needs; ids and attempts that an outbox keeps at least.
 PAUSE, RESERVE, KEEP_DONE, KEEP_ATTEMPTS = (60, 6 * 3600), 75, 400, 100
-#: Parts of a table after which it is rewritten.
-PARTS = 64
+#: Parts and noted records after which an outbox is merged.
+PARTS, RECORDS = 16, 200
+MAIL = messages.MAIL.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+#: Statuses after which a mail is done.
+ENDED = ("sent", "skipped", "uncertain", "given up")
 
 
 class FatalError(RuntimeError):
@@ -40,13 +42,29 @@ class FatalError(RuntimeError):
 
 @dataclass
 class Timers:
-    """Entries that end by themselves: the throttle's keys and the cool-down."""
+    """Entries that end by themselves: the throttle's keys and the cool-down, each with a reason. With `keep` they outlive the process."""
 
     until: dict[str, float] = field(default_factory=dict)
     clock: Callable[[], float] = time.time
+    why: dict[str, str] = field(default_factory=dict)
+    keep: Callable[[dict[str, list]], None] | None = None
 
-    def start(self, key: str, seconds: float) -> None:
+    def load(self, kept: dict[str, list]) -> None:
+        self.until |= {k: v[0] for k, v in kept.items()}
+        self.why |= {k: v[1] for k, v in kept.items()}
+
+    def _changed(self, key: str) -> None:
+        if self.keep:
+            self.keep({key: [self.until.get(key, 0.0), self.why.get(key, "")]})
+
+    def start(self, key: str, seconds: float, why: str = "") -> None:
         self.until[key] = self.clock() + min(max(seconds, PAUSE[0]), PAUSE[1])
+        self.why[key] = why
+        self._changed(key)
+
+    def end(self, key: str) -> None:
+        if self.until.pop(key, None) is not None:
+            self._changed(key)
 
     def running(self, key: str) -> bool:
         if self.until.get(key, 0) <= self.clock():
@@ -64,57 +82,115 @@ class Timers:
 
 @dataclass
 class Box:
-    """The pending table, the ledger and the lock of one inbox, in a shared folder."""
+    """The outbox of one inbox in a shared folder: of each id its mail, intents, attempts and outcome, in one versioned record set."""
 
     spark: SparkSession
     path: str
-    schema: str = messages.MAIL.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+    schema: str = MAIL
+    clock: Callable[[], float] = time.time
 
     @property
-    def pending(self) -> Table:
-        return Table(self.spark, f"{self.path}/pending", self.schema)
+    def columns(self) -> list[str]:
+        return [c.split()[0] for c in self.schema.split(",")]
 
     @property
-    def ledger(self) -> Table:
-        return Table(self.spark, f"{self.path}/ledger", LEDGER)
-
-    def offer(self, mails: DataFrame, name: str | None = None) -> None:
-        """Add mails; the same part again (a micro-batch that is repeated) replaces itself, and repeated ids count once later."""
-        columns = [c.split()[0] for c in self.schema.split(",")]
-        self.pending.append(mails.select(*columns), name or uuid.uuid4().hex)
-
-    def note(self, id_: str, status: str, attempts: int) -> None:
-        row = self.spark.createDataFrame([(id_, status, attempts)], "id string, status string, attempts int")
-        self.ledger.append(row.withColumn("at", F.current_timestamp()).coalesce(1), uuid.uuid4().hex)
+    def log(self) -> RecordLog:
+        inner = ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in self.schema.split(","))
+        return RecordLog(self.spark, self.path, f"id string, status string, attempts int, at timestamp, mail struct<{inner}>", self.clock)
+
+    def offer(self, mails: DataFrame, stream: str | None = None, batch: int = 0) -> bool:
+        """Add mails; False if this micro-batch of the stream was added before. Repeated ids count once, mails without one get one from their content."""
+        records = self.log
+        if stream and records.head().batches.get(stream, -1) >= batch:
+            return False
+        content = F.sha2(F.to_json(F.struct(*[F.col(c) for c in self.columns if c != "id"])), 256)
+        keyed = mails.select(*self.columns).withColumn("id", F.coalesce("id", F.concat(F.lit("content-"), content)))
+        rows = keyed.select("id", F.lit("offered").alias("status"), F.lit(0).alias("attempts"), F.timestamp_seconds(F.lit(self.clock())).alias("at"), F.struct(*self.columns).alias("mail"))
+        part = records.write_part(rows)
+        added = []
+
+        def add(head: Head) -> None:
+            added[:] = [not (stream and head.batches.get(stream, -1) >= batch)]
+            if added[0]:
+                head.parts += [part] if part["rows"] else []
+                head.batches |= {stream: batch} if stream else {}
+
+        records.commit(add)
+        return added[0]
+
+    def note(self, lease: Lease, *rows: tuple[str, str, int]) -> None:
+        """Add (id, status, attempts) records: an intent, or what came of it."""
+
+        def add(head: Head) -> None:
+            for id_, status, attempts in rows:
+                head.note(id_, status, attempts, self.clock())
+
+        self.log.commit(add, lease)
+
+    def state(self, limit: int, head: Head | None = None) -> DataFrame:
+        """One row an id: id, attempts, done, doubt (an intent without an outcome), at, status (the last), mail (null if it isn't known)."""
+        per = self.log.rows(head)
+        is_ = lambda *s: F.count_if(F.col("status").isin(*s))
+        out = per.groupBy("id").agg(
+            F.sum(F.when(F.col("status").isin("failed", "open", *ENDED), F.col("attempts")).otherwise(0)).cast("int").alias("attempts"),
+            (is_(*ENDED) > 0).alias("ended"), (is_("intent") > is_("failed", "released", *ENDED)).alias("doubt"),
+            F.max("at").alias("at"), F.max_by("status", F.struct(F.col("status").isin(*ENDED), "at")).alias("status"), F.first("mail", ignorenulls=True).alias("mail"),
+        )
+        return out.select("id", "attempts", (F.col("ended") | (F.col("attempts") >= limit)).alias("done"), "doubt", "at", "status", "mail")
 
     def open(self, limit: int) -> DataFrame:
-        """Pending mails that aren't done, each id once, with their attempts."""
-        known = state(self.ledger.read(), limit)
-        return self.pending.read().where("id is not null").dropDuplicates(["id"]).join(known, "id", "left").where("not coalesce(done, false)").drop("done")
-
-    def tidy(self, cfg: Settings) -> None:
-        """Rewrite tables of many parts: the pending one with what is open, the ledger without what can't come back.
+        """Mails that aren't done, each id once, with their attempts and whether they are in doubt."""
+        rest = self.state(limit).where("not done and mail is not null")
+        return rest.select("id", *[F.col(f"mail.{c}").alias(c) for c in self.columns if c != "id"], "attempts", "doubt")
 
-        A mail older than newer_than_days is no longer offered, so entries of twice that age may go; the newest ones stay in any case.
-        """
-        if len(self.pending.parts()) > PARTS:
-            self.pending.rewrite(self.open(cfg.max_delivery_attempts).drop("attempts"))
-        if len(self.ledger.parts()) > PARTS:
-            every = self.ledger.read()
-            newest = every.orderBy(F.desc("at")).limit(KEEP_DONE + KEEP_ATTEMPTS).select("id").distinct().withColumn("new", F.lit(True))
-            young = F.col("at") > F.current_timestamp() - F.expr(f"interval {2 * cfg.newer_than_days} days")
-            self.ledger.rewrite(every.join(newest, "id", "left").where(young | F.col("new")).drop("new"))
+    def known(self, limit: int = 1 << 30) -> DataFrame:
+        return self.state(limit).select("id")
 
-    def locked(self, seconds: float):
-        return lock(self.spark, f"{self.path}/lock", seconds)
+    def tidy(self, lease: Lease, cfg: Settings) -> None:
+        """Merge many parts and records into one part: a row an id, the mail only while it is open, without what can't come back.
 
-    def reset(self) -> None:
-        """Forget what was delivered; pending mails stay."""
-        self.ledger.clear()
+        Mails older than newer_than_days are no longer offered; those done whose mail and outcome are both of twice that age go, as a
+        whole, but for the newest ones.
+        """
+        head = self.log.head()
+        if len(head.parts) <= PARTS and len(head.records) <= RECORDS:
+            return
+        every = self.state(cfg.max_delivery_attempts, head)
+        old = F.timestamp_seconds(F.lit(self.clock() - 2 * cfg.newer_than_days * 86400))
+        received = F.col("mail.received_at") if "received_at" in self.columns else F.lit(None).cast("timestamp")
+        newest = every.where("done").orderBy(F.desc("at"), "id").limit(KEEP_DONE + KEEP_ATTEMPTS).select("id", F.lit(True).alias("new"))
+        kept = every.join(newest, "id", "left").where(F.expr("not done or new") | (F.col("at") >= old) | F.coalesce(received >= old, F.lit(False)))
+        ended = F.col("status").isin(*ENDED)
+        status = F.when(F.col("doubt"), "intent").when(ended, F.col("status")).otherwise("open")
+        # of what has ended, all but the time goes
+        light = F.struct(*[(F.col(f"mail.{c}") if c in ("id", "received_at") else F.lit(None)).cast(t).alias(c) for c, t in (x.split() for x in self.schema.split(","))])
+        mail = F.when(ended & F.col("mail").isNotNull(), light).otherwise(F.col("mail"))
+        rows = kept.select("id", status.alias("status"), "attempts", "at", mail.alias("mail"))
+        twice = rows.where("status = 'intent' and attempts > 0").withColumn("status", F.lit("open"))  # keeps the attempts of what is in doubt
+        self.log.merge(head, rows.unionByName(twice), lease)
+
+    def reset(self, lease: Lease | None = None) -> None:
+        """Forget what was delivered and every timer: all mails that are still held in full are open again."""
+        records = self.log
+        full = records.rows().where(F.col("status").isin("offered", "open", "intent") & F.col("mail").isNotNull()).dropDuplicates(["id"])
+        part = records.write_part(full.withColumns({"status": F.lit("offered"), "attempts": F.lit(0)}))
+
+        def forget(head: Head) -> None:
+            head.records, head.timers, head.before, head.parts = [], {}, {"parts": [], "records": []}, [part] if part["rows"] else []
+
+        records.commit(forget, lease)
+
+    def keep_timers(self, changed: dict[str, list]) -> None:
+        """Write timers down; those that have ended go."""
+
+        def put(head: Head) -> None:
+            head.timers = {k: v for k, v in (head.timers | changed).items() if v[0] > self.clock()}
+
+        self.log.commit(put)
 
 
 def state(ledger: DataFrame, limit: int) -> DataFrame:
-    """Each id's attempts and whether it is done."""
+    """Each id's attempts and whether it is done, from a plain ledger (id, status)."""
     per = ledger.groupBy("id").agg(F.count_if(F.col("status") == "failed").alias("attempts"), F.count_if(F.col("status") != "failed").alias("ended"))
     return per.select("id", "attempts", ((F.col("ended") > 0) | (F.col("attempts") >= limit)).alias("done"))
 
@@ -124,64 +200,85 @@ def statistics(outcomes: DataFrame, outcome: str = "outcome") -> DataFrame:
     return outcomes.groupBy(F.col(outcome).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def deliver(box: Box, screen: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], DataFrame], send: Callable[[dict], None], cfg: Settings, timers: Timers, alert: Callable[[str, str, Exception | None], None] | None = None, after: Callable[[dict], None] | None = None, deadline: float | None = None) -> dict[str, int]:
-    """One run: `screen` adds skip_reason to open mails (cheaply), `prepare` analyses those that are due; statistics of the run.
+def deliver(box: Box, lease: Lease, screen: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], DataFrame], send: Callable[[dict], None], cfg: Settings, timers: Timers, alert: Callable[[str, str, Exception | None], None] | None = None, after: Callable[[dict], None] | None = None, deadline: float | None = None) -> dict[str, int]:
+    """One run: `screen` adds skip_reason to open mails (cheaply), `prepare` analyses one that is due; statistics of the run.
 
-    The oldest come first. Sent and failed messages count towards max_messages_per_run, skipped ones don't; the rest is deferred and
-    stays pending. `after` does what follows a send (marking, a draft); its failures are logged only.
+    The oldest come first. Sent and failed messages count towards max_messages_per_run, skipped and uncertain ones don't; the rest is
+    deferred and stays open. `after` does what follows a send (marking, a draft); its failures are logged only.
     """
-    seen = screen(box.open(cfg.max_delivery_attempts)).select("id", "received_at", "skip_reason", F.coalesce("attempts", F.lit(0)).alias("attempts")).persist()
+    for lost in box.log.repair(lease):
+        log.error("%d offered mails can't be read and have to be offered again", lost["rows"])
+        if alert:
+            alert("state", f"{lost['rows']} offered mails were lost with a broken part", None)
+    open_ = box.open(cfg.max_delivery_attempts).persist()
+    doubtful = [r["id"] for r in open_.where("doubt").select("id").collect()]  # one for each run that died
+    if doubtful:
+        box.note(lease, *[(i, "uncertain", 0) for i in doubtful])
+        for i in doubtful:
+            log.error("it isn't known whether %s was sent", i)
+            if alert:
+                alert(f"uncertain-{i}", f"a run ended while it sent {i}; look whether it arrived", None)
+    seen = screen(open_.where("not doubt").drop("doubt")).select("id", "received_at", "skip_reason", "attempts").persist()
     counts = {r["outcome"]: r["n"] for r in statistics(seen.select(F.when(F.col("skip_reason").isNull(), "due").otherwise("skipped").alias("outcome"))).collect()}
     stats = dict(candidates=sum(counts.values()), sent=0, skipped=counts.get("skipped", 0), failed=0, deferred=0)
     if stats["skipped"]:
-        skipped = seen.where("skip_reason is not null").select("id", F.lit("skipped").alias("status"), F.lit(0).alias("attempts"), F.current_timestamp().alias("at"))
-        box.ledger.append(skipped, uuid.uuid4().hex)
+        skipped = seen.where("skip_reason is not null").select("id", F.lit("skipped").alias("status"), F.lit(0).alias("attempts"), F.timestamp_seconds(F.lit(box.clock())).alias("at"))
+        part = box.log.write_part(skipped)
+        box.log.commit(lambda head: head.parts.append(part), lease)
     due = seen.where("skip_reason is null").orderBy(F.asc_nulls_first("received_at"), "id").limit(cfg.max_messages_per_run).collect()  # a few rows
     tried = 0
-    if due:
-        chosen = box.pending.read().where(F.col("id").isin([r["id"] for r in due])).dropDuplicates(["id"])
-        ready = {r["id"]: r.asDict(recursive=True) for r in prepare(chosen).collect()}
     for d in due:
         if deadline is not None and deadline - timers.clock() < RESERVE:
             break
         tried += 1
-        row, attempts = ready.get(d["id"]), d["attempts"] + 1
+        id_, attempts = d["id"], d["attempts"] + 1
+        began = False
         try:
+            row = prepare(open_.where(F.col("id") == id_).drop("attempts", "doubt")).first()
             if row is None:
                 raise RuntimeError("the analysis gave no result")
+            row = row.asDict(recursive=True)
+            box.note(lease, (id_, "intent", 0))
+            began = True
             send(row)
+        except Fenced:
+            raise
         except FatalError:
+            if began:
+                box.note(lease, (id_, "released", 0))
             raise
         except Exception as e:  # noqa: BLE001
             stats["failed"] += 1
-            box.note(d["id"], "failed", attempts)
-            log.warning("delivery failed (%s, attempt %d of %d): %s", d["id"], attempts, cfg.max_delivery_attempts, e)
-            if attempts >= cfg.max_delivery_attempts and alert and timers.allow(f"giveup-{d['id']}", cfg.alert_throttle_minutes * 60):
-                alert(f"giveup-{d['id']}", f"given up after {attempts} attempts: {d['id']}", e)
+            given_up = [(id_, "given up", 0)] if attempts >= cfg.max_delivery_attempts else []
+            box.note(lease, *([] if began else [(id_, "intent", 0)]), (id_, "failed", 1), *given_up)
+            log.warning("delivery failed (%s, attempt %d of %d): %s", id_, attempts, cfg.max_delivery_attempts, e)
+            if attempts >= cfg.max_delivery_attempts and alert and timers.allow(f"giveup-{id_}", cfg.alert_throttle_minutes * 60):
+                alert(f"giveup-{id_}", f"given up after {attempts} attempts: {id_}", e)
             continue
+        box.note(lease, (id_, "sent", 0))
         stats["sent"] += 1
-        box.note(d["id"], "sent", attempts)
         if after:
             try:
                 after(row)
             except Exception as e:  # noqa: BLE001
-                log.warning("after the delivery of %s: %s", d["id"], e)
+                log.warning("after the delivery of %s: %s", id_, e)
     stats["deferred"] = stats["candidates"] - stats["skipped"] - tried
     seen.unpersist()
-    box.tidy(cfg)
+    open_.unpersist()
+    box.tidy(lease, cfg)
     log.info("%s", stats)
     return stats
 
 
 def collect(stream: DataFrame, box: Box, checkpoint: str, cfg: Settings, run: Callable[[], object] | None = None, available_now: bool = False) -> StreamingQuery:
-    """Write a stream of mails to the pending table, each micro-batch as a part of its own, and call `run` after each.
+    """Offer a stream of mails to the outbox, each micro-batch once even if it is repeated, and call `run` after each.
 
     Only a run delivers; as a stream without new mails calls nothing, `serve` (or any scheduler) has to call runs besides.
     """
     name = f"{zlib.crc32(checkpoint.encode()):08x}"
 
     def each(batch: DataFrame, number: int) -> None:
-        box.offer(batch, f"{name}-{number}")
+        box.offer(batch, name, number)
         if run:
             run()
 

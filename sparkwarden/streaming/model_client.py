@@ -61,22 +61,20 @@ class ModelChain:
     timers: Timers = field(default_factory=Timers)
     alert: Callable[[str, str, Exception | None], object] | None = None
     sleep: Callable[[float], None] = time.sleep
-    why: str = ""
 
     def _headers(self) -> dict[str, str]:
         return {"Authorization": f"Bearer {self.key}"}
 
     def paused(self) -> str | None:
         """Why the models are paused; null if they aren't."""
-        return self.why if self.timers.running(PAUSE_KEY) else None
+        return self.timers.why.get(PAUSE_KEY, "") if self.timers.running(PAUSE_KEY) else None
 
     def pause(self, seconds: float, why: str) -> None:
-        self.timers.start(PAUSE_KEY, seconds)
-        self.why = why
+        self.timers.start(PAUSE_KEY, seconds, why)
         log.warning("models paused: %s", why)
 
     def clear(self) -> None:
-        self.timers.until.pop(PAUSE_KEY, None)
+        self.timers.end(PAUSE_KEY)
 
     def _until_reset(self, response: Response) -> float:
         value = {k.lower(): v for k, v in response.headers.items()}.get("x-ratelimit-reset")

@@ -1,6 +1,7 @@
 """Rules, parsing, replies, delivery and settings on own messages."""
 
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,7 +114,7 @@ def test_settings():
     assert (s.max_messages_per_run, s.allowed_link_domains, s.llm_enabled, s.trigger_minutes, s.create_drafts) == (3, ("a.de",), False, 5, True)
     assert validate(load({"bot_token": "t", "CHAT_ID": "1", "llm_enabled": "nein"})) == []
     assert validate(load({"trigger_minutes": "7", "max_runtime_seconds": "10", "llm_enabled": "0"})) == ["bot_token is missing", "chat_id is missing", "trigger_minutes must be 1, 5, 10, 15 or 30", "max_runtime_seconds must be between 60 and 330"]
-    assert {"model_key is missing", "llm_models is empty"} <= set(validate(load({})))
+    assert {"model_key is missing", "llm_models is empty"} <= set(validate(replace(load({}), llm_models=())))
     with pytest.raises(config.FatalSettings):
         config.secret(s, "bot_token")
 

@@ -12,7 +12,7 @@ from sparkwarden.operators import heuristics, notify, pipeline, risk
 from sparkwarden.plans.catalog import COMBOS, LOOKALIKE_BRANDS, RULES, URL_SHORTENERS, Combo, Rule
 from sparkwarden.plans.config import Settings
 from sparkwarden.sources import messages
-from sparkwarden.streaming import delivery
+from sparkwarden.streaming import delivery, store, throttle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -311,13 +311,28 @@ def done_fifo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.keep_last(_table(spark, sf_dir, "events"), "user_id", "event_id", 400)
 
 
-@query("q_alert_throttle", """
+_THROTTLED = """
 WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE ts IS NOT NULL),
 n AS (SELECT a.user_id, a.r, min(b.r) AS next FROM e a JOIN e b ON a.user_id = b.user_id AND b.ts >= a.ts + INTERVAL 1 HOUR GROUP BY a.user_id, a.r),
 p AS (SELECT user_id, 1::BIGINT AS r FROM e WHERE r = 1 UNION ALL SELECT n.user_id, n.next FROM p JOIN n ON n.user_id = p.user_id AND n.r = p.r)
-SELECT e.event_id, e.user_id FROM p JOIN e ON e.user_id = p.user_id AND e.r = p.r""")
+SELECT e.event_id, e.user_id FROM p JOIN e ON e.user_id = p.user_id AND e.r = p.r"""
+
+
+@query("q_alert_throttle", _THROTTLED)
 def alert_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages.throttled(_table(spark, sf_dir, "events"), "user_id", "ts", 3600, "event_id").select("event_id", "user_id")
+    return throttle.throttled(_table(spark, sf_dir, "events"), "user_id", "ts", 3600, "event_id").select("event_id", "user_id")
+
+
+@query("q_alert_throttle_stream", _THROTTLED)
+def alert_throttle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream of all that is there, with state and timers."""
+    stream = spark.readStream.schema(_table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    passed = throttle.throttled_stream(stream.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", 3600, "event_id")
+    path = store.new_path(spark, "throttled")
+    with throttle.rocksdb_state(spark):
+        q = passed.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(passed.schema).parquet(f"{path}/rows").select("event_id", "user_id")
 
 
 @query("q_attempts_giveup", "SELECT CAST(user_id AS VARCHAR) AS id, count(*) FILTER (event_type = 'error') AS attempts, count(*) FILTER (event_type = 'purchase') > 0 OR count(*) FILTER (event_type = 'error') >= 15 AS done FROM events WHERE event_type IN ('error', 'purchase') GROUP BY user_id")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sparkwarden.plans.config import Settings
-from sparkwarden.sources import messages
+from sparkwarden.sources import mailbox, messages
 from sparkwarden.streaming.store import Fenced, Head, Lease, RecordLog
 
 log = logging.getLogger("sparkwarden")
@@ -118,6 +118,10 @@ class Box:
         records.commit(add)
         return added[0]
 
+    def take(self, path: str) -> int:
+        """Add the batches that were committed to an outbox sink (sources.mailbox) and aren't here yet; how many there were."""
+        return sum(self.offer(rows, f"sink-{label}", 0) for label, rows in mailbox.committed(self.spark, path, self.schema).items())
+
     def note(self, lease: Lease, *rows: tuple[str, str, int]) -> None:
         """Add (id, status, attempts) records: an intent, or what came of it."""
 

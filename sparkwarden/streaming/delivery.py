@@ -18,7 +18,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from email.utils import parsedate_to_datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -222,14 +222,15 @@ def deliver(box: Box, lease: Lease, screen: Callable[[DataFrame], DataFrame], pr
             log.error("it isn't known whether %s was sent", i)
             if alert:
                 alert(f"uncertain-{i}", f"a run ended while it sent {i}; look whether it arrived", None)
-    seen = screen(open_.where("not doubt").drop("doubt")).select("id", "received_at", "skip_reason", "attempts").persist()
-    counts = {r["outcome"]: r["n"] for r in statistics(seen.select(F.when(F.col("skip_reason").isNull(), "due").otherwise("skipped").alias("outcome"))).collect()}
-    stats = dict(candidates=sum(counts.values()), sent=0, skipped=counts.get("skipped", 0), failed=0, deferred=0)
+    counts = Observation("run")
+    seen = screen(open_.where("not doubt").drop("doubt")).select("id", "received_at", "skip_reason", "attempts")
+    seen = seen.observe(counts, F.count(F.lit(1)).alias("candidates"), F.count("skip_reason").alias("skipped")).persist()
+    due = seen.where("skip_reason is null").orderBy(F.asc_nulls_first("received_at"), "id").limit(cfg.max_messages_per_run).collect()  # a few rows
+    stats = dict(candidates=counts.get["candidates"], sent=0, skipped=counts.get["skipped"], failed=0, deferred=0)
     if stats["skipped"]:
         skipped = seen.where("skip_reason is not null").select("id", F.lit("skipped").alias("status"), F.lit(0).alias("attempts"), F.timestamp_seconds(F.lit(box.clock())).alias("at"))
         part = box.log.write_part(skipped)
         box.log.commit(lambda head: head.parts.append(part), lease)
-    due = seen.where("skip_reason is null").orderBy(F.asc_nulls_first("received_at"), "id").limit(cfg.max_messages_per_run).collect()  # a few rows
     tried = 0
     for d in due:
         if deadline is not None and deadline - timers.clock() < RESERVE:

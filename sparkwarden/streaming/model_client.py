@@ -6,8 +6,14 @@ import json
 import logging
 import re
 import time
-from collections.abc import Callable
-from dataclasses import dataclass, field
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
+
+import pyarrow as pa
+import pyarrow.fs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sparkwarden.plans.config import Settings
 from sparkwarden.streaming.delivery import Response, Timers, Transport, request
@@ -50,6 +56,41 @@ def error_text(error) -> str:
     return said[:TEXT_LENGTH] + (f" ({str(raw)[:RAW_LENGTH]})" if raw else "")
 
 
+@dataclass
+class Breaker:
+    """A pause that all tasks share: a file for each time it was tripped, whose name says until when it lasts."""
+
+    path: str
+    clock: Callable[[], float] = time.time
+
+    def _store(self) -> tuple[pa.fs.FileSystem, str]:
+        return pa.fs.FileSystem.from_uri(self.path) if ":/" in self.path else (pa.fs.LocalFileSystem(), self.path)
+
+    def open(self) -> str | None:
+        """Why nothing may be asked; None if it may."""
+        fs, root = self._store()
+        for f in fs.get_file_info(pa.fs.FileSelector(root, allow_not_found=True)):
+            if f.base_name.startswith("until-") and int(f.base_name.split("-")[1]) > self.clock() * 1000:
+                with fs.open_input_stream(f.path) as said:
+                    return said.read().decode() or "paused"
+        return None
+
+    def trip(self, until: float, why: str) -> None:
+        fs, root = self._store()
+        fs.create_dir(root, recursive=True)
+        draft = f"{root}/.draft-{uuid.uuid4().hex}"
+        with fs.open_output_stream(draft) as out:
+            out.write(why.encode())
+        fs.move(draft, f"{root}/until-{int(until * 1000)}-{uuid.uuid4().hex}")
+
+
+def redacted(text: str, secrets: tuple[str, ...]) -> str:
+    for s in secrets:
+        if len(s) >= 8:
+            text = text.replace(s, "***")
+    return text
+
+
 @dataclass
 class ModelChain:
     """`base` is the interface's address, `key` its secret. A used-up quota starts a pause in which no model is asked."""
@@ -171,6 +212,39 @@ class ModelChain:
                     break
         return out
 
+    def asked(self, df: DataFrame, system: str, prompt: str, in_flight: int, breaker: str, seconds: float | None = None) -> DataFrame:
+        """df with llm_model, llm_content and llm_note for each prompt, asked by the executors: a bulk form of `answers`.
+
+        At most `in_flight` prompts are asked at once, one in each of as many tasks; a prompt's models are tried in order. A used-up quota
+        or a refused key opens a breaker, a file in the shared folder `breaker` that all tasks look at before each prompt: what is left
+        gets its reason as a note and can be asked again later. `seconds` is how long a task may take. Null prompts aren't asked; a task
+        that is repeated asks its prompts again. The chain has to be picklable; its alerts and kept timers stay with the driver.
+        """
+        chain = replace(self, alert=None, timers=Timers(clock=self.timers.clock))
+        names = [f"c{k}" for k in range(len(df.columns))]
+        flat = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)], F.col(f"`{prompt}`").alias("prompt"))
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            deadline = chain.timers.clock() + seconds if seconds is not None else None
+            shared = Breaker(breaker, chain.timers.clock)
+            for batch in batches:
+                for k, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                    model = content = None
+                    note = shared.open() if text is not None else ""
+                    if text is not None and note is None:
+                        try:
+                            (model, content), note = chain.ask(system, text, deadline), ""
+                        except ModelError as e:
+                            note = redacted(str(e), (chain.key,))
+                            if e.fatal:
+                                shared.trip(chain.timers.until.get(PAUSE_KEY, chain.timers.clock() + chain.cfg.llm_cooldown_minutes * 60), note)
+                    row = batch.slice(k, 1)
+                    yield pa.RecordBatch.from_arrays([*row.columns[:-1], pa.array([model], pa.string()), pa.array([content], pa.string()), pa.array([note], pa.string())], names=[*names, "model", "content", "note"])
+
+        schema = ", ".join(f"{n} {flat.schema[n].dataType.simpleString()}" for n in names) + ", model string, content string, note string"
+        out = flat.repartition(in_flight).mapInArrow(ask, schema)
+        return out.select(*[F.col(n).alias(c) for c, n in zip(df.columns, names)], F.col("model").alias("llm_model"), F.col("content").alias("llm_content"), F.col("note").alias("llm_note"))
+
     def key_info(self) -> dict:
         response = request(self.transport, "get", f"{self.base}/key", self._headers(), sleep=self.sleep)
         if response.status != 200:

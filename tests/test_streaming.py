@@ -341,7 +341,7 @@ def test_runs_of_an_inbox(inbox):
     assert (first["candidates"], first["sent"]) == (3, 3) and inbox.run()["candidates"] == 0
     assert inbox.marked == ["sample-0", "sample-1", "sample-2"] and [i for i, _ in inbox.drafts] == ["sample-0"] and len(inbox.asked) == 1
     texts = [b["text"] for _, b in inbox.channel.transport.got]
-    assert "Unauffällig" in texts[0] and "HOHES RISIKO" in texts[1] and "HOHES RISIKO" in texts[2]
+    assert "Risiko gering" in texts[0] and "Risiko hoch" in texts[1] and "Risiko hoch" in texts[2]
     inbox.reset()
     rows = [(f"sample-{k}", "text", None, False, False, "LOW", "reply", "LLM") for k in range(3)]
     done = inbox.spark.createDataFrame(rows, "id string, notification string, buttons string, silent boolean, plain_only boolean, level string, reply string, reply_source string")
@@ -360,7 +360,7 @@ def test_runs_of_an_inbox(inbox):
 
 def test_entry_points(inbox):
     assert [(n, level) for n, level, *_ in inbox.send_samples()] == [("preis", "LOW"), ("kurier", "HIGH"), ("zahlseite", "HIGH")]
-    assert all("TEST" in b["text"] for _, b in inbox.channel.transport.got) and inbox.box.log.head().version == 0
+    assert all("Probe" in b["text"] for _, b in inbox.channel.transport.got) and inbox.box.log.head().version == 0
     done = inbox.spark.createDataFrame([("x", "text", None, False, False, "LOW", "LLM")], "id string, notification string, buttons string, silent boolean, plain_only boolean, level string, reply_source string")
     inbox._prepared = lambda mails, *a, **k: done
     assert inbox.test_latest() == ("LOW", "LLM")

@@ -129,21 +129,22 @@ def sender_name(sender: Column, body: Column) -> Column:
     return F.when((name != "") & ~name.rlike(java(r"^(du|sie|jemand|ein nutzer|ein interessent)$", "i")), T.one_line(name, 40))
 
 
-def parse(df: DataFrame, skip_subjects: Sequence[str] = (), allowed_domains: Sequence[str] = (), platforms: Sequence[Platform] = PLATFORMS) -> DataFrame:
+def parse(df: DataFrame, skip_subjects: Sequence[str] = (), allowed_domains: Sequence[str] = (), platforms: Sequence[Platform] = PLATFORMS, detected: bool = False) -> DataFrame:
     """Mails (id, thread_id, subject, sender, reply_to, received_at, plain_body, html_body, permalink) as messages.
 
     The plain body serves if it has 20 characters or more, else the HTML as text. skip_reason says why a mail isn't to be analysed.
+    With `detected` the mails bring the column platform (operators.platforms), else it comes from `platforms`.
     """
     plain = T.text_of(F.col("plain_body"))
     html = T.html_to_text(F.when(T.text_of(F.col("html_body")) != "", F.col("html_body")).otherwise(plain))
-    one = df.withColumns({"platform": detect_platform(F.col("sender"), F.col("reply_to"), platforms), "raw_body": F.when(T.utf16_length(T.trim(plain)) >= 20, plain).otherwise(html), "subject": T.text_of(F.col("subject")), "permalink": T.text_of(F.col("permalink"))})
+    one = df.withColumns({"platform": F.col("platform") if detected else detect_platform(F.col("sender"), F.col("reply_to"), platforms), "raw_body": F.when(T.utf16_length(T.trim(plain)) >= 20, plain).otherwise(html), "subject": T.text_of(F.col("subject")), "permalink": T.text_of(F.col("permalink"))})
     two = extract_message(one, "raw_body", "platform", "text", platforms)
     links = by_platform(F.col("platform"), lambda p: _strings(p.link_domains), platforms)
     three = two.withColumns({"platform_name": by_platform(F.col("platform"), lambda p: F.lit(p.name), platforms), "allowed_domains": F.concat(links, _strings(allowed_domains)), "sender_name": sender_name(F.col("sender"), F.col("raw_body")), "listing_title": listing_title(F.col("subject")), "_links": links, "_urls": T.extract_urls(F.col("raw_body"))})
     path = by_platform(F.col("platform"), lambda p: F.lit(java(p.listing_path, "i")) if p.listing_path else F.lit(None).cast("string"), platforms)
     url = F.get(F.filter("_urls", lambda u: T.host_matches(u["host"], F.col("_links")) & F.coalesce(F.regexp_like(u["url"], path), F.lit(False))), F.lit(0))["url"]
-    reason = F.when(F.col("text") == "", "kein Nachrichtentext gefunden")
+    reason = F.when(F.col("text") == "", "leer")
     for s in reversed(list(skip_subjects)):
-        reason = F.when(F.col("subject").rlike(java(s, "i")), f"Betreff passt zu SKIP_SUBJECT_PATTERNS („{s}“)").otherwise(reason)
+        reason = F.when(F.col("subject").rlike(java(s, "i")), f"Betreff enthält {s}").otherwise(reason)
     four = three.withColumn("_url", url).withColumn("listing_url", F.when(F.col("_url").rlike("(?i)^https?://"), F.regexp_replace("_url", "(?i)^http:", "https:")).otherwise(F.concat(F.lit("https://"), F.col("_url"))))
     return four.withColumn("skip_reason", reason).drop("_links", "_urls", "_url")

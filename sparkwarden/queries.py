@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import text as T
-from sparkwarden.operators import heuristics, notify, pipeline, risk
+from sparkwarden.operators import heuristics, notify, pipeline, platforms, risk
 from sparkwarden.plans.catalog import COMBOS, LOOKALIKE_BRANDS, RULES, URL_SHORTENERS, Combo, Rule
 from sparkwarden.plans.config import Settings
 from sparkwarden.sources import messages
@@ -311,6 +311,23 @@ def done_fifo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.keep_last(_table(spark, sf_dir, "events"), "user_id", "event_id", 400)
 
 
+_PLATFORMS = ((1, "shop", "spam-farm.example.org"), (2, "home", "example.org"), (3, "trade", ".Example.com"), (4, "never", ""))
+
+
+@query("q_platform_join", f"""
+WITH t(rank, id, domain) AS (VALUES {', '.join(map(str, _PLATFORMS))}),
+d AS (SELECT rank, id, ltrim(lower(domain), '.') AS domain FROM t WHERE ltrim(domain, '.') != ''),
+h AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[a-z]+://([A-Za-z0-9.-]+)', 1)) AS host FROM pages)
+SELECT page_id, coalesce(arg_min(id, rank), 'other') AS platform FROM h LEFT JOIN d ON host = domain OR ends_with(host, '.' || domain) GROUP BY page_id""")
+def platform_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hosts of pages as senders, and platforms that are rows."""
+    rows = [F.struct(F.lit(r).alias("rank"), F.lit(i).alias("id"), F.lit(d).alias("domain")) for r, i, d in _PLATFORMS]
+    table = spark.range(1).select(F.inline(F.array(*rows)))
+    host = F.regexp_extract(F.coalesce("url", F.lit("")), "^[a-z]+://([A-Za-z0-9.-]+)", 1)
+    mails = _table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("x@"), host).alias("sender"), F.lit(None).cast("string").alias("reply_to"))
+    return platforms.with_platform(mails, table, "other").select("page_id", "platform")
+
+
 _THROTTLED = """
 WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE ts IS NOT NULL),
 n AS (SELECT a.user_id, a.r, min(b.r) AS next FROM e a JOIN e b ON a.user_id = b.user_id AND b.ts >= a.ts + INTERVAL 1 HOUR GROUP BY a.user_id, a.r),

@@ -115,6 +115,7 @@ def test_settings():
     assert validate(load({"bot_token": "t", "CHAT_ID": "1", "llm_enabled": "nein"})) == []
     assert validate(load({"trigger_minutes": "7", "max_runtime_seconds": "10", "llm_enabled": "0"})) == ["bot_token is missing", "chat_id is missing", "trigger_minutes must be 1, 5, 10, 15 or 30", "max_runtime_seconds must be between 60 and 330"]
     assert {"model_key is missing", "llm_models is empty"} <= set(validate(replace(load({}), llm_models=())))
+    assert validate(load({"bot_token": "t", "chat_id": "me", "llm_enabled": "0"})) == ["chat_id must be a number"] and load({}).llm_zdr_only
     with pytest.raises(config.FatalSettings):
         config.secret(s, "bot_token")
 
@@ -147,3 +148,12 @@ def test_pages_and_wanted(spark):
     # the first page (threads 4 and 3) is all done; the next has an open mail
     assert [r.id for r in messages.paged_candidates(df, done, 2).collect()] == ["2", "3", "5"]
     assert messages.paged_candidates(df, done, 2, pages=1).count() == 0
+
+
+def test_senders_with_and_without_a_condition_on_the_subject(spark):
+    rows = [("a", "x@mail.kleinanzeigen.de", "irgendwas"), ("b", "x@ebay.de", "Neue Nachricht zu"), ("c", "x@ebay.de", "Dein Einkauf"), ("d", "x@notebay.de", "Nachricht"), ("e", None, "Nachricht"), ("f", "x@ebay.de", None)]
+    df = spark.createDataFrame(rows, "id string, sender string, subject string").selectExpr("*", "current_timestamp() received_at")
+    s, now = load({}), F.current_timestamp()
+    ids = lambda *a, **k: "".join(sorted(r.id for r in messages.wanted(df, *a, **k).collect()))
+    assert ids(s.sender_domains, now, 7, s.sender_subject_pattern, subject_domains=s.subject_sender_domains) == "ab"
+    assert ids([], now, 7, "nachricht") == "bde" and ids([], now, 7, "", subject_domains=["ebay.de"]) == "bcf"

@@ -233,6 +233,62 @@ def test_a_stream_fills_the_box_and_repeats_count_once(spark, tmp_path):
     assert sent == [str(k) for k in range(20)]
 
 
+def test_with_slow_models_each_run_sends_at_least_one(spark, tmp_path):
+    now, box, sent = [1000.0], Box(spark, str(tmp_path / "box"), BOX), []
+    box.offer(offered(spark, 3))
+
+    def prepare(mails):
+        now[0] += 200  # a model that takes most of a run
+        return mails
+
+    for k in range(3):
+        stats = delivered(box, SAME, prepare, lambda r: sent.append(r["id"]), Settings(), Timers(clock=lambda: now[0]), deadline=now[0] + 270)
+        assert (stats["candidates"], stats["sent"], stats["deferred"]) == (3 - k, 1, 2 - k)
+    assert sent == ["0", "1", "2"]
+
+
+def test_a_run_that_lost_its_lease_writes_nothing(spark, tmp_path):
+    box, sent = Box(spark, str(tmp_path / "box"), BOX), []
+    box.offer(offered(spark, 3))
+    old = box.log.acquire(0)
+
+    def send(row):
+        sent.append(row["id"])
+        assert box.log.acquire(100)  # meanwhile the next run begins
+
+    with pytest.raises(store.Fenced):
+        delivery.deliver(box, old, SAME, SAME, send, Settings(), Timers())
+    assert sent == ["0"] and statuses(box)["0"][0] in ("intent", "offered") and {r["id"] for r in box.open(5).where("doubt").collect()} == {"0"}
+
+
+def test_timers_outlive_the_process(spark, tmp_path):
+    box, now = Box(spark, str(tmp_path / "box"), clock=lambda: now[0]), [1000.0]
+    make = lambda: app.Inbox(spark, box, channel.Channel(Bot(), "u", "7"), Settings(), lambda: None, _chain()[0], Timers(clock=lambda: now[0]))
+    first = make()
+    first.chain.pause(600, "used up")
+    assert first.alerts.error("a", "t") and not first.alerts.error("a", "t")
+    second = make()
+    assert second.chain.paused() == "used up" and not second.alerts.error("a", "t")
+    now[0] += 601
+    assert make().chain.paused() is None and not make().alerts.error("a", "t")
+    now[0] += 3600
+    assert make().alerts.error("a", "t") and set(box.log.head().timers) == {"alert.a"}
+
+
+def test_secrets_never_reach_a_handler(caplog):
+    channel.set_up_log(Settings(log_level="warning", secrets={"bot_token": "12345678secret", "chat_id": "7"}))
+    log = channel.log
+    with caplog.at_level("WARNING", "sparkwarden"):
+        log.info("quiet")
+        log.warning("failed at https://b/bot12345:%s with %s", "abcdefghijklmnopqrstuv", "12345678secret")
+        try:
+            raise OSError("no route to bot12345:abcdefghijklmnopqrstuv")
+        except OSError:
+            log.exception("stopped")
+    assert len(caplog.records) == 2 and "no route" in caplog.text and "12345678secret" not in caplog.text and "abcdefghij" not in caplog.text
+    channel.set_up_log(Settings())
+
+
 def test_request_waits():
     waits, answers = [], [Response(503), OSError("net"), Response(429, "", {"Retry-After": "2"}), Response(200, "ok")]
 

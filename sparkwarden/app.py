@@ -72,14 +72,30 @@ class Inbox:
     def _wanted(self, days: int | None = None) -> DataFrame:
         return messages.wanted(self.mails(), self.cfg.sender_domains, F.current_timestamp(), days or self.cfg.newer_than_days, self.cfg.sender_subject_pattern, subject_domains=self.cfg.subject_sender_domains)
 
-    def _prepared(self, mails: DataFrame, deadline: float | None, test: bool = False) -> DataFrame:
-        """Results of a run's few mails. Their prompts are put to the models here, where the pause is kept; no more than these come back."""
-        paused, client = None, None
+    def _asked(self, ids: list[str], mails: DataFrame, deadline: float | None, answers: dict) -> list[str]:
+        """The ids of a run's few mails for which there is time, in order and at least one; the models' answers to them go to `answers`."""
+        prompts: dict[str, str | None] = {}
         if self.chain and self.cfg.llm_enabled:
             self.chain.alert = self.alerts.error
-            paused = self.chain.paused()
-            asked = [r["prompt"] for r in pipeline.prompts(mails, self.cfg, paused).collect() if r["prompt"]] if paused is None else []
-            answers = self.chain.answers(pipeline.system_prompt(self.cfg), asked, deadline)
+            if self.chain.paused() is None:
+                prompts = {r["id"]: r["prompt"] for r in pipeline.prompts(mails, self.cfg, None).collect()}
+        admitted: list[str] = []
+        for i in ids:
+            if admitted and deadline is not None and deadline - self.timers.clock() < delivery.RESERVE:
+                break
+            if prompts.get(i):
+                answers |= self.chain.answers(pipeline.system_prompt(self.cfg), [prompts[i]], deadline)
+            admitted.append(i)
+        return admitted
+
+    def _prepared(self, mails: DataFrame, answers: dict | None = None, test: bool = False) -> DataFrame:
+        """Results of a run's few mails, with the models' answers; without any, all of them are asked first."""
+        if answers is None:
+            answers = {}
+            self._asked([r["id"] for r in mails.select("id").collect()], mails, None, answers)
+        paused, client = None, None
+        if self.chain and self.cfg.llm_enabled:
+            paused = None if answers else self.chain.paused()
             client = lambda system, prompt: answers.get(prompt, (None, None))
         return pipeline.process(mails, self.cfg, client, test, paused)
 
@@ -114,10 +130,10 @@ class Inbox:
             return None
         try:
             self.timers.load(self.box.log.head().timers)
-            deadline = self.timers.clock() + self.cfg.max_runtime_seconds
+            deadline, answers = self.timers.clock() + self.cfg.max_runtime_seconds, {}
             if offer:
                 self.box.offer(messages.to_input(self._wanted()).join(self.box.known(), "id", "left_anti"))
-            return delivery.deliver(self.box, lease, lambda m: pipeline.screened(m, self.cfg), lambda m: self._prepared(m, deadline), self._send, self.cfg, self.timers, self._given_up, self._after, deadline)
+            return delivery.deliver(self.box, lease, lambda m: pipeline.screened(m, self.cfg), lambda m: self._prepared(m, answers), self._send, self.cfg, self.timers, self._given_up, self._after, deadline, lambda ids, m: self._asked(ids, m, deadline, answers))
         except (FatalError, config.FatalSettings):
             raise
         except Fenced as e:
@@ -187,7 +203,7 @@ class Inbox:
 
     def send_samples(self) -> list[tuple[str, str, str, str]]:
         """Send the samples' notifications as tests: name, level, intent and the reply's source of each. Nothing is stored."""
-        rows = {r["id"]: r.asDict(recursive=True) for r in self._prepared(samples(self.spark), None, test=True).collect()}
+        rows = {r["id"]: r.asDict(recursive=True) for r in self._prepared(samples(self.spark), test=True).collect()}
         out = []
         for k, (name, *_) in enumerate(SAMPLES):
             row = rows[f"sample-{k}"]
@@ -197,7 +213,7 @@ class Inbox:
 
     def test_latest(self) -> tuple[str, str] | None:
         """Send the newest wanted mail's notification as a test, done or not: level and the reply's source; None without mails."""
-        rows = self._prepared(messages.latest(self._wanted(36500)), None, test=True).collect()
+        rows = self._prepared(messages.latest(self._wanted(36500)), test=True).collect()
         if not rows:
             return None
         self._send(rows[0].asDict(recursive=True))

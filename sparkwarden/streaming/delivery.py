@@ -1,7 +1,7 @@
 """Deliver each message once: an outbox of mails, intents and outcomes, bounded attempts, a throttle for alerts and a cool-down.
 
-What arrives is first offered to the outbox; each run takes the oldest open mails of it and admits them one by one, as long as there
-is time for an analysis and a send. Right before a send its intent is written, right after it the outcome, each as a version of the
+What arrives is first offered to the outbox; each run takes the oldest open mails of it and admits them one by one, each with the
+answer of its language model, as long as there is time for one more; at least one is admitted. They are analysed together, then sent. Right before a send its intent is written, right after it the outcome, each as a version of the
 same record set (see store.py), so a run that dies leaves one mail at most of which it isn't known whether it was sent. Such a mail
 isn't sent again by itself: the next run reports it as uncertain. Mails beyond a run's limits, and failed ones below
 max_delivery_attempts, stay open and are offered again by the next run, whether or not new mails arrive.
@@ -204,11 +204,16 @@ def statistics(outcomes: DataFrame, outcome: str = "outcome") -> DataFrame:
     return outcomes.groupBy(F.col(outcome).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def deliver(box: Box, lease: Lease, screen: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], DataFrame], send: Callable[[dict], None], cfg: Settings, timers: Timers, alert: Callable[[str, str, Exception | None], None] | None = None, after: Callable[[dict], None] | None = None, deadline: float | None = None) -> dict[str, int]:
-    """One run: `screen` adds skip_reason to open mails (cheaply), `prepare` analyses one that is due; statistics of the run.
+def _late(admit: object, deadline: float | None, timers: Timers) -> bool:
+    return admit is None and deadline is not None and deadline - timers.clock() < RESERVE
+
+
+def deliver(box: Box, lease: Lease, screen: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], DataFrame], send: Callable[[dict], None], cfg: Settings, timers: Timers, alert: Callable[[str, str, Exception | None], None] | None = None, after: Callable[[dict], None] | None = None, deadline: float | None = None, admit: Callable[[list[str], DataFrame], list[str]] | None = None) -> dict[str, int]:
+    """One run: `screen` adds skip_reason to open mails (cheaply), `prepare` analyses those that are admitted; statistics of the run.
 
     The oldest come first. Sent and failed messages count towards max_messages_per_run, skipped and uncertain ones don't; the rest is
-    deferred and stays open. `after` does what follows a send (marking, a draft); its failures are logged only.
+    deferred and stays open. `admit` says for which of the due ids there is time, and may ask models meanwhile; without it all are
+    admitted, and each needs RESERVE seconds when its turn comes. `after` does what follows a send (marking, a draft); its failures are logged only.
     """
     for lost in box.log.repair(lease):
         log.error("%d offered mails can't be read and have to be offered again", lost["rows"])
@@ -232,17 +237,22 @@ def deliver(box: Box, lease: Lease, screen: Callable[[DataFrame], DataFrame], pr
         part = box.log.write_part(skipped)
         box.log.commit(lambda head: head.parts.append(part), lease)
     tried = 0
-    for d in due:
-        if deadline is not None and deadline - timers.clock() < RESERVE:
+    of = lambda ids: open_.where(F.col("id").isin(ids)).drop("attempts", "doubt")
+    every = [d["id"] for d in due]
+    admitted = admit(every, of(every)) if admit and due else every
+    ready: dict[str, dict] = {}
+    if admitted and not _late(admit, deadline, timers):
+        ready = {r["id"]: r.asDict(recursive=True) for r in prepare(of(admitted)).collect()}
+    for d in due[: len(admitted)]:
+        if _late(admit, deadline, timers):
             break
         tried += 1
         id_, attempts = d["id"], d["attempts"] + 1
         began = False
         try:
-            row = prepare(open_.where(F.col("id") == id_).drop("attempts", "doubt")).first()
+            row = ready.get(id_)
             if row is None:
                 raise RuntimeError("the analysis gave no result")
-            row = row.asDict(recursive=True)
             box.note(lease, (id_, "intent", 0))
             began = True
             send(row)

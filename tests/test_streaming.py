@@ -233,16 +233,23 @@ def test_a_stream_fills_the_box_and_repeats_count_once(spark, tmp_path):
     assert sent == [str(k) for k in range(20)]
 
 
-def test_with_slow_models_each_run_sends_at_least_one(spark, tmp_path):
+def test_with_slow_models_each_run_sends_at_least_one(spark, tmp_path, monkeypatch):
     now, box, sent = [1000.0], Box(spark, str(tmp_path / "box"), BOX), []
     box.offer(offered(spark, 3))
 
-    def prepare(mails):
+    chain, _ = _chain(*[GOOD] * 3)
+    slow = chain.transport
+
+    def transport(*args):
         now[0] += 200  # a model that takes most of a run
-        return mails
+        return slow(*args)
 
+    inbox = app.Inbox(spark, box, channel.Channel(Bot(), "u", "7"), chain.cfg, lambda: None, chain, Timers(clock=lambda: now[0]))
+    chain.transport, ask = transport, inbox._asked
+    monkeypatch.setattr(app.pipeline, "prompts", lambda mails, *a: mails.select("id", F.col("id").alias("prompt")))
     for k in range(3):
-        stats = delivered(box, SAME, prepare, lambda r: sent.append(r["id"]), Settings(), Timers(clock=lambda: now[0]), deadline=now[0] + 270)
+        deadline, answers = now[0] + 270, {}
+        stats = delivered(box, SAME, SAME, lambda r: sent.append(r["id"]), Settings(), inbox.timers, deadline=deadline, admit=lambda ids, m: ask(ids, m, deadline, answers))  # noqa: B023
         assert (stats["candidates"], stats["sent"], stats["deferred"]) == (3 - k, 1, 2 - k)
     assert sent == ["0", "1", "2"]
 

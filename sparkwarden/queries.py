@@ -247,7 +247,25 @@ _per_document("q_truncate", "SELECT doc_id, CASE WHEN length(s) <= 80 THEN s ELS
 _per_document("q_one_line", f"SELECT doc_id, {_sql_truncate(chr(115), 120)} AS short FROM (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, chr(32)), {_q(_WHITE + chr(43))}, chr(32), 'g'), '^ | $', '', 'g') AS s FROM documents)", short=lambda: T.one_line(F.col("text"), 120))
 _per_document("q_parse_number", "SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS value FROM orders", "orders", "o_orderkey", value=lambda: T.parse_number(F.translate(F.format_number(F.col("o_totalprice").cast("double"), 2), ",.", ".,")))
 _per_document("q_format_euro", "SELECT o_orderkey, regexp_replace(replace(replace(replace(format('{:,.2f}', CAST(o_totalprice AS DOUBLE)), ',', 'x'), '.', ','), 'x', '.'), ',00$', '') || ' €' AS euro FROM orders", "orders", "o_orderkey", euro=lambda: T.format_euro(F.col("o_totalprice").cast("double")))
-_per_document("q_html_to_text", None, "pages", "page_id", text=lambda: T.html_to_text(F.col("html")))
+
+
+def _sql_html_to_text() -> str:
+    """Pages as text, step by step; the driver's labels never hold their links' targets."""
+    gone = "|".join(f"<{t}[\\s\\S]*?</{t}>" for t in ("script", "style", "head"))
+    steps = [
+        (f"(?i){gone}", ""), (f"(?i)<br{_WHITE}*/?>", "\n"), ("(?i)</(p|div|tr|li|h[1-6]|table|blockquote)>", "\n"),
+        (f"(?i)<a{_WHITE}[^>]*href{_WHITE}*={_WHITE}*[\"'](https?:[^\"']*)[\"'][^>]*>([\\s\\S]*?)</a>", "\\2 \x03\\1\x04"), ("<[^>]+>", ""),
+    ]
+    out = "coalesce(html, '')"
+    for pattern, new in steps:
+        out = f"regexp_replace({out}, {_q(pattern)}, {_q(new)}, 'g')"
+    out = f"replace({_sql_decoded(f'translate({out}, {_q(chr(3) + chr(4))}, {_q(chr(60) + chr(62))})')}, chr(13), '')"
+    for pattern, new in (("[ \\t\\x{A0}]+", " "), (" *\\n *", "\n"), ("\\n{3,}", "\n\n"), (f"^{_WHITE}+|{_WHITE}+$", "")):
+        out = f"regexp_replace({out}, {_q(pattern)}, {_q(new)}, 'g')"
+    return out
+
+
+_per_document("q_html_to_text", f"SELECT page_id, {_sql_html_to_text()} AS text FROM pages", "pages", "page_id", text=lambda: T.html_to_text(F.col("html")))
 _per_document("q_strip_tags", f"SELECT page_id, {_sql_decoded(chr(116))} AS text FROM (SELECT page_id, regexp_replace(coalesce(html, chr(32)), '<[^>]+>', '', 'g') AS t FROM pages)", "pages", "page_id", text=lambda: T.strip_tags(F.col("html")))
 _per_document("q_redact_secrets", f"SELECT doc_id, {_sql_redacted()} AS redacted FROM {_sql_cards(SQL_SAID)}", said=True, redacted=lambda: T.redact_secrets(F.col("text")))
 _per_document("q_redact_pii", None, said=True, redacted=lambda: T.redact_pii(F.col("text")))

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import text as T
-from sparkwarden.operators import heuristics, llm_reply, notify, parse, reply
+from sparkwarden.operators import heuristics, llm_reply, notify, parse, reply, risk
 from sparkwarden.plans.config import Settings
 from sparkwarden.plans.phrases import DU, LABELS
-from sparkwarden.queries import _WHITE, SQL_SAID, SQL_TURN_NORMS, _per_document, _q, _sql_free, _table, _turns, query
+from sparkwarden.queries import _WHITE, SQL_NORM, SQL_SAID, SQL_TURN_NORMS, SQL_TURNS, _per_document, _q, _sql_free, _table, _turns, query
 from sparkwarden.sources import messages
 
 
@@ -179,3 +179,20 @@ def logistics_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a notification calls the guessed way of delivery; nothing where it isn't known."""
     turns = _turns(spark, sf_dir).withColumn("norm", T.normalize(F.col("text"))).withColumn("plain", T.plain(F.col("norm")))
     return turns.withColumn("way", heuristics.logistics(F.col("plain"))).select("conv_id", "turn", notify.label(F.col("way"), LABELS.logistics).alias("label"))
+
+
+#: What is put behind a turn, in turn: an earlier price and an offer, a price alone, an offer with a blank in it, prices beyond the bounds, nothing.
+_PRICES = (f" {'m' * 45} kostete 99,5 € und heute {'m' * 45} ich biete 1.250 eur", f" {'m' * 45} kostete 80,-", f" {'m' * 45} für 2 000 €", f" {'m' * 45} 0 € oder 200001 eur", "")
+_SQL_PRICED = f"(SELECT conv_id, turn, (conv_id + turn) % 5 AS kind, text || {_sql_pick(list(_PRICES), '(conv_id + turn)')} AS text FROM {SQL_TURNS})"
+
+
+@query("q_heuristic_intent", f"""
+SELECT conv_id, turn, CASE WHEN kind IN (0, 2) THEN 'PREISVERHANDLUNG' WHEN regexp_matches(norm, {_q(heuristics.AVAILABLE)}) THEN 'VERFUEGBARKEIT' WHEN (p OR s) AND regexp_matches(norm, {_q(heuristics.APPOINTMENT)}) THEN 'TERMINABSPRACHE'
+         WHEN regexp_matches(norm, {_q(heuristics.PURCHASE)}) THEN 'KAUFINTERESSE' WHEN contains(norm, '?') THEN 'FRAGE_ZUM_ARTIKEL' ELSE 'SONSTIGES' END AS guess_intent,
+       CASE kind WHEN 0 THEN 1250.0::DOUBLE WHEN 1 THEN 80.0::DOUBLE WHEN 2 THEN 2000.0::DOUBLE END AS guess_price
+FROM (SELECT *, {_sql_free([heuristics.PICKUP])} AS p, {_sql_free([heuristics.SHIPPING])} AS s FROM (SELECT *, {SQL_NORM} AS norm FROM {_SQL_PRICED}))""")
+def heuristic_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intents and prices of turns: an offer counts before an earlier price, other intents where there is no offer."""
+    turns = _turns(spark, sf_dir).withColumn("k", F.col("conv_id") + F.col("turn"))
+    priced = turns.withColumn("text", F.concat("text", _pick(list(_PRICES), "k"))).withColumn("allowed_domains", F.array().cast("array<string>"))
+    return heuristics.with_heuristics(risk.with_context(priced)).select("conv_id", "turn", "guess_intent", "guess_price")

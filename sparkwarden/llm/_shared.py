@@ -5,11 +5,13 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+#: Session, path and thread of each table that was written and isn't deleted yet.
+_written: list[tuple[SparkSession, str, int]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +38,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/sparkwarden/{uuid.uuid4().hex}-{name}"
     if not _written:
         atexit.register(_clean)
-    _written.append((spark, path))
+    _written.append((spark, path, threading.get_ident()))
     return path
 
 
@@ -45,7 +47,34 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sw_path = path
+    return out
+
+
+def mark() -> int:
+    """A point in time for `discard`."""
+    return len(_written)
+
+
+def discard(since: int, *kept: DataFrame) -> None:
+    """Delete the tables that this thread wrote since a mark, but those of `kept`: nothing that is used later may depend on the others.
+
+    Files of shuffles that only they needed go too.
+    """
+    names, spark = {df._sw_path for df in kept}, None
+    for entry in _written[since:]:
+        if entry[2] == threading.get_ident() and entry[1] not in names:
+            spark = entry[0]
+            _delete(spark, entry[1])
+            _written.remove(entry)
+    if spark is not None:
+        forget_shuffles(spark)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def forget_shuffles(spark: SparkSession) -> None:
@@ -55,10 +84,8 @@ def forget_shuffles(spark: SparkSession) -> None:
 
 
 def _clean() -> None:
-    for spark, path in _written:
+    for spark, path, _ in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001, PERF203  the session may be gone; the folder is the cluster's to purge then
             continue

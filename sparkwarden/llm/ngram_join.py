@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sparkwarden.llm._arrays import U, binary, chunks, gram_hashes, mixed, run_digests, text_bytes, tidy, whole_groups, word_keys, words
 from sparkwarden.llm._components import components
 from sparkwarden.llm._filters import join_groups, key_filter, maybe_in
-from sparkwarden.llm._shared import stored
+from sparkwarden.llm._shared import discard, mark, stored
 
 GRAM, THRESHOLD, RECALL = 5, 0.8, 0.99999
 #: Steps of a path at most, and the bucket size up to which pairs are compared at once.
@@ -280,13 +280,16 @@ def _classified(df: DataFrame, id_col: str, text_col: str, gram: int, threshold:
     full = every.where("sketch is not null")
     grouped = full.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("n_copies"))
     nodes = stored(grouped.select(F.col("first.row").alias("node"), "digest", F.col("first.id").alias("first_id"), "n_copies"), "nodes")
+    begun = mark()
     sketches = stored(full.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "sketch"), "node-sketches", "none")
 
     leaves, stars, source = [], [], sketches
     for step in range(DEPTH):
+        step_begun = mark()
         paths = stored(source.mapInArrow(_paths(runs, DEPTH, step, threshold), "path long, node long, at int"), "paths")
         sizes = stored(paths.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1"), "path-sizes")
         shared = stored(join_groups(paths, sizes, "path", "n", paths.count()), "buckets")
+        discard(step_begun, shared)
         leaves.append(shared.where(f"n <= {LIMIT}").select("path", "node"))
         large = shared.where(f"n > {LIMIT}")
         if large.isEmpty():
@@ -307,11 +310,14 @@ def _classified(df: DataFrame, id_col: str, text_col: str, gram: int, threshold:
 
     # exact similarities within each group of candidates; a large group is dealt out as pairs of blocks
     members = stored(groups.join(nodes, "node").select("node", "digest", "root", F.col("first_id").alias("id")), "members")
+    discard(begun, members)
     some = maybe_in(rows, "id", key_filter(members, "id")).where("_sw_maybe").select("id", "text")
     sets = some.mapInArrow(_sets(gram), "id long, digest binary, size long, grams binary").join(members, ["id", "digest"]).dropDuplicates(["node"])
+    begun = mark()
     dealt = _dealt(stored(sets.select("node", "root", "size", "grams"), "sets"), threshold)
     keys = ["root", "class", "x", "y"]
     found = stored(dealt.repartition(n_parts, *keys).sortWithinPartitions(*keys, "node").mapInArrow(_verify(threshold), "a long, b long, links long"), "links")
+    discard(begun, found)
     classes = components(found.where("links = 0").select("a", "b"))
     links = found.groupBy("a").agg(F.sum("links").alias("n_links"))
     joined = nodes.join(classes, "node", "left").join(links, F.col("node") == F.col("a"), "left")
@@ -326,10 +332,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     class_id is the least id among texts that links (and copies) join. Null and empty texts have no shingle, no links and no
     copies but themselves: class_id is their own id. A null id stays null and counts as the largest. Ids are integers.
     """
+    begun = mark()
     every, rooted = _classified(df, id_col, text_col, gram, threshold, recall)
     full = every.where("sketch is not null")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
     named = stored(rooted.join(least, "root").select("digest", "class_id", "n_links", "n_copies"), "classes")
+    discard(begun, every, named)
     null_id = lambda c: F.when(F.col(c) != int(NO_ID), F.col(c))
     joined = join_groups(full.select("id", "digest"), named, "digest", "n_copies", every.count()).select("id", "class_id", "n_links", "n_copies")
     bare = every.where("sketch is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
@@ -359,12 +367,14 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     One row of each class stays, also where its ids are null or repeated; an id on other texts drops none of their rows.
     """
+    begun = mark()
     every, rooted = _classified(df, id_col, text_col, GRAM, THRESHOLD, RECALL)
     keepers = rooted.groupBy("root").agg(F.min(F.struct("first_id", "node")).alias("keep"))
     named = rooted.join(keepers, "root").select("node", "digest", F.col("keep.first_id").alias("keep_id"), F.col("keep.node").alias("keep_node"))
     own = every.where("sketch is not null").groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n")).join(named, "digest")
     stays = (F.col("id") == F.col("keep_id")) & (F.col("node") == F.col("keep_node"))
     found = stored(own.where(~stays | (F.col("n") > 1)).select(F.col("id").alias("_sw_id"), F.col("digest").alias("_sw_digest"), stays.alias("_sw_stays")), "near")
+    discard(begun, found)
     repeated = found.where("_sw_stays")
     columns = [F.col(f"`{c}`") for c in df.columns]
     rows = df.withColumn("_sw_id", F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))))

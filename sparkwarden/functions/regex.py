@@ -83,3 +83,97 @@ def literals(pattern: str, least: int = 3) -> frozenset[str] | None:
         return best
 
     return of(re._parser.parse(pattern))
+
+
+#: Strings in a set of `required`, at most: a longer list of choices says little.
+MOST_CHOICES = 64
+
+
+def _exact(tokens) -> frozenset[str] | None:
+    """All strings that a part of a pattern can match; None if they are too many or unknown."""
+    runs = frozenset([""])
+    for op, arg in tokens:
+        name = str(op)
+        if name == "LITERAL":
+            some = frozenset([chr(arg)])
+        elif name == "IN" and all(str(o) == "LITERAL" for o, _ in arg):
+            some = frozenset(chr(a) for _, a in arg)
+        elif name == "SUBPATTERN":
+            some = _exact(arg[3])
+        elif name == "BRANCH":
+            parts = [_exact(b) for b in arg[1]]
+            some = frozenset().union(*parts) if all(parts) else None
+        elif name in ("MAX_REPEAT", "MIN_REPEAT") and tuple(arg[:2]) == (0, 1):
+            some = _exact(arg[2])
+            some = some and some | {""}
+        elif name in ("AT", "ASSERT", "ASSERT_NOT"):
+            continue  # of no width
+        else:
+            return None
+        if not some or len(runs) * len(some) > MOST_CHOICES:
+            return None
+        runs = frozenset(a + b for a in runs for b in some)
+    return runs
+
+
+def required(pattern: str, least: int = 3) -> tuple[frozenset[str], ...]:
+    """Sets of strings of `least` characters or more: a match of the pattern holds one string of each set."""
+
+    def of(tokens) -> list[frozenset[str]]:
+        out, runs = [], frozenset([""])
+
+        def cut() -> None:
+            nonlocal runs
+            if all(len(x) >= least for x in runs):
+                out.append(runs)
+            runs = frozenset([""])
+
+        for token in tokens:
+            op, arg = token
+            name = str(op)
+            if name in ("AT", "ASSERT", "ASSERT_NOT"):
+                continue
+            some = _exact([token])
+            once = _exact(arg[2]) if some is None and name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0 else None
+            if some and len(runs) * len(some) > MOST_CHOICES:
+                cut()
+            if some or once and len(runs) * len(once) <= MOST_CHOICES:
+                runs = frozenset(a + b for a in runs for b in some or once)
+                if once:
+                    cut()
+                continue
+            cut()
+            if name == "SUBPATTERN":
+                out += of(arg[3])
+            elif name == "BRANCH":
+                parts = [of(b) for b in arg[1]]
+                if all(parts):
+                    out.append(frozenset().union(*(max(p, key=lambda s: (min(map(len, s)), -len(s))) for p in parts)))
+            elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
+                out += of(arg[2])
+        cut()
+        return out
+
+    return tuple(dict.fromkeys(of(re._parser.parse(pattern))))
+
+
+def any_of(strings: frozenset[str] | set[str], wide: int = 5) -> str:
+    """A Java pattern of many strings that shares their beginnings and takes the longest at a place.
+
+    Where more than `wide` characters can follow, a look at a class of them comes before they are tried one by one.
+    """
+
+    def of(rest: list[str]) -> str:
+        ends, heads = "" in rest, {}
+        for s in rest:
+            if s:
+                heads.setdefault(s[0], []).append(s[1:])
+        options = [re.escape(c) + of(heads[c]) for c in sorted(heads)]
+        if len(options) > wide:
+            keys = sorted(heads)
+            options = [f"(?=[{''.join(map(re.escape, keys[k : k + wide]))}])(?:{'|'.join(options[k : k + wide])})" for k in range(0, len(keys), wide)]
+        if not options:
+            return ""
+        return f"(?:{'|'.join(options)}){'?' if ends else ''}" if ends or len(options) > 1 else options[0]
+
+    return of(sorted(strings))

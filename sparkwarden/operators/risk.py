@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import text as T
-from sparkwarden.functions.regex import literals
+from sparkwarden.functions.regex import any_of, required
 from sparkwarden.plans.catalog import COMBOS, HIGH_THRESHOLD, LOOKALIKE_BRANDS, MEDIUM_THRESHOLD, RULES, URL_SHORTENERS, Combo, Rule
 
 #: The levels in order.
@@ -55,19 +57,28 @@ def _any(columns: Sequence[Column]) -> Column:
     return out
 
 
+def literals_found(norm: Column, rules: Sequence[Rule]) -> Column:
+    """The literals of all rules' patterns that a plain text holds, found in one pass, each behind a line end; of those that begin at the same place only the longest."""
+    every = frozenset().union(*(s for r in rules for p in r.patterns for s in required(p)))
+    return F.concat(F.lit("\n"), F.array_join(F.array_distinct(F.regexp_extract_all(norm, F.lit(f"(?=({any_of(every)}))"), 1)), "\n")) if every else F.lit("")
+
+
 def hit(rule: Rule, ctx: dict[str, Column]) -> Column:
-    """The evidence of a rule: '' or a host; null if it isn't hit."""
+    """The evidence of a rule: '' or a host; null if it isn't hit.
+
+    A pattern runs only on texts that hold a literal of each set that it needs: by ctx["literals"] (`literals_found` for this and
+    other rules), where that is given, else by a search for each.
+    """
     if rule.detect:
         return rule.detect(ctx)
     norm = ctx["plain"]
 
-    def behind(patterns: Sequence[str], found: Column) -> Column:
-        """`found` where the text holds a literal that the patterns need."""
-        need = [literals(p) for p in patterns]
-        return _any([F.contains(norm, F.lit(x)) for x in sorted(frozenset().union(*need))]) & found if all(need) else found
+    def behind(p: str, found: Column) -> Column:
+        held = [_any([F.contains(ctx["literals"], F.lit("\n" + x)) if "literals" in ctx else F.contains(norm, F.lit(x)) for x in sorted(need)]) for need in required(p)]
+        return reduce(and_, [*held, found])
 
-    seen = _any([behind([p], norm.rlike(p)) for p in rule.patterns])
-    free = _any([behind([p], T.any_unnegated(norm, p)) for p in rule.patterns]) if rule.negatable else seen
+    seen = _any([behind(p, norm.rlike(p)) for p in rule.patterns])
+    free = _any([behind(p, T.any_unnegated(norm, p)) for p in rule.patterns]) if rule.negatable else seen
     if not rule.squashed:
         return F.when(free, F.lit(""))
     spelled = _any([F.contains(ctx["squashed"], F.lit(k)) for k in rule.squashed]) & ~seen
@@ -82,7 +93,8 @@ def evaluate(df: DataFrame, text: str = "text", allowed: str = "allowed_domains"
     """
     own = with_context(df, text, allowed)
     ctx = {k: F.col(k) for k in ("norm", "plain", "squashed", "urls", "phones", "emails")}
-    hits = own.withColumns({f"_hit_{r.id}": hit(r, ctx) for r in rules})
+    own = own.withColumn("_literals", literals_found(ctx["plain"], rules))
+    hits = own.withColumns({f"_hit_{r.id}": hit(r, ctx | {"literals": F.col("_literals")}) for r in rules})
 
     def finding(k: int, r: Rule | Combo, evidence: Column) -> Column:
         weight = r.weight if isinstance(r, Rule) else r.bonus
@@ -103,7 +115,7 @@ def evaluate(df: DataFrame, text: str = "text", allowed: str = "allowed_domains"
     level = F.when(F.col("critical") | (F.col("score") >= HIGH_THRESHOLD), "HIGH").when(F.col("score") >= MEDIUM_THRESHOLD, "MEDIUM").otherwise("LOW")
     findings = F.transform("_found", lambda f: F.struct(*[f[c].alias(c) for c in ("id", "label", "weight", "critical", "evidence")]))
     out = scored.withColumns({"level": level, "findings": findings})
-    return out.drop("_found", *[f"_hit_{r.id}" for r in rules], *([] if keep_context else ctx))
+    return out.drop("_found", "_literals", *[f"_hit_{r.id}" for r in rules], *([] if keep_context else ctx))
 
 
 def combine(df: DataFrame, llm_level: str = "llm_level", indicators: str = "llm_indicators") -> DataFrame:

@@ -1,10 +1,13 @@
 """Text functions against values worked out by hand."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import text as T
-from sparkwarden.functions.regex import java, literals
+from sparkwarden.functions.regex import any_of, java, literals, required
+from sparkwarden.plans.catalog import RULES
 
 CASES = [
     (T.normalize, [("Grüße  Straße", "grusse strasse"), ("kleinаnzeigen", "kleinanzeigen"), ("W​hatsApp", "whatsapp"), ("„Hi“ it’s", '"hi" its'), ("ﬁne", "fine"), (None, ""), ("Ａb \tc", "ab c"), ("x\ny", "x\ny")]),
@@ -31,6 +34,7 @@ def test_text_function(spark, function, cases):
     df = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(cases)], "k int, t string")
     got = [r[1] for r in sorted(df.select("k", function(F.col("t"))).collect())]
     assert [[tuple(x) if hasattr(x, "asDict") else x for x in g] if isinstance(g, list) else g for g in got] == [want for _, want in cases]
+from sparkwarden.plans.catalog import RULES
 
 
 def test_redaction_changes_nothing_twice(spark):
@@ -43,3 +47,15 @@ def test_patterns():
     assert java("a$") == "a(?![\\s\\S])"
     assert literals(r"\b(mein|unser)\s+(fahrer|bote)\b") == frozenset({"mein", "unser"})
     assert literals(r"\b(cvv|cvc)2?\b") is None or all(len(x) >= 3 for x in literals(r"\b(cvv|cvc)2?\b"))
+
+
+def test_required_literals_and_one_pattern_of_many():
+    for r in RULES:
+        for p in r.patterns:
+            assert all(len(x) >= 3 for s in required(p) for x in s)
+    assert set(required(r"\bwh?at+s?\s*-?\s*app\b")) == {frozenset({"what", "wat"}), frozenset({"app"})}
+    assert required(r"(foo|bar)+baz?") == (frozenset({"foo", "bar"}),)
+    assert required(r"[a-z]+\d{2,}") == ()
+    words = {"tele", "telegram", "telefon", "a+b", "abc", "b", "cd", "de", "ef", "fg", "gh"}
+    found = re.findall(f"(?=({any_of(words)}))", "xtelegramx telefo a+bc ghfg")
+    assert found == ["telegram", "tele", "a+b", "b", "gh", "fg"]

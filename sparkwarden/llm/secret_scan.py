@@ -1,13 +1,16 @@
-"""Secret scans: candidates by their characters or a key word before them, and a random forest that removes false positives.
+"""Secret scans: candidates by their characters, their form or a key word before them, and a random forest that removes false positives.
 
-The forest sees a candidate's length, its mix of characters and transitions between them, how much of it a dictionary covers,
-whether it looks like part of a path, and the words next to it. It is trained from labelled findings: rows (before, candidate,
+Candidates are runs of token characters, values after key words, passwords in URLs, signed web tokens and armoured blocks. The forest
+sees a candidate's length, its mix of characters and transitions between them, how much of it a dictionary covers, its form, whether
+it looks like part of a path, and the words next to it. It is trained from labelled findings: rows (before, candidate,
 after, is_secret), by default `labelled_findings`, which makes findings of known kinds; `findings_of` makes them from a table of
 labelled texts. Training takes a random sample of at most `rows` of them (TRAIN_ROWS by default).
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -32,6 +35,16 @@ _VALUE = re.compile(rb"(?i)(?:" + b"|".join(k.encode() for k in KEY_WORDS) + rb"
 _KEY = re.compile(rb"(?i)(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer)[\w-]{0,16}[\"']?\s{0,3}(?::|=>?)?\s{0,3}[\"']?$")
 _DIGEST = re.compile(rb"(?i)(?:sha-?\d*|md5|commit|checksum|digest|integrity|etag|rev(?:ision)?|uuid|guid|hash|blob|tree)[\w-]{0,8}[\"']?\s{0,3}[:=]?\s{0,3}[\"']?(?:sha\d+-)?$")
 _SAMPLE = re.compile(rb"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|test|todo|<[a-z_ -]+>|\*\*\*")
+#: A password between `://user:` and `@`, a signed web token (three parts, or two if unsigned), and an armoured block up to its end
+#: mark, or without one as far as its lines of base64 go.
+_LOGIN = re.compile(rb"://[^\s:/@\"'<>]{0,64}:([^\s/@\"'<>]{3,256})@[A-Za-z0-9\[_-]")
+_SIGNED = re.compile(rb"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*)?")
+_ARMOUR = re.compile(rb"-----BEGIN [A-Z0-9 ]{1,48}-----(?:\s{1,4}[A-Za-z-]{1,24}: [^\n]{1,80})*(?:(?:\s|\\[nr]){0,6}[A-Za-z0-9+/=]{16,})*(?:(?:\s|\\[nr]){0,6}[A-Za-z0-9+/=]{1,15})?(?:(?:\s|\\[nr]){0,6}-----END [A-Z0-9 ]{1,48}-----)?")
+#: Beginnings of keys that providers document.
+PROVIDERS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "ghu_", "github_pat_", "glpat-", "sk_live_", "rk_live_", "sk-", "xoxb-", "xoxp-", "xapp-", "npm_", "pypi-", "hf_", "dop_v1_", "shpat_", "ya29")
+_PROVIDER = re.compile("|".join(map(re.escape, PROVIDERS)).encode())
+_LOGIN_BEFORE = re.compile(rb"://[^\s:/@\"'<>]*:$")
+_BLANK = re.compile(rb"(?i)[$<%{\[(*]*(?:your[_-]?)?(?:user)?(?:pass(?:word|wd)?|pwd|secret|token|key|x{3,}|\*+)[}>%\])*]*")
 #: Common parts of names; what a candidate shares with them is no sign of a secret.
 DICTIONARY = (
     "the and for with from that this not you are was have has get set put add new old all any one two key val value name path file user users data time date test tests main index list item items page pages "
@@ -59,7 +72,7 @@ _KINDS = np.full(256, 3)
 _KINDS[[*b"abcdefghijklmnopqrstuvwxyz"]], _KINDS[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"]], _KINDS[[*b"0123456789"]] = 0, 1, 2
 _LETTER = np.zeros(256, np.int64)
 _LETTER[97:123] = _LETTER[65:91] = np.arange(1, 27)
-FEATURES = ("length", "entropy", "lower", "upper", "digits", "other", "kind_changes", "distinct", "longest_same_kind", "letter_pairs", "dictionary", "hex", "slashes", "separators", "path_before", "path_after", "key_before", "digest_before", "assigned", "quoted", "sample", "url_before", "uuid")
+FEATURES = ("length", "entropy", "lower", "upper", "digits", "other", "kind_changes", "distinct", "longest_same_kind", "letter_pairs", "dictionary", "hex", "slashes", "separators", "path_before", "path_after", "key_before", "digest_before", "assigned", "quoted", "sample", "url_before", "uuid", "login", "blank", "signed", "provider", "armour", "private", "encoded")
 
 
 def features(before: bytes, word: bytes, after: bytes) -> list[float]:
@@ -79,51 +92,94 @@ def features(before: bytes, word: bytes, after: bytes) -> list[float]:
         float(re.search(rb"[./\\:~]$", before) is not None), float(re.match(rb"\.\w|[\\/]", after) is not None), float(_KEY.search(before) is not None), float(_DIGEST.search(before) is not None),
         float(re.search(rb"[:=]\s*[\"']?$", before) is not None), float(before[-1:] in (b'"', b"'") and after[:1] == before[-1:]), float(_SAMPLE.search(before[-16:] + word) is not None), float(re.search(rb"https?://\S*$", before) is not None),
         float(re.fullmatch(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", word) is not None),
+        float(after[:1] == b"@" and _LOGIN_BEFORE.search(before) is not None), float(_BLANK.fullmatch(word) is not None), float(_SIGNED.fullmatch(word) is not None), float(_PROVIDER.match(word) is not None),
+        float(word.startswith(b"-----BEGIN ")), float(re.match(rb"-----BEGIN [A-Z0-9 ]*PRIVATE KEY", word) is not None), float(re.search(rb"base64,\s?$", before) is not None),
     ]
 
 
 def labelled_findings(n: int = TRAIN_ROWS, seed: int = SEED) -> list[tuple[bytes, bytes, bytes, int]]:
-    """Findings of known kinds with labels: keys, tokens and passwords; and digests, ids, names, paths, numbers and placeholders."""
+    """The candidates of n made-up pieces of text, with labels: whether they overlap what was planted there as a secret.
+
+    Secrets are keys and passwords behind key words, passwords in URLs, signed tokens, private key blocks, providers' keys and bare
+    base64; the rest are digests, ids, names, paths, numbers, placeholders, public blocks, embedded files and parts of URLs.
+    """
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    run = lambda chars, k: "".join(pick(chars) for _ in range(k))
-    hexa, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    words = lambda k, sep: sep.join(pick(_WORDS) for _ in range(k))
-    noise = lambda: " ".join(pick(_WORDS) for _ in range(int(rng.integers(0, 6))))
-    out = []
-    for _ in range(n):
+    run = lambda chars, k: "".join(chars[i] for i in rng.integers(0, len(chars), k))
+    between = lambda a, b: int(rng.integers(a, b))
+    digits, hexa, letters = "0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    alnum, base, web = letters + digits, letters + digits + "+/", letters + digits + "-_"
+    said = lambda: "".join(pick("bcdfghjklmnprstvwz") + pick(["a", "e", "i", "o", "u", "ai", "ea", "ou"]) for _ in range(between(1, 4))) + pick(["", "n", "r", "s", "t", "ck", "ng"])
+    word = lambda: pick(_WORDS) if rng.random() < 0.6 else said()  # noqa: E731  some of them unknown to the dictionary
+    words = lambda k, sep: sep.join(word() for _ in range(k))
+    cased = lambda: pick([str, str, str.capitalize, str.upper])(word()) + pick(["", "", "", run(digits, between(1, 5))])
+    noise = lambda: words(between(0, 6), " ")
+    password = lambda: pick([run(alnum + "!#$%&*-_", between(8, 24)), pick(_WORDS).capitalize() + run(digits, between(2, 5)) + pick("!?#*"), words(2, pick("-._")) + run(digits, between(2, 4))])
+    lines = lambda: pick(["\n", "\n", " ", "\\n"]).join(run(base, 64) for _ in range(between(2, 26)))
+
+    def block(kind: str) -> str:
+        gap = pick(["\n", "\n", " ", "\\n"])
+        return f"-----BEGIN {kind}-----{gap}{lines()}{gap}{run(base, between(4, 60))}{pick(['', '=', '=='])}{gap}-----END {kind}-----"
+
+    def secret() -> tuple[str, str, str]:
+        kind, before, after = between(0, 10), f"{noise()} ", f" {noise()}"
+        if kind == 0:
+            return f"{noise()} {pick(['postgres', 'postgresql', 'mysql', 'mongodb+srv', 'redis', 'amqp', 'https', 'ftp'])}://{pick([pick(_WORDS), 'root', 'admin', ''])}:", password(), f"@{pick(_WORDS)}.{pick(['internal', 'example', 'net', 'local'])}{pick([':5432', ''])}/{pick(_WORDS)}{after}"
+        if kind == 1:
+            return before, f"eyJ{run(web, between(15, 60))}.eyJ{run(web, between(20, 200))}.{run(web, pick([43, 86, 342]))}", after
+        if kind == 2:
+            return before, block(pick(["RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY", "ENCRYPTED PRIVATE KEY"])), after
+        if kind == 3:
+            start = pick(PROVIDERS)
+            return before, start + (run(letters[:26] + digits, 16) if start in ("AKIA", "ASIA") else run(alnum, between(20, 44))), after
+        if kind == 4:
+            return before, run(base, pick([40, 40, 40, 44, 64])) + pick(["", "", "=", "=="]), after
+        quote, sep = pick(['"', "'", ""]), pick([" = ", ": ", "=", ":", " "])
+        name = pick(KEY_WORDS) + pick(["", "", "_id", "Key"])
+        name = pick([name, name, name.upper(), "client_" + name, "db." + name, "Bearer"])
+        value = pick([lambda: run(hexa, pick([32, 40, 48, 64])), lambda: run(hexa, pick([32, 40, 64])).upper(), lambda: run(alnum, between(20, 65)), lambda: run(base, between(6, 16) * 4) + pick(["", "=", "=="]), password])()
+        return f"{noise()} {name}{sep}{quote}", value, quote + after
+
+    def other() -> tuple[str, str, str]:
+        kind, before, after = between(0, 14), f"{noise()} ", f" {noise()}"
         quote, sep = pick(['"', "'", ""]), pick([" = ", ": ", "=", ":", " "])
-        if rng.random() < 0.5:
-            value = pick([
-                lambda: run(hexa, pick([32, 40, 48, 64])), lambda: run(hexa, pick([32, 40, 64])).upper(), lambda: run(alnum, int(rng.integers(20, 65))), lambda: run(alnum + "+/", int(rng.integers(6, 16)) * 4) + pick(["", "=", "=="]),
-                lambda: pick(["ghp_", "sk_live_", "xoxb-", "AKIA", "glpat-"]) + run(alnum, int(rng.integers(16, 36))), lambda: run(alnum + "!#$%&*-_", int(rng.integers(10, 24))),
-            ])()
-            name = pick(KEY_WORDS) + pick(["", "", "_id", "Key"])
-            name = pick([name, name, name.upper(), "client_" + name, "db." + name, "Bearer"])
-            out.append((f"{noise()} {name}{sep}{quote}", value, f"{quote} {noise()}", 1))
-            continue
-        kind = int(rng.integers(8))
-        before, after = f"{noise()} ", f" {noise()}"
         if kind == 0:
-            value, before, after = run(hexa, pick([32, 40, 64])), f"{noise()} {pick(['sha1', 'sha256', 'md5', 'commit', 'checksum', 'digest', 'integrity', 'etag', 'revision'])}{sep}{quote}", quote + after
-        elif kind == 1:
-            value = "-".join(run(hexa, k) for k in (8, 4, 4, 4, 12))
-            before = f"{noise()} {pick(['id', 'uuid', 'guid', 'ref', 'node'])}{sep}{quote}"
-        elif kind == 2:
-            value = words(int(rng.integers(2, 6)), pick(["_", "-", ""]))
-        elif kind == 3:
-            value, before = words(int(rng.integers(3, 7)), "/"), pick([" /", " ./", " https://www.", " ~/"])
-            after = pick([".html ", ".py ", "/ ", " "])
-        elif kind == 4:
-            value = run("0123456789", int(rng.integers(12, 24)))
-        elif kind == 5:
-            value, before = pick(["your_api_key_here", "xxxxxxxxxxxxxxxxxxxx", "changeme_changeme", "EXAMPLEKEYEXAMPLE", "********************", "insert-token-here"]), f"{noise()} {pick(KEY_WORDS)}{sep}{quote}"
-        elif kind == 6:
-            value = "".join(w.capitalize() for w in words(int(rng.integers(3, 6)), " ").split())
-        else:
-            value, before = words(int(rng.integers(1, 4)), pick(["_", ".", ""])), f"{noise()} {pick(KEY_WORDS)}{sep}"
-        out.append((before, value, after, 0))
-    return [(a[-CONTEXT:].encode(), b.encode(), c[:CONTEXT].encode(), y) for a, b, c, y in out if len(b) >= LEAST_VALUE]
+            return f"{noise()} {pick(['sha1', 'sha256', 'md5', 'commit', 'checksum', 'digest', 'integrity', 'etag', 'revision'])}{sep}{quote}", run(hexa, pick([32, 40, 64])), quote + after
+        if kind == 1:
+            return f"{noise()} {pick(['id', 'uuid', 'guid', 'ref', 'node'])}{sep}{quote}", "-".join(run(hexa, k) for k in (8, 4, 4, 4, 12)), quote + after
+        if kind == 2:
+            return before, words(between(2, 6), pick(["_", "-", ""])) + pick(["", "", run(digits, between(1, 5))]), after
+        if kind == 3:
+            return pick([" ", " .", " https://www.", " ~", f"{word()}="]) + noise() * (rng.random() < 0.2), pick(["", "/"]) + "/".join(cased() for _ in range(between(2, 8))), pick([".html ", ".py ", ".tar.gz ", "/ ", " "]) + noise()
+        if kind == 4:
+            return before, run(digits, between(12, 24)), after
+        if kind == 5:
+            return f"{noise()} {pick(KEY_WORDS)}{sep}{quote}", pick(["your_api_key_here", "xxxxxxxxxxxxxxxxxxxx", "changeme_changeme", "EXAMPLEKEYEXAMPLE", "********************", "insert-token-here"]), quote + after
+        if kind == 6:
+            return before, "".join(word().capitalize() for _ in range(between(3, 7))) + pick(["", "", run(digits, between(1, 4))]), after
+        if kind == 7:
+            return f"{noise()} {pick(KEY_WORDS)}{sep}", words(between(1, 4), pick(["_", ".", ""])), after
+        if kind == 8:
+            return before, block(pick(["CERTIFICATE", "PUBLIC KEY", "RSA PUBLIC KEY", "CERTIFICATE REQUEST", "X509 CRL"])), after
+        if kind == 9:
+            return f"{noise()} {pick(['data:image/png;base64,', 'data:font/woff2;base64,', 'integrity=' + quote + 'sha512-', 'integrity=' + quote + 'sha256-'])}", run(base, between(11, 50) * 4) + pick(["", "=", "=="]), quote + after
+        if kind == 10:
+            return f"{noise()} https://{pick(_WORDS)}.com/{pick(['watch?v=', 'd/', 'id=', 'p/'])}", run(web, between(16, 45)), pick(["/edit ", " ", "&x=1 "]) + after
+        if kind == 11:
+            return f"{noise()} {pick(['postgres', 'mysql', 'redis', 'https'])}://{pick(['user', 'username', pick(_WORDS)])}:", pick(["password", "pass", "${PASSWORD}", "<password>", "{password}", "PASSWORD", "secret", "****", "xxxx", "your_password"]), f"@{pick(['localhost', 'host'])}/db{after}"
+        if kind == 12:
+            return before, pick([run(hexa, pick([32, 40, 64])), "0x" + run(hexa, 40)]), after
+        return before, pick([run("abcdefghijklmnopqrstuvwxyz", between(16, 40)) + run(digits, between(1, 3)), f"{pick(_WORDS)}-{between(1, 20)}.{between(0, 20)}.{between(0, 20)}-{words(2, '-')}", "-".join(pick(_WORDS) for _ in range(3)) + f"-20{between(10, 30)}-{between(10, 13)}-{between(10, 29)}"]), after
+
+    out = []
+    for _ in range(n):
+        planted = rng.random() < 0.5
+        before, value, after = (x.encode() for x in (secret if planted else other)())
+        text = before + value + after
+        for _, a, b in candidates(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 0, 1):
+            inside = planted and a < len(before) + len(value) and b > len(before)
+            out.append((text[max(0, a - CONTEXT) : a], text[a:b], text[b : b + CONTEXT], int(inside)))
+    return out
 
 
 class Forest:
@@ -149,7 +205,7 @@ class Forest:
         parent = y.mean() * (1 - y.mean())
         for f in rng.choice(x.shape[1], max(1, int(math.sqrt(x.shape[1]))) + 1, replace=False):
             v = x[:, f]
-            cuts = np.unique(np.quantile(v, np.linspace(0.05, 0.95, 15)))
+            cuts = np.unique(np.sort(v)[(np.linspace(0.05, 0.95, 15) * (len(v) - 1)).astype(int)])
             under = v[:, None] <= cuts
             n = under.sum(0)
             ok = (n > 1) & (n < len(y) - 1)
@@ -188,6 +244,12 @@ def train(findings: list[tuple[bytes, bytes, bytes, int]] | None = None, rows: i
     return Forest(np.array([features(a, b, c) for a, b, c, _ in findings]), np.array([y for *_, y in findings], float), seed=seed)
 
 
+@functools.lru_cache(maxsize=1)
+def default_forest() -> Forest:
+    """The forest from `labelled_findings`, made once a driver."""
+    return train()
+
+
 def findings_of(df: DataFrame, text_col: str = "text", secrets_col: str = "secret_values", rows: int = TRAIN_ROWS, seed: int = SEED) -> list[tuple[bytes, bytes, bytes, int]]:
     """Labelled findings of texts whose true secrets (array of strings) are known: each candidate that is one of them, or lies in
     one or around one, counts as a secret. At most about `rows` candidates are drawn, evenly from the whole table.
@@ -214,9 +276,10 @@ def findings_of(df: DataFrame, text_col: str = "text", secrets_col: str = "secre
 
 
 def candidates(data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> list[tuple[int, int, int]]:
-    """(row, begin, end) in bytes of the row: runs of token characters with a digit or mixed case, and values after key words.
+    """(row, begin, end) in bytes of the row: runs of token characters with a digit or mixed case, values after key words, passwords in
+    URLs, signed tokens and armoured blocks.
 
-    A value and the runs that it overlaps are all candidates; `united` makes one span of them.
+    A value and the runs that it overlaps are all candidates; `united` makes one span of them. Runs within an armoured block are none.
     """
     raw = data[offsets[i] : offsets[j]]
     rows = offsets[i : j + 1] - offsets[i]
@@ -234,8 +297,9 @@ def candidates(data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> list[tu
     starts, ends = np.sort(np.append(starts, inner)), np.sort(np.append(ends, inner))
     text = raw.tobytes()
     for a, b in zip(starts[ends - starts >= LEAST_RUN].tolist(), ends[ends - starts >= LEAST_RUN].tolist()):
+        a += text[a:b].rstrip(b"=").rfind(b"=") + 1  # what a name and a sign of equality stand before
         word = text[a:b]
-        if re.search(rb"\d", word) or re.search(rb"[a-z][A-Z]|[A-Z]{2}[a-z]", word):
+        if len(word) >= LEAST_RUN and (re.search(rb"\d", word) or re.search(rb"[a-z][A-Z]|[A-Z]{2}[a-z]", word)):
             row = int(np.searchsorted(rows, a, "right")) - 1
             found.add((i + row, a - int(rows[row]), b - int(rows[row])))
     for row in range(j - i):
@@ -244,6 +308,15 @@ def candidates(data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> list[tu
         if any(k.encode() in low for k in KEY_WORDS):
             for m in _VALUE.finditer(own):
                 found.add((i + row, *m.span(1)))
+        if b"://" in own and b"@" in own:
+            found.update((i + row, *m.span(1)) for m in _LOGIN.finditer(own))
+        if b"eyJ" in own:
+            found.update((i + row, *m.span()) for m in _SIGNED.finditer(own))
+        if b"-----BEGIN " in own:
+            blocks = [m.span() for m in _ARMOUR.finditer(own)]
+            begins = [a for a, _ in blocks]
+            within = lambda a, b: (k := bisect.bisect_right(begins, a)) and b <= blocks[k - 1][1]  # noqa: E731, B023
+            found = {f for f in found if f[0] != i + row or not within(*f[1:])} | {(i + row, a, b) for a, b in blocks}
     return sorted(found)
 
 
@@ -316,7 +389,7 @@ def _scanned(df: DataFrame, columns: list[str], text_col: str, forest: Forest |
     renamed = {c: f"_sw_{k}" for k, c in enumerate(columns)}
     kinds = "".join(f"{renamed[c]} {df.schema[c].dataType.simpleString()}, " for c in columns)
     rows = df.select(*[F.col(f"`{c}`").alias(renamed[c]) for c in columns], F.col(f"`{text_col}`").alias("_sw_text"))
-    return renamed, rows.mapInArrow(_scan(forest or train(), least, list(renamed.values())), kinds + SCAN)
+    return renamed, rows.mapInArrow(_scan(forest or default_forest(), least, list(renamed.values())), kinds + SCAN)
 
 
 def findings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,6 +17,7 @@ with the corpus; the table of weights grows with the training tokens up to MOST_
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,6 +43,10 @@ DEPTH = 48
 LEAST_ROWS, MOST_ROWS, TOKENS_A_ROW = 1 << 14, 1 << 20, 8
 FEATURES, ROUNDS, RATE, STEP_TOKENS = 3, 2, 0.1, 1 << 14
 SLICES = 64
+#: Rows of the weight table that are changed at once.
+PART = 1 << 17
+#: Levels of a tree whose choices share a hash but for its last LEVELS bits.
+LEVELS = 4
 #: Words whose choices are laid out at once.
 WORDS = 1 << 16
 SMOOTH = 0.1
@@ -199,14 +204,19 @@ def _repeated(sent: np.ndarray, first: np.ndarray, depth: np.ndarray, last: np.n
     return out
 
 
-def choices(path: np.ndarray, mask: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def choices(path: np.ndarray, mask: np.ndarray, own: np.ndarray, places: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of things with paths, masks and the number of the tree they are in: the choices one after another (hashes), which side each
-    thing takes there (1: right), and how many choices each thing has."""
+    thing takes there (1: right), and how many choices each thing has. places: those of the mask, where known."""
     n = len(path)
-    thing, depth = _choice_places(mask)
-    prefix = path[thing] >> (DEPTH - depth)
-    side = path[thing] >> (DEPTH - 1 - depth) & 1
-    node = mixed(mixed(prefix.astype(U), 61) ^ (own[thing].astype(U) << U(8)) ^ depth.astype(U), 62)
+    thing, depth = places or _choice_places(mask)
+    taken = path[thing]
+    side = taken >> (DEPTH - 1 - depth) & 1
+    # the 15 choices of LEVELS levels below one lie next to each other, so a token meets few parts of the table
+    level = depth % LEVELS
+    begun = depth - level
+    node = mixed(mixed((taken >> (DEPTH - begun)).astype(U), 61) ^ (own[thing].astype(U) << U(8)) ^ begun.astype(U), 62)
+    node &= ~U((1 << LEVELS) - 1)
+    node |= ((1 << level) - 1 + (taken >> (DEPTH - depth) & ((1 << level) - 1))).astype(U)
     return node, side.astype(bool), np.bincount(thing, minlength=n)
 
 
@@ -268,8 +278,14 @@ def _coded(block: pa.Table, answers: pa.Table) -> pa.Table:
 
 
 def weight_rows(mixture: np.ndarray, rows: int) -> np.ndarray:
-    """Rows of the weight table of mixtures of a choice and a context, both well scrambled: the top bits of a product."""
-    return ((mixture * U(0x9E3779B97F4A7C15)) >> U(64 - (rows - 1).bit_length())).view(np.int64)
+    """Rows of the weight table of mixtures of a choice and a context, both well scrambled: the top bits of a product. Mixtures are overwritten.
+
+    The factor is a little more than a row, so mixtures that differ in their last LEVELS bits only have rows of their own close to each other.
+    """
+    shift = 64 - (rows - 1).bit_length()
+    mixture *= U((1 << shift) + (0x9E3779B97F4A7C15 >> (64 - shift + 5) | 1))
+    mixture >>= U(shift)
+    return mixture.view(np.int64)
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -301,8 +317,8 @@ class _Block:
         done, used, last = 0, 0, np.zeros(DEPTH, np.float32)
         for k in range(0, len(own), WORDS):
             some = slice(k, k + WORDS)
-            node, side, _ = choices(path[some], mask[some], own[some] + 1)
             thing, depth = _choice_places(mask[some])
+            node, side, _ = choices(path[some], mask[some], own[some] + 1, (thing, depth))
             first = _first_met(path[some], own[some], (int(path[k - 1]), int(own[k - 1])) if k else (0, -1), thing, depth)
             met, end = int(first.sum()), done + len(node)
             self.node[done:end], self.side[done:end], self.prior[done:end] = node, side, _repeated(sent[used : used + met], first, depth, last)
@@ -310,8 +326,9 @@ class _Block:
         self.firsts = np.cumsum(self.sizes) - self.sizes
 
     def contexts(self, some: np.ndarray) -> np.ndarray:
-        """The contexts of tokens as hashes: word before, both before, word before last; before a text stand two ends."""
-        first = self.firsts[np.searchsorted(self.firsts, some, "right") - 1]
+        """The contexts of tokens (in order) as hashes: word before, both before, word before last; before a text stand two ends."""
+        low, high = np.searchsorted(self.firsts, some[[0, -1]], "right") if len(some) else (1, 0)
+        first = np.repeat(self.firsts[low - 1 : high], np.diff(np.append(np.searchsorted(some, self.firsts[low - 1 : high]), len(some))))
         one, two = (np.where(some - first >= k, self.tops[self.at[np.maximum(some - k, 0)]], END[0] >> U(32)) for k in (1, 2))
         return np.stack([mixed(one, 11), mixed(one ^ mixed(two, 12), 13), mixed(two, 14)])
 
@@ -324,31 +341,70 @@ class _Block:
         own = self.own[word]
         above, below = self.top_n[own], self.n[word]
         high, low = _ranges(self.top_begin[own], above), _ranges(self.begin[word], below)
-        token = np.concatenate([np.repeat(np.arange(len(some)), above), np.repeat(np.arange(len(some)), below)])
-        node = np.concatenate([self.top_node[high], self.node[low]])
-        at = np.empty((FEATURES, len(node)), np.int64)
-        for f, context in enumerate(self.contexts(some)):
-            at[f] = weight_rows(node ^ context[token], rows)
-        return at, np.concatenate([self.top_side[high], self.side[low]]), np.concatenate([self.top_prior[high], self.prior[low]]).astype(np.float32), token
+        n, size = len(high), len(high) + len(low)
+        token, node, side, prior = np.empty(size, np.int64), np.empty(size, U), np.empty(size, bool), np.empty(size, np.float32)
+        token[:n], token[n:] = np.repeat(np.arange(len(some)), above), np.repeat(np.arange(len(some)), below)
+        for out, top, own_words in ((node, self.top_node, self.node), (side, self.top_side, self.side), (prior, self.top_prior, self.prior)):
+            np.take(top, high, out=out[:n], mode="clip")
+            np.take(own_words, low, out=out[n:], mode="clip")
+        mixture = np.empty((FEATURES, size), U)
+        for m, context in zip(mixture, self.contexts(some)):
+            np.take(context, token, out=m, mode="clip")
+            m ^= node
+        return weight_rows(mixture, rows), side, prior, token
 
 
 def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     """begin, begin + 1 ... (n of them) for each, one after another."""
-    return np.arange(int(n.sum())) + np.repeat(begin - (np.cumsum(n) - n), n)
+    out = np.repeat(begin - (np.cumsum(n) - n), n)
+    out += np.arange(len(out))
+    return out
 
 
-def _probabilities(weights: np.ndarray, at: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """The chance of going right in each choice."""
+def _logits(weights: np.ndarray, at: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """The logit of going right in each choice."""
     z = prior.copy()
     for rows in at:
-        z += weights[rows]
-    np.clip(z, -40, 40, out=z)
+        z += np.take(weights, rows, mode="clip")
+    return np.clip(z, -40, 40, out=z)
+
+
+def _probabilities(weights: np.ndarray, at: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """The chance of going right in each choice."""
+    z = _logits(weights, at, prior)
     np.negative(z, out=z)
     np.exp(z, out=z)
     z += 1
     return np.reciprocal(z, out=z)
 
 
+def _log10_chances(weights: np.ndarray, at: np.ndarray, side: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """log10 of the chance of the side taken in each choice, finite however small that is."""
+    z = _logits(weights, at, prior)
+    np.negative(z, out=z, where=side)
+    np.exp(z, out=z)
+    z += 1
+    np.log(z, out=z)
+    z *= np.float32(-1 / math.log(10))
+    return z
+
+
+def _step(weights: np.ndarray, squares: np.ndarray, total: np.ndarray, at: np.ndarray, side: np.ndarray, prior: np.ndarray) -> None:
+    """A gradient step: weights and sums of squared slopes change in place, a part that fits a cache at a time. total is scratch of their size."""
+    slope = side - _probabilities(weights, at, prior)
+    total.fill(0)
+    for rows in at:
+        np.add.at(total, rows, slope)
+    for k in range(0, len(total), PART):
+        t, s = total[k : k + PART], squares[k : k + PART]
+        change = t * t
+        s += change
+        np.sqrt(s, out=change)
+        np.divide(t, change, out=change)
+        change *= np.float32(RATE)
+        weights[k : k + PART] += change
+
+
 def _train(broadcast, n_classes: int, top: tuple) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Gradient steps over all training texts of the task; of each slice of the table the weights, times the sums of squared slopes, and these sums."""
 
@@ -356,18 +412,14 @@ def _train(broadcast, n_classes: int, top: tuple) -> Callable[[Iterator[pa.Recor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.frombuffer(broadcast.value, np.float32).copy()
         rows = len(weights)
-        squares = np.ones(rows, np.float32)
+        squares, total = np.ones(rows, np.float32), np.empty(rows, np.float32)
         worked = False
         for batch in batches:
             for row in _rows(batch):
                 block = _Block(row, n_classes, top)
                 use = np.flatnonzero(np.repeat(~np.array(row["held"], bool), block.sizes))
                 for k in range(0, len(use), STEP_TOKENS):
-                    at, side, prior, _ = block.pairs(use[k : k + STEP_TOKENS], rows)
-                    slope = (side - _probabilities(weights, at, prior)).astype(np.float64)
-                    total = np.bincount(at.reshape(-1), weights=np.tile(slope, FEATURES), minlength=rows).astype(np.float32)
-                    squares += total * total
-                    weights += RATE * total / np.sqrt(squares)
+                    _step(weights, squares, total, *block.pairs(use[k : k + STEP_TOKENS], rows)[:3])
                     worked = True
         if worked:
             step = rows // SLICES
@@ -421,8 +473,7 @@ def _score(broadcast, n_classes: int, top: tuple, n: int, v: int, kind: pa.DataT
                 for k in range(0, len(token), STEP_TOKENS):
                     some = np.arange(k, min(k + STEP_TOKENS, len(token)))
                     at, side, prior, owner = block.pairs(some, len(weights))
-                    right = _probabilities(weights, at, prior)
-                    token[some] = np.bincount(owner, weights=np.log10(np.where(side, right, 1 - right)), minlength=len(some))
+                    token[some] = np.bincount(owner, weights=_log10_chances(weights, at, side, prior), minlength=len(some))
                 sizes = block.sizes
                 text = np.repeat(np.arange(len(sizes)), sizes)
                 sums = [np.bincount(text, weights=x, minlength=len(sizes)) for x in (block.totals[block.at] > 0, base[block.at], token)]

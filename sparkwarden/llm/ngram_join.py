@@ -19,13 +19,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwarden.llm._arrays import U, binary, chunks, gram_hashes, mixed, run_digests, text_bytes, tidy, whole_groups, word_keys, words
 from sparkwarden.llm._components import components
 from sparkwarden.llm._filters import join_groups, key_filter, maybe_in
-from sparkwarden.llm._shared import discard, mark, stored
+from sparkwarden.llm._shared import discard, forget_shuffles, mark, stored
 
 GRAM, THRESHOLD, RECALL = 5, 0.8, 0.99999
 #: Steps of a path at most, and the bucket size up to which pairs are compared at once.
@@ -110,8 +110,17 @@ def _matrix(column, places: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, places)
 
 
+def _level(runs: int, depth: int, step: int) -> Column:
+    """Of a sketch only the places of one step, run by run: all that `_paths` reads at that step."""
+    tree = 2**depth - 1
+    return F.concat(*[F.substring("sketch", 4 * (r * tree + (1 << step) - 1) + 1, 4 << step) for r in range(runs)])
+
+
 def _paths(runs: int, depth: int, step: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Buckets (path, node) of the next step; at step 0 each run begins one. `at` is the run and, in its low `step` bits, the branches taken."""
+    """Buckets (path, node) of the next step; at step 0 each run begins one. `at` is the run and, in its low `step` bits, the branches taken.
+
+    Later steps take whole sketches or those cut by `_level`.
+    """
     places, tree, twice = places_of(runs, depth), 2**depth - 1, round(100 * branch_share(threshold))
 
     @tidy
@@ -119,7 +128,8 @@ def _paths(runs: int, depth: int, step: int, threshold: float) -> Callable[[Iter
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node, sketch = batch.column("node").to_numpy(), _matrix(batch.column("sketch"), places)
+            whole = len(batch.column("sketch")[0].as_py()) == 4 * places
+            node, sketch = batch.column("node").to_numpy(), _matrix(batch.column("sketch"), places if whole else runs << step)
             if step == 0:
                 at = np.arange(runs) * tree
                 path = mixed(sketch[:, at].astype(U) + (np.arange(runs, dtype=U) << U(40)), 1)
@@ -129,7 +139,7 @@ def _paths(runs: int, depth: int, step: int, threshold: float) -> Callable[[Iter
             for branch in (0, 1):
                 chosen = np.flatnonzero(mixed(path, 9) % U(100) < U(100 if branch == 0 else twice))
                 at = own[chosen] * 2 + branch
-                place = (at >> step) * tree + (1 << step) - 1 + (at & ((1 << step) - 1))
+                place = (at >> step) * tree + (1 << step) - 1 + (at & ((1 << step) - 1)) if whole else at
                 new = mixed(path[chosen] ^ mixed(sketch[chosen, place].astype(U), 20 + branch), 2)
                 yield pa.RecordBatch.from_pydict({"path": new.view(np.int64), "node": node[chosen], "at": at.astype(np.int32)})
 
@@ -270,18 +280,20 @@ def _dealt(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _classified(df: DataFrame, id_col: str, text_col: str, gram: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
-    """Every row (id, row, digest, sketch; null ids as NO_ID), and every node that has words: node, digest, first_id, n_copies, root, n_links."""
+    """Every row (id, row, digest, full: has words; null ids as NO_ID), and every node that has words: node, digest, first_id, n_copies, root, n_links."""
     spark = df.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs = runs_for(recall, threshold)
     places = places_of(runs, DEPTH)
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("id"), F.col(text_col).alias("text"))
-    every = stored(rows.mapInArrow(_sketches(gram, places), "id long, row long, digest binary, sketch binary"), "sketches")
-    full = every.where("sketch is not null")
+    begun = mark()
+    sketched = stored(rows.mapInArrow(_sketches(gram, places), "id long, row long, digest binary, sketch binary"), "sketches")
+    every = stored(sketched.select("id", "row", "digest", F.col("sketch").isNotNull().alias("full")), "rows")
+    full = every.where("full")
     grouped = full.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("n_copies"))
     nodes = stored(grouped.select(F.col("first.row").alias("node"), "digest", F.col("first.id").alias("first_id"), "n_copies"), "nodes")
-    begun = mark()
-    sketches = stored(full.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "sketch"), "node-sketches", "none")
+    sketches = stored(sketched.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "sketch"), "node-sketches")
+    discard(begun, every, nodes, sketches)  # one sketch a node is left
 
     leaves, stars, source = [], [], sketches
     for step in range(DEPTH):
@@ -297,7 +309,7 @@ def _classified(df: DataFrame, id_col: str, text_col: str, gram: int, threshold:
         if step == DEPTH - 1:  # alike in all steps of a path; verified later, without a first comparison
             stars.append(large.where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")))
         else:
-            source = large.select("path", "node", "at").join(sketches, "node")
+            source = large.select("path", "node", "at").join(sketches.select("node", _level(runs, DEPTH, step + 1).alias("sketch")), "node")
     met = leaves[0]
     for b in leaves[1:]:
         met = met.unionByName(b)
@@ -310,11 +322,13 @@ def _classified(df: DataFrame, id_col: str, text_col: str, gram: int, threshold:
 
     # exact similarities within each group of candidates; a large group is dealt out as pairs of blocks
     members = stored(groups.join(nodes, "node").select("node", "digest", "root", F.col("first_id").alias("id")), "members")
-    discard(begun, members)
+    discard(begun, every, nodes, members)
     some = maybe_in(rows, "id", key_filter(members, "id")).where("_sw_maybe").select("id", "text")
     sets = some.mapInArrow(_sets(gram), "id long, digest binary, size long, grams binary").join(members, ["id", "digest"]).dropDuplicates(["node"])
     begun = mark()
-    dealt = _dealt(stored(sets.select("node", "root", "size", "grams"), "sets"), threshold)
+    placed = stored(sets.select("node", "root", "size", "grams"), "sets")
+    forget_shuffles(spark)  # those of the sets, before they are dealt by another one
+    dealt = _dealt(placed, threshold)
     keys = ["root", "class", "x", "y"]
     found = stored(dealt.repartition(n_parts, *keys).sortWithinPartitions(*keys, "node").mapInArrow(_verify(threshold), "a long, b long, links long"), "links")
     discard(begun, found)
@@ -334,13 +348,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     begun = mark()
     every, rooted = _classified(df, id_col, text_col, gram, threshold, recall)
-    full = every.where("sketch is not null")
+    full = every.where("full")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
     named = stored(rooted.join(least, "root").select("digest", "class_id", "n_links", "n_copies"), "classes")
     discard(begun, every, named)
     null_id = lambda c: F.when(F.col(c) != int(NO_ID), F.col(c))
     joined = join_groups(full.select("id", "digest"), named, "digest", "n_copies", every.count()).select("id", "class_id", "n_links", "n_copies")
-    bare = every.where("sketch is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    bare = every.where("not full").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return joined.unionByName(bare).select(null_id("id").alias(id_col), null_id("class_id").alias("class_id"), "n_links", "n_copies")
 
 
@@ -371,7 +385,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     every, rooted = _classified(df, id_col, text_col, GRAM, THRESHOLD, RECALL)
     keepers = rooted.groupBy("root").agg(F.min(F.struct("first_id", "node")).alias("keep"))
     named = rooted.join(keepers, "root").select("node", "digest", F.col("keep.first_id").alias("keep_id"), F.col("keep.node").alias("keep_node"))
-    own = every.where("sketch is not null").groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n")).join(named, "digest")
+    own = every.where("full").groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n")).join(named, "digest")
     stays = (F.col("id") == F.col("keep_id")) & (F.col("node") == F.col("keep_node"))
     found = stored(own.where(~stays | (F.col("n") > 1)).select(F.col("id").alias("_sw_id"), F.col("digest").alias("_sw_digest"), stays.alias("_sw_stays")), "near")
     discard(begun, found)

@@ -119,7 +119,7 @@ def _level(runs: int, depth: int, step: int) -> Column:
 def _paths(runs: int, depth: int, step: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Buckets (path, node) of the next step; at step 0 each run begins one. `at` is the run and, in its low `step` bits, the branches taken.
 
-    Later steps take whole sketches or those cut by `_level`.
+    Takes whole sketches or those cut by `_level`.
     """
     places, tree, twice = places_of(runs, depth), 2**depth - 1, round(100 * branch_share(threshold))
 
@@ -131,7 +131,7 @@ def _paths(runs: int, depth: int, step: int, threshold: float) -> Callable[[Iter
             whole = len(batch.column("sketch")[0].as_py()) == 4 * places
             node, sketch = batch.column("node").to_numpy(), _matrix(batch.column("sketch"), places if whole else runs << step)
             if step == 0:
-                at = np.arange(runs) * tree
+                at = np.arange(runs) * (tree if whole else 1)
                 path = mixed(sketch[:, at].astype(U) + (np.arange(runs, dtype=U) << U(40)), 1)
                 yield pa.RecordBatch.from_pydict({"path": path.reshape(-1).view(np.int64), "node": np.repeat(node, runs), "at": np.tile(np.arange(runs, dtype=np.int32), len(node))})
                 continue
@@ -292,10 +292,11 @@ def _classified(df: DataFrame, id_col: str, text_col: str, gram: int, threshold:
     full = every.where("full")
     grouped = full.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("n_copies"))
     nodes = stored(grouped.select(F.col("first.row").alias("node"), "digest", F.col("first.id").alias("first_id"), "n_copies"), "nodes")
-    sketches = stored(sketched.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "sketch"), "node-sketches")
-    discard(begun, every, nodes, sketches)  # one sketch a node is left
+    # joins by node pick the first of equal texts; only the first step has to leave out the others, by 4 bytes a run
+    sketches = sketched.where("sketch is not null").select(F.col("row").alias("node"), "sketch")
+    cut = lambda step: sketches.select("node", _level(runs, DEPTH, step).alias("sketch"))
 
-    leaves, stars, source = [], [], sketches
+    leaves, stars, source = [], [], cut(0).join(nodes.select("node"), "node", "left_semi")
     for step in range(DEPTH):
         step_begun = mark()
         paths = stored(source.mapInArrow(_paths(runs, DEPTH, step, threshold), "path long, node long, at int"), "paths")
@@ -309,7 +310,7 @@ def _classified(df: DataFrame, id_col: str, text_col: str, gram: int, threshold:
         if step == DEPTH - 1:  # alike in all steps of a path; verified later, without a first comparison
             stars.append(large.where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")))
         else:
-            source = large.select("path", "node", "at").join(sketches.select("node", _level(runs, DEPTH, step + 1).alias("sketch")), "node")
+            source = large.select("path", "node", "at").join(cut(step + 1), "node")
     met = leaves[0]
     for b in leaves[1:]:
         met = met.unionByName(b)

@@ -9,6 +9,8 @@ WORD = "A-Za-z0-9_"
 SPACES = "\\t-\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
 ENDS = "\\n\\r\\u2028\\u2029"
 BOUNDARY = f"(?:(?<![{WORD}])(?=[{WORD}])|(?<=[{WORD}])(?![{WORD}]))"
+#: What Java takes for i, k or s where the case doesn't matter, beyond ASCII.
+FOLDED = {"i": "\u0130\u0131", "k": "\u212a", "s": "\u017f"}
 
 
 def java(pattern: str, flags: str = "") -> str:
@@ -51,6 +53,40 @@ def java(pattern: str, flags: str = "") -> str:
     return ("(?iu)" if "i" in flags else "") + "".join(out)
 
 
+def _heads(tokens) -> tuple[frozenset[str], bool]:
+    """The letters that a part of a pattern can begin with, and whether it can be empty."""
+    out: frozenset[str] = frozenset()
+    for op, arg in tokens:
+        name = str(op)
+        if name == "LITERAL":
+            return out | {chr(arg)}, False
+        if name == "IN" and all(str(o) == "LITERAL" for o, _ in arg):
+            return out | {chr(a) for _, a in arg}, False
+        if name == "BRANCH":
+            parts = [_heads(b) for b in arg[1]]
+            some, empty = frozenset().union(*(p for p, _ in parts)), any(e for _, e in parts)
+        elif name == "SUBPATTERN":
+            some, empty = _heads(arg[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            some, empty = _heads(arg[2])
+            empty = empty or arg[0] == 0
+        else:
+            raise ValueError(f"no first letters: {name}")
+        out |= some
+        if not empty:
+            return out, False
+    return out, True
+
+
+def keyed(pattern: str) -> str:
+    """java(pattern, "i") of a pattern of key words (a border of a word and ASCII letters); a look at the first letter spares most places the rest."""
+    heads, empty = _heads(re._parser.parse(pattern[2:])) if pattern.startswith("\\b") else (frozenset(), True)
+    if empty or not all(h.isascii() and h.isalpha() for h in heads):
+        raise ValueError(f"not a pattern of key words: {pattern}")
+    first = "".join(sorted(heads | {h.upper() for h in heads})) + "".join(FOLDED.get(h, "") for h in sorted(heads))
+    return f"(?=[{first}])(?<![{WORD}{''.join(FOLDED.values())}])" + java(pattern[2:], "i")
+
+
 def literals(pattern: str, least: int = 3) -> frozenset[str] | None:
     """Strings of which every match holds at least one; None if there are none of `least` characters.
 

@@ -9,12 +9,12 @@ from __future__ import annotations
 import sys
 import unicodedata
 from collections.abc import Callable
-from functools import cache
+from functools import cache, partial, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparkwarden.functions.regex import SPACES, java, literals
+from sparkwarden.functions.regex import BOUNDARY, SPACES, java, keyed, literals
 
 OPEN, CLOSE = "\u0001", "\u0002"
 
@@ -24,6 +24,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def where(c: Column, need: Callable[[Column], Column], new: Callable[[Column], Column]) -> Column:
+    """new(c) where need(c) holds, else c."""
+    return let(c, lambda s: F.when(need(s), new(s)).otherwise(s))
+
+
 def text_of(c: Column) -> Column:
     """The text; null is empty."""
     return F.coalesce(c.cast("string"), F.lit(""))
@@ -40,7 +45,7 @@ def blank_to_null(c: Column) -> Column:
 
 def marked(c: Column, pattern: str) -> Column:
     """The parts of a text between matches: the first has no match, each other begins with one and CLOSE."""
-    clean = F.translate(c, OPEN + CLOSE, "\ufffd\ufffd")
+    clean = F.regexp_replace(c, f"[{OPEN}{CLOSE}]", "\ufffd")
     return F.split(F.regexp_replace(clean, f"({pattern})", f"{OPEN}$1{CLOSE}"), OPEN)
 
 
@@ -71,8 +76,8 @@ def matches(c: Column, pattern: str, start: Callable[[Column], Column] | None =
 
 def replace_each(c: Column, pattern: str, new: Callable[[Column, Column], Column], need: str | None = None) -> Column:
     """The text with each match m replaced by new(m, character before it). `need` is a cheaper pattern that each match holds."""
-    made = lambda parts: F.concat(parts[0], F.array_join(_pairs(parts, lambda m, before, rest: F.concat(new(m, before), rest)), ""))
-    return let(c, lambda s: F.when(s.rlike(need) & s.rlike(pattern) if need else s.rlike(pattern), let(marked(s, pattern), made)).otherwise(s))
+    made = lambda s, parts: F.when(F.size(parts) > 1, F.concat(parts[0], F.array_join(_pairs(parts, lambda m, before, rest: F.concat(new(m, before), rest)), ""))).otherwise(s)
+    return where(c, lambda s: s.rlike(need or pattern), lambda s: let(marked(s, pattern), lambda parts: made(s, parts)))
 
 
 # ------------------------------------------------------------------------------------------------- normalising
@@ -245,11 +250,18 @@ TLDS = (
 _L = "a-z0-9\\u00C0-\\u024F\\u0370-\\u03FF\\u0400-\\u04FF"
 _LABEL = f"[{_L}](?:[{_L}-]{{0,61}}[{_L}])?"
 _PATH = f"[^{SPACES}<>\"'()\\[\\]{{}}]"
-URL = f"(?i:(?:https?://|www\\.){_PATH}+|(?:{_LABEL}\\.)+(?:{'|'.join(TLDS)})(?![{_L}-]|\\.[{_L}])(?:[/?#]{_PATH}*)?)"
+#: Where a name can begin that doesn't begin before: not within one, but behind hyphens it can't hold and 63 characters before the dot of a longer one.
+_NAME_START = f"(?:(?<![{_L}-])(?<![{_L}]\\.)|(?<=-)(?:(?<![{_L}]-{{1,31}})|(?=[^ \\n.]{{32}}))|(?=[^ \\n.]{{63}}\\.))"
+URL = f"(?i:(?=[hw])(?:https?://|www\\.){_PATH}+|{_NAME_START}(?:{_LABEL}\\.(?=[{_L}]))++(?:{'|'.join(TLDS)})(?![{_L}-]|\\.[{_L}])(?:[/?#]{_PATH}*)?)"
+#: What every link holds, found faster than a link.
+IN_URL = f"[:.](?i:(?<=https?:)//|(?<=www\\.)|(?<=\\.)(?:{'|'.join(TLDS)})(?![{_L}-]|\\.[{_L}]))"
 _B = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
-PHONE = f"(?:\\+|{_B}00|{_B}0)[1-9](?:[ \\t/().-]{{0,2}}[0-9]){{6,14}}(?![0-9])"
-EMAIL = "(?i:[a-z0-9._%+-]+@[a-z0-9-]+(?:\\.[a-z0-9-]+)*\\.[a-z]{2,24})"
+PHONE = "(?=[+0])(?:\\+|(?<![A-Za-z0-9_])00?)[1-9](?:[ \\t/().-]{0,2}[0-9]){6,14}(?![0-9])"
+IN_PHONE = "[+0][1-9](?:[ \\t/().-]{0,2}[0-9]){6}"
+#: A run of characters of names is read once, from its beginning or the end of the match before.
+EMAIL = "(?i:(?:\\G|(?<![a-z0-9._%+-]))[a-z0-9._%+-]++@[a-z0-9-]+(?:\\.[a-z0-9-]+)*\\.[a-z]{2,24})"
 IBAN = f"(?i:{_B}[a-z]{{2}}[0-9]{{2}}(?: ?[a-z0-9]{{4}}){{3,7}}(?: ?[a-z0-9]{{1,3}})?{_B})"
+IN_IBAN = "[0-9](?<=[A-Za-z]{2}[0-9])[0-9]"
 CARD = "[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 
 
@@ -312,15 +324,23 @@ def extract_ibans(c: Column) -> Column:
 
 
 def extract_phones(c: Column) -> Column:
-    s = replace_each(text_of(c), IBAN, lambda m, _: F.when(is_iban(m), F.lit(" ")).otherwise(m), "[A-Za-z]{2}[0-9]{2}")
-    some = text_of(c).rlike("[+0][1-9](?:[ \\t/().-]{0,2}[0-9]){6}")
+    s = replace_each(text_of(c), IBAN, lambda m, _: F.when(is_iban(m), F.lit(" ")).otherwise(m), IN_IBAN)
+    some = text_of(c).rlike(IN_PHONE)
     return F.when(some, F.transform(F.filter(matches(s, PHONE), is_phone), trim)).otherwise(F.array().cast("array<string>"))
 
 
+#: Signs of an address in words; white space and words before them are read once, from their beginning or the end of the match before.
+_WHITE_BEFORE = f"(?:\\G|(?<![{SPACES}]))[{SPACES}]*+"
+_AT = "(?iu)" + _WHITE_BEFORE + java(r"[(\[{]\s*(?:at|ät|@)\s*[)\]}]\s*")
+_DOT = "(?iu)" + _WHITE_BEFORE + java(r"[(\[{]\s*(?:dot|punkt)\s*[)\]}]\s*")
+_IN_SIGN = "[(\\[{](?iu:" + java(r"\s*(?:at|ät|@|dot|punkt)\s*[)\]}]") + ")"
+_SPELLED = f"(?iu)(\\G|(?<![a-z0-9._-])[.-]*+){BOUNDARY}([a-z0-9._-]++)" + java(r"\s+(?:at|ät)\s+([a-z0-9-]+)\s+(?:dot|punkt)\s+([a-z]{2,6})\b")
+_IN_SPELLED = f"[dDpP](?iu:(?<=[{SPACES}]d)ot|(?<=[{SPACES}]p)unkt)[{SPACES}]"
+
+
 def deobfuscate_emails(c: Column) -> Column:
-    s = F.regexp_replace(text_of(c), java(r"\s*[(\[{]\s*(?:at|ät|@)\s*[)\]}]\s*", "i"), "@")
-    s = F.regexp_replace(s, java(r"\s*[(\[{]\s*(?:dot|punkt)\s*[)\]}]\s*", "i"), ".")
-    return F.regexp_replace(s, java(r"\b([a-z0-9._-]+)\s+(?:at|ät)\s+([a-z0-9-]+)\s+(?:dot|punkt)\s+([a-z]{2,6})\b", "i"), "$1@$2.$3")
+    s = where(text_of(c), lambda x: x.rlike(_IN_SIGN), lambda x: F.regexp_replace(F.regexp_replace(x, _AT, "@"), _DOT, "."))
+    return where(s, lambda x: x.rlike(_IN_SPELLED), lambda x: F.regexp_replace(x, _SPELLED, "$1$2@$3.$4"))
 
 
 def extract_emails(c: Column) -> Column:
@@ -345,6 +365,10 @@ SECRETS = [
     (r"\b(sv-?nummer|sv-?nr\.?|svnr|(?:sozial)?versicherungs-?(?:nummer|nr\.?))" + _SEP + r"(?:\d[\d ]{8,12}\d)", "[SVNR]"),
     (r"\b(steuer-?id|steuer-?identifikationsnummer|steuernummer|ust-?id(?:-?nr\.?)?|uid(?:-?nr\.?)?)" + _SEP + r"(?:[a-z]{0,3}[\d\/ ]{6,}\d)", "[STEUERNR]"),
 ]
+#: What stands in a text besides a key word where a secret of that kind is.
+_IN_SECRET = {
+    "[CODE]": "[0-9][0-9][0-9]", "[DATUM]": f"/[{SPACES}]*[0-9]", "[KONTO]": "[0-9][0-9 ]{3}", "[AUSWEIS]": "[0-9]", "[SVNR]": "[0-9][0-9 ]{8}", "[STEUERNR]": "[0-9](?<=[0-9/ ]{6}[0-9])",
+}
 _NOT_LETTER_BEFORE = "(?<![A-Za-zÄÖÜäöüß])"
 _STREET = "stra(?:ß|ss)e|str\\.|gasse|weg|platz|allee|ring|damm|ufer|steig|zeile|promenade|kai|pfad|chaussee"
 ADDRESS = (
@@ -352,7 +376,7 @@ ADDRESS = (
     "\\s*\\d{1,4}\\s?[a-z]?(?![\\wäöüß])(?:\\s*\\/\\s*\\d{1,4})*(?!\\s*(?:[Mm]in(?:uten)?|[Ss]ek(?:unden)?|[Ss]td|[Ss]tunden|km|m|[Mm]eter|[Mm]al|[Ss]tück|[Ee]uro|€)(?![a-zäöüß]))"
 )
 BIRTHDATE = r"\b(geb\.|geboren(?: am)?|geburtsdatum|geb\.?-?datum|geburtstag)(\s*(?:ist|am|:)?\s*)\d{1,2}\.\s?\d{1,2}\.\s?\d{2,4}\b"
-HANDLE = "(^|[\\s(„\"'])@[a-z0-9_.]{3,30}\\b"
+HANDLE = f"@(?<![^{SPACES}(„\"']@)(?iu:[a-z0-9_.]{{3,30}}{BOUNDARY})"
 _NAME_WORD = "[A-ZÄÖÜ][a-zäöüß]+(?:-[A-ZÄÖÜ][a-zäöüß]+)?"
 _NAMES = _NAME_WORD + "(?: " + _NAME_WORD + "){0,2}"
 INTRO = "((?:[Mm]ein [Nn]ame ist|[Ii]ch hei(?:ß|ss)e)\\s+)" + _NAMES
@@ -370,65 +394,65 @@ def redact_cards(c: Column) -> Column:
     return replace_each(text_of(c), CARD, one)
 
 
-def _where_any(low: Column, words: frozenset[str], c: Column, new: Callable[[Column], Column]) -> Column:
-    """new(c) where the lower-case text holds one of the words, else c; `c` and `low` are best variables."""
-    some = F.lit(False)
-    for w in sorted(words):
-        some = some | F.contains(low, F.lit(w))
-    return F.when(some, new(c)).otherwise(c)
-
-
 def redact_secrets(c: Column) -> Column:
     """Bank, card, access and identity data replaced by what they are; key words stay.
 
-    A pattern runs only where the text holds a key word of it; marks put in by earlier patterns hold none of later ones.
+    A pattern runs only where the text holds a key word of it and digits as it needs them; marks put in by earlier patterns hold
+    none of later ones. Where a key word is, a text's own U+0001 and U+0002 go.
     """
+    marks = f"[{OPEN}{CLOSE}]"
 
-    def one(pattern: str, name: str) -> Callable[[Column], Column]:
-        p = java(pattern, "i")
+    def one(s: Column, pattern: str, name: str) -> Column:
         # a missing separator becomes a blank
-        return lambda s: F.regexp_replace(F.regexp_replace(F.regexp_replace(s, p, f"$1{OPEN}$2{CLOSE}{name}"), f"{OPEN}{CLOSE}", " "), f"[{OPEN}{CLOSE}]", "")
+        return F.regexp_replace(F.regexp_replace(F.regexp_replace(s, keyed(pattern), f"$1{OPEN}$2{CLOSE}{name}"), f"{OPEN}{CLOSE}", " "), marks, "")
 
-    def gated(low: Column, pattern: str, name: str) -> Callable[[Column], Column]:
-        return lambda x: _where_any(low, literals(pattern, 3) or literals(pattern, 2), x, one(pattern, name))
+    def some(v: Column, s: Column, pattern: str, name: str) -> Column:
+        words = [F.contains(v["low"], F.lit(w)) for w in sorted(literals(pattern, 3) or literals(pattern, 2))]
+        word = reduce(Column.__or__, words)
+        return v["digits"] & word & s.rlike(f"{_IN_SECRET[name]}|{marks}") if name in _IN_SECRET else word
 
-    def all_of(text: Column, low: Column) -> Column:
-        s = replace_each(text, IBAN, lambda m, _: F.when(is_iban(m), F.lit("[IBAN]")).otherwise(m), "[A-Za-z]{2}[0-9]{2}")
-        s = redact_cards(s)
+    def all_of(v: Column) -> Column:
+        s = where(v["text"], lambda _: v["digits"], lambda x: redact_cards(replace_each(x, IBAN, lambda m, _: F.when(is_iban(m), F.lit("[IBAN]")).otherwise(m), IN_IBAN)))
         for pattern, name in SECRETS:
-            s = let(s, gated(low, pattern, name))
+            s = where(s, partial(some, v, pattern=pattern, name=name), partial(one, pattern=pattern, name=name))
         return s
 
-    # lower case is computed for each pattern: nesting all in one more variable is dearer to analyse
-    return all_of(text_of(c), F.replace(F.lower(text_of(c)), F.lit("ſ"), F.lit("s")))
+    low = F.replace(F.lower(text_of(c)), F.lit("ſ"), F.lit("s"))
+    return let(F.struct(text_of(c).alias("text"), low.alias("low"), text_of(c).rlike(f"[0-9]|{marks}").alias("digits")), all_of)
 
 
 def _quoted(c: Column) -> Column:
     return F.regexp_replace(c, "([.*+?^\\$\\{\\}()|\\[\\]\\\\])", "\\\\\\\\$1")
 
 
-def redact_names(c: Column, names: Column) -> Column:
+def redact_names(c: Column, names: Column | None = None) -> Column:
     """Introductions, sign-offs, and the given names with their parts of three letters or more, longest first."""
+    introduced = lambda s: F.contains(s, F.lit("ame ist")) | F.contains(s, F.lit("ch heiße")) | F.contains(s, F.lit("ch heisse"))
+    s = F.regexp_replace(where(text_of(c), introduced, lambda x: F.regexp_replace(x, java(INTRO), "$1[NAME]")), java(SIGNOFF), "$1[NAME]")
+    if names is None:
+        return s
     has_letter = lambda p: p.rlike("[A-Za-zÄÖÜäöüß]")
     every = F.flatten(F.transform(F.filter(names, lambda n: text_of(n) != ""), lambda n: F.concat(
         F.filter(F.array(trim(n)), lambda x: (F.char_length(x) >= 2) & has_letter(x)), F.filter(F.split(trim(n), f"[{SPACES}_.-]+"), lambda p: (F.char_length(p) >= 3) & has_letter(p)))))
     known = F.transform(F.array_sort(F.transform(every, lambda n, k: F.struct((-F.char_length(n)).alias("l"), k.alias("k"), n.alias("n")))), lambda x: x["n"])
-    s = F.regexp_replace(F.regexp_replace(text_of(c), java(INTRO), "$1[NAME]"), java(SIGNOFF), "$1[NAME]")
     return F.aggregate(known, s, lambda t, n: F.regexp_replace(t, F.concat(F.lit(_NOT_LETTER_BEFORE), _quoted(n), F.lit("(?![A-Za-zÄÖÜäöüß0-9_])")), F.lit("[NAME]")))
 
 
 def redact_pii(c: Column, names: Column | None = None) -> Column:
     """Personal data replaced by what they are, in a fixed order."""
-    s = deobfuscate_emails(redact_secrets(c))
-    s = F.regexp_replace(s, EMAIL, "[E-MAIL]")
-    s = replace_each(s, URL, lambda m, b: F.when(is_url_start(b), F.concat(F.lit("[LINK: "), host_of(m), F.lit("]"))).otherwise(m))
-    s = replace_each(s, PHONE, lambda m, _: F.when(is_phone(m), F.lit("[TELEFONNUMMER]")).otherwise(m))
-    s = F.regexp_replace(s, java(HANDLE, "im"), "$1[BENUTZERNAME]")
-    s = F.regexp_replace(s, java(ADDRESS), "[ADRESSE]")
-    s = F.regexp_replace(s, java(r"(\[ADRESSE\],?\s*)(?:[A-Z]{1,2}-)?\d{4,5}\b"), "$1[PLZ]")
-    s = F.regexp_replace(s, java(r"\b(plz|postleitzahl)" + _SEP + r"\d{4,5}\b", "i"), "$1$2[PLZ]")
-    s = F.regexp_replace(s, java(BIRTHDATE, "i"), "$1$2[GEBURTSDATUM]")
-    return redact_names(s, names if names is not None else F.array().cast("array<string>"))
+    at = lambda s: F.contains(s, F.lit("@"))
+    s = where(deobfuscate_emails(redact_secrets(c)), at, lambda x: F.regexp_replace(x, EMAIL, "[E-MAIL]"))
+    s = replace_each(s, URL, lambda m, b: F.when(is_url_start(b), F.concat(F.lit("[LINK: "), host_of(m), F.lit("]"))).otherwise(m), IN_URL)
+    s = replace_each(s, PHONE, lambda m, _: F.when(is_phone(m), F.lit("[TELEFONNUMMER]")).otherwise(m), IN_PHONE)
+    s = where(s, at, lambda x: F.regexp_replace(x, HANDLE, "[BENUTZERNAME]"))
+
+    def places_and_dates(x: Column) -> Column:
+        x = F.regexp_replace(x, java(ADDRESS), "[ADRESSE]")
+        x = F.regexp_replace(x, java(r"(\[ADRESSE\],?\s*)(?:[A-Z]{1,2}-)?\d{4,5}\b"), "$1[PLZ]")
+        x = F.regexp_replace(x, keyed(r"\b(plz|postleitzahl)" + _SEP + r"\d{4,5}\b"), "$1$2[PLZ]")
+        return F.regexp_replace(x, keyed(BIRTHDATE), "$1$2[GEBURTSDATUM]")
+
+    return redact_names(where(s, lambda x: x.rlike("[0-9]"), places_and_dates), names)
 
 
 def defang_urls(c: Column, allowed: Column) -> Column:
@@ -437,7 +461,7 @@ def defang_urls(c: Column, allowed: Column) -> Column:
     def one(m: Column, before: Column) -> Column:
         return F.when(~is_url_start(before) | host_matches(host_of(m), allowed), m).otherwise(F.replace(F.regexp_replace(m, "(?i)^http", "hxxp"), F.lit("."), F.lit("[.]")))
 
-    return replace_each(text_of(c), URL, one)
+    return replace_each(text_of(c), URL, one, IN_URL)
 
 
 # ------------------------------------------------------------------------------------------------- formatting

@@ -1,12 +1,13 @@
 """Text functions against values worked out by hand."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import text as T
-from sparkwarden.functions.regex import any_of, java, literals, required
+from sparkwarden.functions.regex import any_of, java, keyed, literals, required
 from sparkwarden.plans.catalog import RULES
 
 CASES = [
@@ -59,3 +60,34 @@ def test_required_literals_and_one_pattern_of_many():
     words = {"tele", "telegram", "telefon", "a+b", "abc", "b", "cd", "de", "ef", "fg", "gh"}
     found = re.findall(f"(?=({any_of(words)}))", "xtelegramx telefo a+bc ghfg")
     assert found == ["telegram", "tele", "ef", "a+b", "b", "gh", "fg"]
+
+
+def test_redaction_reads_long_runs_once(spark):
+    """Texts on which the patterns went back and forth: some 10^10 steps, or a stack as deep as a name has parts."""
+    runs = [("blanks", " " * 100_000), ("words", "a" * 100_000), ("hyphens", "a-" * 50_000), ("parts", "a." * 20_000), ("dashes", "-" * 100_000 + "a"), ("dots and words", "a.b-" * 20_000), ("digits", "0" * 100_000)]
+    df = spark.createDataFrame([(k, f"x {t} y, max (at) gmail (punkt) com, @max_m, siehe https://evil.info/x oder 0171 1234567, PIN 4711") for k, t in runs], "k string, t string")
+    began = time.monotonic()
+    got = {r.k: r.r for r in df.select("k", T.redact_pii(F.col("t")).alias("r")).collect()}
+    assert time.monotonic() - began < 60
+    for k, t in runs:
+        assert got[k] == f"x {t} y, [E-MAIL], [BENUTZERNAME], siehe [LINK: evil.info] oder [TELEFONNUMMER], PIN [CODE]", k
+
+
+def test_redaction_where_matches_meet(spark):
+    """Beginnings of matches that a look at the character before could miss."""
+    cases = {
+        "a (at) (at) b": "a@@b", "(at)": "@", "a@b.de%c@d.de": "[E-MAIL][E-MAIL]", "a at b dot cc-- at d dot ee": "[E-MAIL][E-MAIL]", "--- at x dot de": "--- at x dot de", "-a at x dot de": "[E-MAIL]",
+        "x" * 70 + ".de": "x" * 70 + ".de", "." + "x" * 63 + ".de": "." + "x" * 63 + ".de", " " + "-" * 7 + "y" * 70 + ".de": " " + "-" * 7 + "y" * 70 + ".de", "(-foo.de)": "(-foo.de)", "foo.de. Und": "[LINK: foo.de]. Und", "foo.de.bar": "foo.de.bar", "xhttps://a.de/b": "xhttps://a.de/b",
+        "(@max_m) @ab @abc": "([BENUTZERNAME]) @ab [BENUTZERNAME]", "é0171 1234567": "é[TELEFONNUMMER]", "a0171 1234567": "a0171 1234567", "++49 171 2345678": "+[TELEFONNUMMER]",
+        "Kartenprüfziffer 123, PRÜFZIFFER: 123": "Kartenprüfziffer 123, PRÜFZIFFER: [CODE]", "PaſſWort: geheim": "PaſſWort: [GEHEIM]", "xPIN 1234 PIN1234": "xPIN 1234 PIN [CODE]", "exp. 12 / 2026": "exp. [DATUM]", "Steuer-ID 12 / 345 678 9": "Steuer-ID [STEUERNR]", "plz: 10115, geb. am 1. 2. 80": "plz: [PLZ], geb. am [GEBURTSDATUM]", "geb. 01.02.1980": "geb. [GEBURTSDATUM]",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, t string")
+    got = [r[1] for r in sorted(df.select("k", T.redact_pii(F.col("t"))).collect())]
+    assert dict(zip(cases, got)) == cases
+
+
+def test_keyed_patterns():
+    assert keyed(r"\b(k?ab|sc)\d").startswith("(?=[AKSaks\u212a\u017f])")
+    for pattern in (r"(ab)", r"\b(ä)", r"\b(a?)", r"\b[a-z]"):
+        with pytest.raises(ValueError):
+            keyed(pattern)
